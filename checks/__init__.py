@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["reports", "views", "suggestions", "receipts"]
+TOPICS = ["reports", "views", "suggestions", "receipts", "workflow", "changes", "streams"]
 
 
 def load_all() -> None:

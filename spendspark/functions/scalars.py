@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from spendspark import fixed
 
 # white space as JavaScript's trim() sees it
-TRIM_CHARS = " \t\r\n\u000b\u000c ﻿"
+TRIM_CHARS = " \t\r\n\u000b\u000c\u00a0\ufeff"
 
 
 def moment(as_of: str | datetime | date | Column) -> Column:
@@ -20,6 +21,12 @@ def moment(as_of: str | datetime | date | Column) -> Column:
     return F.lit(str(as_of)).cast("timestamp")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row, however often body uses it and
+    however often the optimizer copies the expression (filter push-down does)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIM_CHARS))
 
@@ -58,7 +65,7 @@ def money_text(amount: Column, currency: Column | str = fixed.DEFAULT_CURRENCY)
         sign = F.when(code == name, F.lit(symbol)).otherwise(sign)
     minus = F.when(amount < 0, F.lit("-")).otherwise(F.lit(""))
     digits = F.translate(F.format_number(F.abs(amount), 2), ",.", ".,")
-    return F.concat(minus, sign, F.lit(" "), digits)
+    return F.concat(minus, sign, F.lit("\u00a0"), digits)
 
 
 def date_text(day: Column) -> Column:

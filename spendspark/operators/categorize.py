@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendspark import fixed
-from spendspark.functions.scalars import percent_text
+from spendspark.functions.scalars import let, percent_text
 
 
 def claim_text(lower: bool = True) -> Column:
@@ -27,9 +27,9 @@ def _score(text: Column, keywords: list[str]) -> Column:
 
 
 def score_array(text: Column, rules: dict[str, list[str]]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(category).alias("category"), _score(text, keywords).alias("score"))
-        for category, keywords in rules.items()])
+    return let(text, lambda t: F.array(*[
+        F.struct(F.lit(category).alias("category"), _score(t, keywords).alias("score"))
+        for category, keywords in rules.items()]))
 
 
 def best_of(scores: Column, last_wins: bool) -> Column:
@@ -40,17 +40,24 @@ def best_of(scores: Column, last_wins: bool) -> Column:
     return F.array_max(ranked)
 
 
+def _based(claims: DataFrame, scores: Column, last_wins: bool, fallback: str | None) -> DataFrame:
+    """Adds base_scores, base_category, base_confidence; the fallback category is for
+    rows that score nothing."""
+    def chosen(all_scores: Column) -> Column:
+        def pick(best: Column) -> Column:
+            category = best["category"] if fallback is None else \
+                F.when(best["score"] > 0, best["category"]).otherwise(fallback)
+            return F.struct(all_scores.alias("scores"), category.alias("category"), best["score"].alias("confidence"))
+
+        return let(best_of(all_scores, last_wins), pick)
+
+    return claims.withColumn("base", let(scores, chosen)).withColumns({
+        f"base_{f}": F.col(f"base.{f}") for f in ("scores", "category", "confidence")}).drop("base")
+
+
 def with_keyword_scores(claims: DataFrame) -> DataFrame:
     """Adds base_scores, base_category, base_confidence of the keyword pass."""
-    best = best_of(F.col("base_scores"), last_wins=True)
-    return (
-        claims.withColumn("claim_text", claim_text())
-        .withColumn("base_scores", score_array(F.col("claim_text"), fixed.KEYWORDS))
-        .withColumn("best", best)
-        .withColumn("base_confidence", F.col("best.score"))
-        .withColumn("base_category", F.when(F.col("best.score") > 0, F.col("best.category")).otherwise("other"))
-        .drop("best", "claim_text")
-    )
+    return _based(claims, score_array(claim_text(), fixed.KEYWORDS), last_wins=True, fallback="other")
 
 
 def keyword_scores(claims: DataFrame, key: str = "id") -> DataFrame:
@@ -80,35 +87,39 @@ def combine_scores(base: Column, hints: Column) -> Column:
     """A hinted category takes the mean of score and hint, or half the hint where
     its score is 0; hinted categories missing in the base come last."""
 
-    def hint_for(category: Column) -> Column:
-        return F.filter(hints, lambda h: h["category"] == category)[0]["score"]
+    def entry(category: Column, score: Column) -> Column:
+        return F.struct(category.alias("category"), score.alias("score"))
 
-    def blend(entry: Column) -> Column:
-        hint = hint_for(entry["category"])
-        blended = (F.when(hint.isNull(), entry["score"])
-                   .when(entry["score"] != 0, (entry["score"] + hint) / 2)
-                   .otherwise(hint * F.lit(0.5)))
-        return F.struct(entry["category"].alias("category"), blended.alias("score"))
+    def combined(scores: Column, hinted: Column) -> Column:
+        def blend(e: Column) -> Column:
+            hint = F.get(F.filter(hinted, lambda h: h["category"] == e["category"]), F.lit(0))["score"]
+            return let(hint, lambda h: entry(
+                e["category"], F.when(h.isNull(), e["score"]).when(e["score"] != 0, (e["score"] + h) / 2)
+                .otherwise(h * F.lit(0.5))))
 
-    absent = F.filter(hints, lambda h: ~F.exists(base, lambda b: b["category"] == h["category"]))
-    added = F.transform(absent, lambda h: F.struct(
-        h["category"].alias("category"), (h["score"] * F.lit(0.5)).alias("score")))
-    return F.concat(F.transform(base, blend), added)
+        absent = F.filter(hinted, lambda h: ~F.exists(scores, lambda b: b["category"] == h["category"]))
+        return F.concat(F.transform(scores, blend),
+                        F.transform(absent, lambda h: entry(h["category"], h["score"] * F.lit(0.5))))
+
+    return let(F.struct(base.alias("scores"), hints.alias("hints")), lambda p: combined(p["scores"], p["hints"]))
 
 
 def with_final_choice(scored: DataFrame) -> DataFrame:
     """From base_scores, base_category, base_confidence and amount to
     suggested_category, suggested_confidence, all_scores."""
-    return (
-        scored.withColumn("all_scores", combine_scores(F.col("base_scores"), amount_hints(F.col("amount"))))
-        .withColumn("best", best_of(F.col("all_scores"), last_wins=True))
-        .withColumn("suggested_confidence",
-                    F.when(F.col("best.score") != 0, F.col("best.score")).otherwise(F.col("base_confidence")))
-        .withColumn("suggested_category",
-                    F.when(F.col("suggested_confidence") > fixed.ACCEPT_CONFIDENCE, F.col("best.category"))
-                    .otherwise(F.col("base_category")))
-        .drop("best")
-    )
+    def choose(scores: Column) -> Column:
+        def settle(best: Column) -> Column:
+            confidence = F.when(best["score"] != 0, best["score"]).otherwise(F.col("base_confidence"))
+            return let(confidence, lambda value: F.struct(
+                scores.alias("all_scores"), value.alias("suggested_confidence"),
+                F.when(value > fixed.ACCEPT_CONFIDENCE, best["category"]).otherwise(F.col("base_category"))
+                .alias("suggested_category")))
+
+        return let(best_of(scores, last_wins=True), settle)
+
+    combined = combine_scores(F.col("base_scores"), amount_hints(F.col("amount")))
+    return scored.withColumn("choice", let(combined, choose)).withColumns({
+        c: F.col(f"choice.{c}") for c in ("all_scores", "suggested_confidence", "suggested_category")}).drop("choice")
 
 
 def suggest_category(claims: DataFrame) -> DataFrame:
@@ -119,24 +130,21 @@ def suggest_category(claims: DataFrame) -> DataFrame:
 def with_service_scores(claims: DataFrame) -> DataFrame:
     """Fallback of the scoring service: fewer keywords, bonus by amount, first wins."""
     amount = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
-    text = F.col("claim_text")
-    entries = []
-    for category, keywords in fixed.SERVICE_KEYWORDS.items():
-        score = _score(text, keywords)
-        low, high = fixed.SERVICE_LOW_BONUS.get(category), fixed.SERVICE_HIGH_BONUS.get(category)
-        if low is not None:
-            score = F.when(amount < 20, score + F.lit(low)).otherwise(score)
-        if high is not None:
-            score = F.when(amount > 500, score + F.lit(high)).otherwise(score)
-        entries.append(F.struct(F.lit(category).alias("category"), score.alias("score")))
-    return (
-        claims.withColumn("claim_text", claim_text())
-        .withColumn("base_scores", F.array(*entries))
-        .withColumn("best", best_of(F.col("base_scores"), last_wins=False))
-        .withColumn("base_category", F.col("best.category"))
-        .withColumn("base_confidence", F.col("best.score"))
-        .drop("best", "claim_text")
-    )
+
+    def entries(text: Column) -> Column:
+        result = []
+        for category, keywords in fixed.SERVICE_KEYWORDS.items():
+            low, high = fixed.SERVICE_LOW_BONUS.get(category), fixed.SERVICE_HIGH_BONUS.get(category)
+            bonus = F.lit(0.0)
+            if low is not None:
+                bonus = F.when(amount < 20, F.lit(low)).otherwise(bonus)
+            if high is not None:
+                bonus = F.when(amount > 500, F.lit(high)).otherwise(bonus)
+            result.append(F.struct(F.lit(category).alias("category"),
+                                   (_score(text, keywords) + bonus).alias("score")))
+        return F.array(*result)
+
+    return _based(claims, let(claim_text(), entries), last_wins=False, fallback=None)
 
 
 def service_rules(claims: DataFrame) -> DataFrame:

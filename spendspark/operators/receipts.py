@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendspark import fixed
-from spendspark.functions.scalars import leading_number, moment, percent_text, trim_all
+from spendspark.functions.scalars import leading_number, let, moment, percent_text, trim_all
 
 # what \s covers in JavaScript beyond the ASCII blanks of Java
 _WIDE = r"\s\u00a0\ufeff\u2028\u2029"
@@ -18,11 +20,6 @@ def _java(pattern: str) -> str:
     return inside if inside != pattern else pattern.replace(r"\s", f"[{_WIDE}]")
 
 
-def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    """Group of the first match, null when there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 # --- OCR blocks ---------------------------------------------------------------------------
 
 
@@ -41,7 +38,7 @@ def blocks_to_text(blocks: DataFrame, lines_per_part: int = 10_000) -> DataFrame
 
 def _relation(kind: str) -> Column:
     """Ids of the first relationship of that type, in order; null without one."""
-    return F.filter("Relationships", lambda r: r["Type"] == kind)[0]["Ids"]
+    return F.get(F.filter("Relationships", lambda r: r["Type"] == kind), F.lit(0))["Ids"]
 
 
 def _joined_words(rows: DataFrame, group: list[str], order: str, word: str, name: str) -> DataFrame:
@@ -95,14 +92,13 @@ def blocks_to_kv(blocks: DataFrame) -> DataFrame:
 
 def vendor_of(text: Column) -> Column:
     """First line that is not blank, trimmed."""
-    lines = F.filter(F.split(text, "\n"), lambda line: trim_all(line) != "")
-    return trim_all(F.get(lines, F.lit(0)))
+    return F.get(F.filter(F.transform(F.split(text, "\n"), trim_all), lambda line: line != ""), F.lit(0))
 
 
 def amount_of(text: Column) -> Column:
     """First pattern that matches anywhere; comma read as decimal point."""
-    found = F.coalesce(*[_first(text, _java(p)) for p in fixed.AMOUNT_PATTERNS])
-    return F.translate(found, ",", ".").try_cast("double")
+    found = F.array(*[F.regexp_extract(text, _java(p), 1) for p in fixed.AMOUNT_PATTERNS])
+    return F.translate(F.get(F.filter(found, lambda m: m != ""), F.lit(0)), ",", ".").try_cast("double")
 
 
 def _composed(year: Column, month: Column, day: Column) -> Column:
@@ -114,9 +110,19 @@ def _composed(year: Column, month: Column, day: Column) -> Column:
     return F.date_add(start, day - 1)
 
 
-_NUMERIC = r"^\s*(\d+)[/\-](\d+)[/\-](\d+)"
-_WORDED = r"^\s*(\d+)\s+(\w+)\s+(\d+)"
-_MONTH_FIRST = r"^\s*([A-Za-z]+)\.?\s+(\d{1,2}),?\s+(\d{2,4})"
+# shapes of a readable date and what separates their parts
+_NUMERIC = (r"^\s*\d{1,9}[/\-]\d{1,9}[/\-]\d{1,9}", r"[/\-]")
+_WORDED = (rf"^[{_WIDE}]*\d{{1,9}}[{_WIDE}]+\w+[{_WIDE}]+\d{{1,9}}", rf"[{_WIDE}]+")
+_MONTH_FIRST = (rf"^[{_WIDE}]*[A-Za-z]+\.?[{_WIDE}]+\d{{1,2}},?[{_WIDE}]+\d{{2,4}}", rf"[.,{_WIDE}]+")
+
+
+def _pieces(text: Column, shape: tuple[str, str], read: Callable[[Column, Column, Column], Column]) -> Column:
+    """read(first, second, third part) of a text of that shape, null for other texts. A
+    cast then only meets digits: casts that fail are dear, even tolerant ones."""
+    pattern, separator = shape
+    parts = let(F.regexp_extract(text, pattern, 0),
+                lambda m: F.when(m != "", F.split(trim_all(m), separator)))
+    return let(parts, lambda p: read(*[F.get(p, F.lit(i)) for i in range(3)]))
 
 
 def _month_number(word: Column) -> Column:
@@ -125,10 +131,6 @@ def _month_number(word: Column) -> Column:
     return F.nullif(position, F.lit(0).cast("long")).cast("int")
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
-
-
 def _in_order(first: Column, second: Column, third: Column) -> Column:
     """Three numbers: month, day, year when the first could be a month or day,
     otherwise year, month, day."""
@@ -136,23 +138,37 @@ def _in_order(first: Column, second: Column, third: Column) -> Column:
         _composed(first, second, third))
 
 
+def _numeric_date(text: Column) -> Column:
+    return _pieces(text, _NUMERIC, lambda a, b, c: _in_order(a.cast("int"), b.cast("int"), c.cast("int")))
+
+
+def _worded_date(text: Column) -> Column:
+    """20 Jan 2025 and 10 05 2025."""
+    def read(first: Column, middle: Column, last: Column) -> Column:
+        a, c = first.cast("int"), last.cast("int")
+        number = F.when(middle.rlike(r"^\d{1,9}$"), middle).cast("int")
+        named = let(_month_number(middle), lambda month: F.when(
+            a.between(1, 31), _composed(c, month, a)).otherwise(_composed(a, month, c)))
+        return F.when(number.isNotNull(), _in_order(a, number, c)).otherwise(named)
+
+    return _pieces(text, _WORDED, read)
+
+
+def _month_first_date(text: Column) -> Column:
+    """Jan 20, 2025."""
+    return _pieces(text, _MONTH_FIRST, lambda word, day, year: let(
+        _month_number(word), lambda month: _composed(year.cast("int"), month, day.cast("int"))))
+
+
 def date_from(text: Column) -> Column:
     """Date of a text that starts with one, month first; null when not readable."""
-    numeric = _in_order(*[_part(text, _NUMERIC, g) for g in (1, 2, 3)])
-    first, last = _part(text, _WORDED, 1), _part(text, _WORDED, 3)
-    middle = F.regexp_extract(text, _WORDED, 2)
-    named_month = _month_number(middle)
-    named = F.when(first.between(1, 31), _composed(last, named_month, first)).otherwise(
-        _composed(first, named_month, last))
-    worded = F.when(middle.rlike(r"^\d+$"), _in_order(first, middle.try_cast("int"), last)).otherwise(named)
-    leading = _composed(_part(text, _MONTH_FIRST, 3), _month_number(F.regexp_extract(text, _MONTH_FIRST, 1)),
-                        _part(text, _MONTH_FIRST, 2))
-    return F.coalesce(numeric, worded, leading)
+    return F.coalesce(_numeric_date(text), _worded_date(text), _month_first_date(text))
 
 
 def date_of(text: Column) -> Column:
     """Each pattern's first match in turn; one that is no date gives way to the next."""
-    return F.coalesce(*[date_from(_first(text, _java(p))) for p in fixed.DATE_PATTERNS])
+    readers = [_numeric_date, _numeric_date, _worded_date]
+    return F.coalesce(*[read(F.regexp_extract(text, _java(p), 1)) for p, read in zip(fixed.DATE_PATTERNS, readers)])
 
 
 def _last_reading(kv: Column, key_parts: list[str], read) -> Column:
@@ -183,31 +199,37 @@ def date_from_kv(kv: Column) -> Column:
 
 # --- fields from text, Brazilian reading -------------------------------------------------------
 
-_PRICE = r"(?:R\$)?[ \t ]*(\d[\d.]*,\d{2}|\d[\d,]*\.\d{2}|\d+)"
-_ITEM = r"(?m)^[ \t]*(\S.*?\S)[ \t]+(\d+)[ \t]+R\$[ \t ]*(\d[\d.,]*)[ \t\r]*$"
+_PRICE = r"(?:R?\$)?[ \t\u00a0]*(\d[\d.]*,\d{2}|\d[\d,]*\.\d{2}|\d+)"
+_ITEM = r"(?m)^[ \t]*(\S.*?\S)[ \t]+(\d+)[ \t]+R\$[ \t\u00a0]*(\d[\d.,]*)[ \t\r]*$"
 
 
 def price_of(text: Column) -> Column:
     """1.234,56 and 1,234.56: the last of the two marks is the decimal one."""
-    local = F.translate(F.translate(text, ".", ""), ",", ".")
-    foreign = F.translate(text, ",", "")
-    return F.when(text.rlike(r",\d{2}$"), local).otherwise(foreign).try_cast("double")
+    def read(price: Column) -> Column:
+        local = F.translate(F.translate(price, ".", ""), ",", ".")
+        foreign = F.translate(price, ",", "")
+        return F.when(price.rlike(r",\d{2}$"), local).otherwise(foreign).try_cast("double")
+
+    return let(text, read)
 
 
 def _local_amount(text: Column) -> Column:
     def on_line(word: str) -> Column:
-        return _first(text, rf"(?im)^[ \t]*{word}[ \t]*:?[ \t ]*" + _PRICE + r"[ \t\r]*$")
+        return F.regexp_extract(text, rf"(?im)^[ \t]*{word}[ \t]*:?[ \t\u00a0]*" + _PRICE + r"[ \t\r]*$", 1)
 
-    any_price = _first(text, r"(?m)R\$[ \t ]*(\d[\d.,]*\d)[ \t\r]*$")
-    return price_of(F.coalesce(on_line("total"), on_line("amount"), on_line("valor"), on_line("subtotal"), any_price))
+    any_price = F.regexp_extract(text, r"(?m)R?\$[ \t\u00a0]*(\d[\d.,]*\d)[ \t\r]*$", 1)
+    found = F.array(*[on_line(w) for w in ("total", "amount", "valor", "subtotal")], any_price)
+    return price_of(F.get(F.filter(found, lambda m: m != ""), F.lit(0)))
 
 
 def _local_date(text: Column) -> Column:
     iso = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
     day_first = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4}|\d{2})\b"
-    return F.coalesce(
-        _composed(*[_part(text, iso, g) for g in (1, 2, 3)]),
-        _composed(*[_part(text, day_first, g) for g in (3, 2, 1)]))
+    def dated(pattern: str, read) -> Column:
+        found = let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", F.split(m, r"[/\-.]")))
+        return let(found, lambda p: read(*[F.get(p, F.lit(i)).cast("int") for i in range(3)]))
+
+    return F.coalesce(dated(iso, _composed), dated(day_first, lambda d, m, y: _composed(y, m, d)))
 
 
 def _local_items(text: Column) -> Column:
