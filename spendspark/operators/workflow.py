@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendspark import fixed
-from spendspark.functions.scalars import display_name, is_blank, trim_all
+from spendspark.functions.scalars import display_name, is_blank, let, trim_all
 from spendspark.operators.checks import claim_amount, claim_date, expense_errors
 from spendspark.operators.views import assign_approver, number_approvers
 from spendspark.session import cut
@@ -31,7 +31,8 @@ NEW_STATE = {action: to for action, (_, to, _, _) in fixed.TRANSITIONS.items()}
 
 @dataclass
 class WorkflowResult:
-    expenses: DataFrame
+    expenses: DataFrame  # all of them, new state
+    changed: DataFrame  # only those the actions changed or created
     audit: DataFrame
     notifications: DataFrame
     comments: DataFrame
@@ -67,7 +68,8 @@ def _with_actor(actions: DataFrame, users: DataFrame) -> DataFrame:
         display_name(F.col("first_name"), F.col("last_name")).alias("actor_name"))
     joined = acts.join(actor, F.col("actor_id") == F.col("a_id"), "left")
     action, role = F.col("action"), F.col("a_role")
-    errors = expense_errors()
+    invalid = let(expense_errors(), lambda e: F.when(
+        F.size(e) > 0, F.concat(F.lit("Validation failed: "), F.array_join(e, ", "))))
     early = (
         F.when(F.col("a_id").isNull(), fixed.REFUSE_UNKNOWN_ACTOR)
         .when(~F.coalesce(F.col("a_active"), F.lit(False)), fixed.REFUSE_INACTIVE_ACTOR)
@@ -75,8 +77,7 @@ def _with_actor(actions: DataFrame, users: DataFrame) -> DataFrame:
         .when(action.isin(DECISIONS) & ~role.isin(fixed.PRIVILEGED_ROLES), fixed.REFUSE_ROLE)
         .when((action == "reimburse") & (role != "admin"), fixed.REFUSE_ROLE)
         .when(action.isin(list(fixed.REFUSE_TEXT)) & is_blank(F.col("notes")), _among(action, fixed.REFUSE_TEXT))
-        .when(action.isin("create", "update") & (F.size(errors) > 0),
-              F.concat(F.lit("Validation failed: "), F.array_join(errors, ", ")))
+        .when(action.isin("create", "update"), invalid)
     )
     return joined.withColumn("early_reason", early)
 
@@ -181,8 +182,8 @@ def apply_actions(
 
     bucket and pick replace the hashes that number the approvers and draw one (see
     assign_approver). forbid_self refuses decisions on own expenses. keep is called
-    once on the joined actions, once on the decided ones and once on the milestones; it
-    writes them to the shared checkpoint folder, since every output reads them.
+    on the joined actions, the milestones, the decided actions and the changed expenses;
+    it writes them to the shared checkpoint folder, since every output reads them.
     """
     prepared = _with_actor(actions, users)
     salting = _Salting(actions, hot_rows, salts)
@@ -249,10 +250,12 @@ def apply_actions(
     accepted = decided.filter(F.col("reason").isNull())
     stays = F.coalesce(F.col("m1_action") != "delete", F.lit(True))
 
-    moved = _moved(expenses, created, accepted, milestones, users, seed, bucket, pick)
+    moved = keep(_moved(expenses, created, accepted, milestones, users, seed, bucket, pick))
     kept = moved.filter(stays)
+    untouched = expenses.join(moved.select(F.col("id").alias("moved_id")), F.col("id") == F.col("moved_id"), "left_anti")
     return WorkflowResult(
-        expenses=kept.select(*expenses.columns),
+        expenses=untouched.unionByName(kept.select(*expenses.columns)),
+        changed=kept.select(*expenses.columns),
         audit=_audit(kept, accepted.filter(stays)),
         notifications=_notifications(kept),
         comments=_comments(kept, accepted.filter(stays)),
@@ -264,27 +267,27 @@ def apply_actions(
 
 
 def _moved(expenses, created, accepted, milestones, users, seed, bucket, pick) -> DataFrame:
-    """One row per expense, old or new, with its fields as they are in the end and its
-    milestones m1, m2, m3 beside them."""
+    """One row per expense that the actions changed or created, with its fields as they
+    are in the end and its milestones m1, m2, m3 beside them."""
     births = _new_expense_rows(created, expenses)
     everyone = expenses.withColumns({
         c: F.lit(None).cast(births.schema[c].dataType) for c in ("born_ts", "born_action_id", "born_actor_id")
     }).unionByName(births)
-    latest = accepted.filter(F.col("action") == "update").groupBy(F.col("expense_id").alias("edit_id")).agg(
-        F.max(F.struct("ts", "action_id", *PAYLOAD)).alias("edit"),
+    latest = accepted.filter(F.col("action").isin("create", "update")).groupBy(
+        F.col("expense_id").alias("edit_id")).agg(
+        F.max(F.when(F.col("action") == "update", F.struct("ts", "action_id", *PAYLOAD))).alias("edit"),
         # a new receipt replaces the old one, an update without one keeps it
         F.max(F.when(F.col("receipt_url").isNotNull(),
                      F.struct("ts", "action_id", "receipt_url", "receipt_filename"))).alias("receipt"))
     edits = latest.select(
         "edit_id", F.col("edit.ts").alias("edit_ts"), *[F.col(f"edit.{c}").alias(f"edit_{c}") for c in PAYLOAD[:7]],
         *[F.col(f"receipt.{c}").alias(f"edit_{c}") for c in PAYLOAD[7:]])
+    facts = edits.join(milestones, F.col("edit_id") == F.col("m_id"), "full_outer").withColumn(
+        "fact_id", F.coalesce("edit_id", "m_id"))
     submitted = milestones.filter(F.col("m1_action") == "submit").select(F.col("m_id").alias("sent_id"))
     sent = assign_approver(submitted, users, seed, "sent_id", bucket, pick)
 
-    joined = (
-        everyone.join(edits, F.col("id") == F.col("edit_id"), "left")
-        .join(milestones, F.col("id") == F.col("m_id"), "left")
-        .join(sent, F.col("id") == F.col("sent_id"), "left"))
+    joined = everyone.join(facts, F.col("id") == F.col("fact_id")).join(sent, F.col("id") == F.col("sent_id"), "left")
     edited, decided = F.col("edit_ts").isNotNull(), F.col("m2_ts").isNotNull()
     values = {c: F.when(edited, v).otherwise(F.col(c))
               for c, v in _payload_values({p: F.col(f"edit_{p}") for p in PAYLOAD}).items()}

@@ -98,9 +98,8 @@ class ActionStream:
         result = apply_actions(before, fresh, self.users, **self.options)
         for name in self.OUTPUTS:
             _put(getattr(result, name), f"{self.folder}/{name}", batch)
-        # only the touched expenses are here: all of them are written
         tombs = before.join(result.deleted, F.col("id") == F.col("expense_id"), "left_semi")
-        after = result.expenses.withColumn("gone", F.lit(False)).unionByName(tombs.withColumn("gone", F.lit(True)))
+        after = result.changed.withColumn("gone", F.lit(False)).unionByName(tombs.withColumn("gone", F.lit(True)))
         _put(after, f"{self.folder}/changes", batch)
         _put(fresh.select(F.col("action_id").alias("seen_id")), f"{self.folder}/seen", batch)
 
