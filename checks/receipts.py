@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks.registry import at, query
 from spendspark.operators import mutations, receipts, reports
 from spendspark.plans.fixtures import AS_OF
+from spendspark.session import cut, spread
 
 VENDOR = r"nullif(trim(regexp_extract(text, '^\s*(\S[^\n]*)', 1)), '')"
 AMOUNT = r"""TRY_CAST(replace(coalesce(
@@ -44,23 +45,23 @@ DAY = f"""coalesce(
 
 @query("extract_receipt", f"WITH {READ} SELECT expense_id, vendor, amount, {DAY} AS date FROM read", "receipts")
 def _(c):
-    parsed = receipts.extract_receipt(c.receipts)
+    parsed = receipts.extract_receipt(spread(c.receipts))
     return parsed.select("expense_id", "parsed.vendor", "parsed.amount", "parsed.date")
 
 
 @query("extract_vendor", f"SELECT expense_id, {VENDOR} AS vendor FROM receipts", "receipts")
 def _(c):
-    return c.receipts.select("expense_id", receipts.vendor_of(F.col("text")).alias("vendor"))
+    return spread(c.receipts).select("expense_id", receipts.vendor_of(F.col("text")).alias("vendor"))
 
 
 @query("extract_amount", f"SELECT expense_id, {AMOUNT} AS amount FROM receipts", "receipts")
 def _(c):
-    return c.receipts.select("expense_id", receipts.amount_of(F.col("text")).alias("amount"))
+    return spread(c.receipts).select("expense_id", receipts.amount_of(F.col("text")).alias("amount"))
 
 
 @query("extract_date", f"WITH {READ} SELECT expense_id, {DAY} AS date FROM read", "receipts")
 def _(c):
-    return c.receipts.select("expense_id", receipts.date_of(F.col("text")).alias("date"))
+    return spread(c.receipts).select("expense_id", receipts.date_of(F.col("text")).alias("date"))
 
 
 @query("extract_receipt_local", r"""
@@ -79,7 +80,7 @@ WITH read AS (SELECT expense_id, trim(regexp_extract(text, '(?m)^([^\n]*[A-Za-z]
 SELECT expense_id, vendor, TRY_CAST(replace(price, ',', '.') AS DOUBLE) AS amount,
        coalesce(""" + composed("y", "m", "d") + ", " + composed("y2", "m2", "d2") + ") AS date FROM read", "receipts")
 def _(c):
-    parsed = receipts.extract_receipt(c.receipts, "locale")
+    parsed = receipts.extract_receipt(spread(c.receipts), "locale")
     return parsed.select("expense_id", "parsed.vendor", "parsed.amount", "parsed.date")
 
 
@@ -119,7 +120,8 @@ def blocks(c):
         block(2, ref("v"), "KEY_VALUE_SET", entity="VALUE", relations=[relation("CHILD", ref("p"))]),
         block(3, ref("w"), "WORD", F.lit("Total")), block(4, ref("f"), "WORD", F.col("flag")),
         block(5, ref("p"), "WORD", F.concat(F.lit("R$ "), F.col("price"), F.lit(",50"))))
-    return numbered(c).select("receipt_key", F.explode(parts).alias("b")).select("receipt_key", "b.*")
+    # OCR blocks are a stored table for their users, so store them
+    return cut(numbered(c).select("receipt_key", F.explode(parts).alias("b")).select("receipt_key", "b.*"))
 
 
 NUMBERED = """numbered AS (SELECT CAST(l_orderkey AS VARCHAR) AS receipt_key, CAST(l_quantity AS INT) AS qty,
@@ -139,11 +141,11 @@ PAIRS = f"""{NUMBERED}, pairs AS (SELECT receipt_key, 'total ' || lower(flag) AS
 
 
 @query("blocks_to_kv", f"""WITH {PAIRS}
-SELECT receipt_key, string_agg(key || '=' || value, '; ' ORDER BY pos) AS kv FROM pairs GROUP BY receipt_key""", "")
+SELECT receipt_key, 0 AS part, string_agg(key || '=' || value, '; ' ORDER BY pos) AS kv FROM pairs GROUP BY receipt_key""", "")
 def _(c):
     kv = receipts.blocks_to_kv(blocks(c))
     shown = F.transform(F.map_entries("kv"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return kv.select("receipt_key", F.array_join(shown, "; ").alias("kv"))
+    return kv.select("receipt_key", "part", F.array_join(shown, "; ").alias("kv"))
 
 
 @query("kv_overrides", f"""WITH {PAIRS}
@@ -171,7 +173,7 @@ def _(c):
 
 
 def ocr_results(c):
-    parsed = receipts.extract_receipt(c.receipts.withColumn("kv", F.lit(None).cast("map<string,string>")))
+    parsed = receipts.extract_receipt(spread(c.receipts).withColumn("kv", F.lit(None).cast("map<string,string>")))
     return parsed.select(
         "expense_id", F.col("text").alias("full_text"), "kv",
         (F.pmod(F.col("expense_id"), F.lit(40)) / 40).alias("confidence"), "parsed",

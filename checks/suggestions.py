@@ -6,6 +6,7 @@ from checks.registry import query
 from spendspark import fixed
 from spendspark.operators import categorize, ml, reports, views
 from spendspark.plans.fixtures import AS_OF
+from spendspark.session import spread
 
 TEXT = "lower(concat(coalesce(title, ''), ' ', coalesce(description, ''), ' ', coalesce(vendor, '')))"
 
@@ -44,13 +45,13 @@ ALL = f"WITH {BASE}, {LONG}, {BEST_BASE}, {MIXED}, {BEST}, {CHOICE}"
 
 @query("keyword_scores", f"WITH {BASE}, {LONG} SELECT id, category, round(score, 9) AS score FROM long_scores")
 def _(c):
-    return categorize.keyword_scores(c.expenses).withColumn("score", F.round("score", 9))
+    return categorize.keyword_scores(spread(c.expenses)).withColumn("score", F.round("score", 9))
 
 
 @query("keyword_category", f"""{ALL}
 SELECT id, base_category AS category_by_keyword, round(base_confidence, 9) AS keyword_confidence FROM final""")
 def _(c):
-    return categorize.keyword_category(c.expenses).select(
+    return categorize.keyword_category(spread(c.expenses)).select(
         "id", "category_by_keyword", F.round("keyword_confidence", 9).alias("keyword_confidence"))
 
 
@@ -65,13 +66,13 @@ def _(c):
 
 @query("combined_scores", f"{ALL} SELECT id, category, round(score, 9) AS score FROM mixed")
 def _(c):
-    long = categorize.suggest_category(c.expenses).select("id", F.explode("all_scores").alias("s"))
+    long = categorize.suggest_category(spread(c.expenses)).select("id", F.explode("all_scores").alias("s"))
     return long.select("id", "s.category", F.round("s.score", 9).alias("score"))
 
 
 @query("suggest_category", f"{ALL} SELECT id, category, round(confidence, 9) AS confidence FROM final")
 def _(c):
-    return categorize.suggest_category(c.expenses).select(
+    return categorize.suggest_category(spread(c.expenses)).select(
         "id", F.col("suggested_category").alias("category"), F.round("suggested_confidence", 9).alias("confidence"))
 
 
@@ -93,7 +94,7 @@ SELECT id, category AS service_category, round(score, 9) AS service_confidence F
 
 @query("service_rules", SERVICE)
 def _(c):
-    return categorize.service_rules(c.expenses).select(
+    return categorize.service_rules(spread(c.expenses)).select(
         "id", "service_category", F.round("service_confidence", 9).alias("service_confidence"))
 
 
@@ -113,7 +114,7 @@ SELECT e.id, f.category AS ml_suggested_category, round(f.confidence, 2) AS ml_c
        'ml_categorized' AS action, e.user_id, f.category AS logged_category
 FROM expenses e JOIN final f ON f.id = e.id""")
 def _(c):
-    suggestions = categorize.suggest_category(c.expenses).withColumnRenamed("id", "expense_id")
+    suggestions = categorize.suggest_category(spread(c.expenses)).withColumnRenamed("id", "expense_id")
     updated, audit = categorize.apply_suggestions(c.expenses, suggestions, AS_OF)
     logged = F.get_json_object("metadata", "$.suggested_category").alias("logged_category")
     rows = audit.select(F.col("expense_id"), "user_id", "action", "notes", logged)

@@ -221,10 +221,9 @@ def _(c):
     return views.recent_expenses(c.expenses).select("id", "user_id", "rn")
 
 
-@query("sort_expenses", f"""
-SELECT id, status FROM (SELECT id, status FROM expenses ORDER BY {RANK} DESC, id LIMIT 500) x""")
+@query("sort_expenses", "SELECT id, status FROM expenses")
 def _(c):
-    return views.sort_expenses(c.expenses, "status", "down").select("id", "status").limit(500)
+    return views.sort_expenses(c.expenses, "status", "down").select("id", "status")
 
 
 @query("page", "SELECT id FROM expenses ORDER BY title ASC, id LIMIT 25 OFFSET 50")

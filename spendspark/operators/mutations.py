@@ -36,10 +36,16 @@ def _by_admin(wishes: DataFrame, users: DataFrame) -> DataFrame:
     return wishes.join(actors, F.col("actor_id") == F.col("a_id"), "left").withColumn("actor_reason", reason)
 
 
-def _change_users(users: DataFrame, wishes: DataFrame, column: str, reason: Column) -> tuple[DataFrame, DataFrame]:
+def _refused_wishes(wishes: DataFrame, users: DataFrame, *columns: str) -> DataFrame:
+    """Wishes with a reason, and those for users that do not exist."""
     targets = users.select(F.col("id").alias("t_id"))
-    judged = wishes.join(targets, F.col("user_id") == F.col("t_id"), "left").withColumn(
-        "reason", F.coalesce(reason, F.when(F.col("t_id").isNull(), fixed.REFUSE_NO_USER)))
+    joined = wishes.join(targets, F.col("user_id") == F.col("t_id"), "left").withColumn(
+        "reason", F.coalesce(F.col("reason"), F.when(F.col("t_id").isNull(), fixed.REFUSE_NO_USER)))
+    return joined.filter(F.col("reason").isNotNull()).select(*columns, "reason")
+
+
+def _change_users(users: DataFrame, wishes: DataFrame, column: str, reason: Column) -> tuple[DataFrame, DataFrame]:
+    judged = wishes.withColumn("reason", reason)
     good = judged.filter(F.col("reason").isNull()).groupBy(F.col("user_id").alias("w_id")).agg(
         F.max_by(F.struct(F.col(column), F.col("ts")), _order()).alias("w"))
     new = good.select("w_id", F.col(f"w.{column}").alias("w_value"), F.col("w.ts").alias("w_ts"))
@@ -47,7 +53,7 @@ def _change_users(users: DataFrame, wishes: DataFrame, column: str, reason: Colu
     values = {column: F.when(changed, F.col("w_value")).otherwise(F.col(column)),
               "updated_at": F.when(changed, F.col("w_ts")).otherwise(F.col("updated_at"))}
     result = users.join(new, F.col("id") == F.col("w_id"), "left").withColumns(values).select(*users.columns)
-    return result, judged.filter(F.col("reason").isNotNull()).select("update_id", "user_id", "actor_id", "reason")
+    return result, _refused_wishes(judged, users, "update_id", "user_id", "actor_id")
 
 
 def set_roles(users: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,18 +85,16 @@ def patch_profiles(users: DataFrame, patches: DataFrame) -> tuple[DataFrame, Dat
     rules = [(wrong("first_name", 1), fixed.MSG_FIRST_NAME), (wrong("last_name", 1), fixed.MSG_LAST_NAME),
              (wrong("department", 0), fixed.MSG_DEPARTMENT)]
     errors = F.array_compact(F.array(*[F.when(bad, F.lit(m)) for bad, m in rules]))
-    targets = users.select(F.col("id").alias("t_id"))
-    judged = trimmed.join(targets, F.col("user_id") == F.col("t_id"), "left").withColumn("reason", F.coalesce(
+    judged = trimmed.withColumn("reason", F.coalesce(
         F.when(F.size(errors) > 0, F.concat(F.lit("Validation failed: "), F.array_join(errors, ", "))),
-        F.when(F.coalesce(*fields).isNull(), fixed.REFUSE_NO_FIELDS),
-        F.when(F.col("t_id").isNull(), fixed.REFUSE_NO_USER)))
+        F.when(F.coalesce(*fields).isNull(), fixed.REFUSE_NO_FIELDS)))
     new = judged.filter(F.col("reason").isNull()).groupBy(F.col("user_id").alias("p_id")).agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), _order())).alias(f"p_{f}") for f in fields],
         F.max("ts").alias("p_ts"))
     result = users.join(new, F.col("id") == F.col("p_id"), "left").withColumns({
         **{f: F.coalesce(f"p_{f}", f) for f in fields},
         "updated_at": F.coalesce("p_ts", "updated_at")}).select(*users.columns)
-    return result, judged.filter(F.col("reason").isNotNull()).select("update_id", "user_id", "reason")
+    return result, _refused_wishes(judged, users, "update_id", "user_id")
 
 
 def set_preferences(users: DataFrame, wishes: DataFrame) -> DataFrame:
@@ -139,8 +143,9 @@ def mark_all_read(notifications: DataFrame, owners: DataFrame) -> tuple[DataFram
     """owners: user_id. Also returns how many notifications changed per user."""
     chosen = owners.select(F.col("user_id").alias("w_user")).distinct()
     joined = notifications.join(chosen, F.col("user_id") == F.col("w_user"), "left")
-    changed = joined.filter(F.col("w_user").isNotNull() & ~F.col("read")).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("changed"))
+    # counted before the join: one row per user and map task is shuffled
+    unread = notifications.filter(~F.col("read")).groupBy("user_id").agg(F.count(F.lit(1)).alias("changed"))
+    changed = unread.join(chosen, F.col("user_id") == F.col("w_user"), "left_semi")
     return joined.withColumn("read", F.col("read") | F.col("w_user").isNotNull()).select(
         *notifications.columns), changed
 

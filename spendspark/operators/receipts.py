@@ -41,11 +41,10 @@ def _relation(kind: str) -> Column:
     return F.get(F.filter("Relationships", lambda r: r["Type"] == kind), F.lit(0))["Ids"]
 
 
-def _joined_words(rows: DataFrame, group: list[str], order: str, word: str, name: str) -> DataFrame:
-    """Words of one block in order. A block is one printed field, so the group is the
-    handful of words the page shows for it."""
-    ordered = F.sort_array(F.collect_list(F.struct(order, word)))
-    return rows.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda w: w[word]), " ").alias(name))
+def _in_words(entry: Column, word: str) -> Column:
+    """Words of one block by their number, joined by blanks. A block is one printed
+    field, so the group is the handful of words the page shows for it."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda w: w[word]), " ")
 
 
 def block_texts(blocks: DataFrame) -> DataFrame:
@@ -53,14 +52,20 @@ def block_texts(blocks: DataFrame) -> DataFrame:
     fields = blocks.filter(F.col("BlockType") == "KEY_VALUE_SET")
     words = blocks.filter(F.coalesce(F.col("Text"), F.lit("")) != "").select(
         F.col("receipt_key").alias("w_key"), F.col("Id").alias("w_id"), F.col("Text").alias("w_text"))
+    # one row per child id; a block without children keeps one row with a null id
     children = fields.select(
-        "receipt_key", "Id", F.posexplode(_relation("CHILD")).alias("child_no", "child_id"))
+        "receipt_key", "Id", "pos", "EntityTypes", "Relationships", "Text",
+        F.posexplode_outer(F.when(F.coalesce(F.col("Text"), F.lit("")) == "", _relation("CHILD"))).alias(
+            "child_no", "child_id"))
     named = children.join(
-        words, (F.col("receipt_key") == F.col("w_key")) & (F.col("child_id") == F.col("w_id")))
-    spelled = _joined_words(named, ["receipt_key", "Id"], "child_no", "w_text", "child_text")
-    return fields.join(spelled, ["receipt_key", "Id"], "left").select(
+        words, (F.col("receipt_key") == F.col("w_key")) & (F.col("child_id") == F.col("w_id")), "left")
+    carried = ["pos", "EntityTypes", "Relationships", "Text"]
+    spelled = named.groupBy("receipt_key", "Id").agg(
+        *[F.first(c).alias(c) for c in carried],
+        _in_words(F.when(F.col("w_text").isNotNull(), F.struct("child_no", "w_text")), "w_text").alias("child_text"))
+    return spelled.select(
         "receipt_key", "Id", "pos", "EntityTypes", "Relationships",
-        F.coalesce(F.nullif("Text", F.lit("")), F.col("child_text"), F.lit("")).alias("block_text"))
+        F.coalesce(F.nullif("Text", F.lit("")), F.col("child_text")).alias("block_text"))
 
 
 def blocks_to_pairs(blocks: DataFrame) -> DataFrame:
@@ -74,16 +79,19 @@ def blocks_to_pairs(blocks: DataFrame) -> DataFrame:
     values = texts.select(F.col("receipt_key").alias("v_key"), F.col("Id").alias("v_id"),
                           F.col("block_text").alias("v_text"))
     found = wanted.join(values, (F.col("receipt_key") == F.col("v_key")) & (F.col("value_id") == F.col("v_id")))
-    pairs = _joined_words(found, ["receipt_key", "key_id", "key_pos", "key"], "value_no", "v_text", "value")
+    pairs = found.groupBy("receipt_key", "key_id", "key_pos", "key").agg(
+        _in_words(F.struct("value_no", "v_text"), "v_text").alias("value"))
     return pairs.filter(F.col("value") != "").groupBy("receipt_key", "key").agg(
         F.min("key_pos").alias("pos"), F.max_by("value", "key_pos").alias("value"))
 
 
-def blocks_to_kv(blocks: DataFrame) -> DataFrame:
-    """One map per receipt, keys in reading order."""
-    pairs = blocks_to_pairs(blocks)
+def blocks_to_kv(blocks: DataFrame, positions_per_part: int = 100_000) -> DataFrame:
+    """Maps with the keys in reading order. A part holds the keys of so many block
+    positions; a receipt within the upload limit has part 0 only. For results over
+    all parts see pair_overrides."""
+    pairs = blocks_to_pairs(blocks).withColumn("part", F.floor(F.col("pos") / positions_per_part).cast("int"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "key", "value")))
-    return pairs.groupBy("receipt_key").agg(
+    return pairs.groupBy("receipt_key", "part").agg(
         F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["key"], p["value"]))).alias("kv"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spendspark import fixed
 from spendspark.functions.scalars import display_name, enum_rank
+from spendspark.plans.skew import Salting
 
 SORT_FIELDS = ["created_at", "expense_date", "amount", "status", "title"]
 
@@ -128,15 +129,16 @@ def audit_trail(audit: DataFrame, users: DataFrame) -> DataFrame:
 
 def _bundled(rows: DataFrame, fields: list[str], name: str, max_lines: int) -> DataFrame:
     """Rows per expense as sorted arrays of at most about max_lines: an expense with
-    more lines is spread over several parts by a hash of the row id, so no task
-    ever builds an unbounded array. The line counts are pre-aggregated before
-    their shuffle, and only the large expenses are looked up."""
+    more lines is spread over several parts by a hash of the row id, so no task ever
+    builds an unbounded array. The line counts are pre-aggregated before their
+    shuffle; the rows of hot expenses are salted to meet their count."""
     large = (
         rows.groupBy(F.col("expense_id").alias("large_id")).agg(F.count(F.lit(1)).alias("lines"))
         .filter(F.col("lines") > max_lines)
         .select("large_id", F.ceil(F.col("lines") / F.lit(max_lines)).alias("pieces"))
     )
-    parts = rows.join(large, F.col("expense_id") == F.col("large_id"), "left").withColumn(
+    salting = Salting(rows, "expense_id", "id")
+    parts = salting.meet(salting.scatter(rows), large, "large_id").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0)).cast("int"))
     line = F.struct(*fields)
     return parts.groupBy("expense_id", "part").agg(F.sort_array(F.collect_list(line)).alias(name))

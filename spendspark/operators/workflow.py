@@ -19,6 +19,7 @@ from spendspark import fixed
 from spendspark.functions.scalars import display_name, is_blank, let, trim_all
 from spendspark.operators.checks import claim_amount, claim_date, expense_errors
 from spendspark.operators.views import assign_approver, number_approvers
+from spendspark.plans.skew import Salting
 from spendspark.session import cut
 
 PAYLOAD = ["title", "description", "amount", "currency", "expense_date", "vendor", "category",
@@ -82,37 +83,6 @@ def _with_actor(actions: DataFrame, users: DataFrame) -> DataFrame:
     return joined.withColumn("early_reason", early)
 
 
-class _Salting:
-    """Spreads the actions of hot expenses over several tasks.
-
-    Hot ids are those with at least hot_rows actions, so there are at most
-    (number of actions / hot_rows) of them: a bound that makes them broadcastable.
-    """
-
-    def __init__(self, actions: DataFrame, hot_rows: int, salts: int):
-        self.salts = salts
-        self.hot = actions.groupBy(F.col("expense_id").alias("hot_id")).agg(
-            F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select("hot_id")
-
-    def _marked(self, df: DataFrame, key: str) -> DataFrame:
-        return df.join(F.broadcast(self.hot), F.col(key) == F.col("hot_id"), "left")
-
-    def scatter(self, actions: DataFrame) -> DataFrame:
-        salt = F.when(F.col("hot_id").isNotNull(), F.pmod(F.xxhash64("action_id"), F.lit(self.salts)).cast("int"))
-        return self._marked(actions, "expense_id").withColumn("salt", F.coalesce(salt, F.lit(0))).drop("hot_id")
-
-    def copies(self, rows: DataFrame, key: str) -> DataFrame:
-        """One row per salt of its expense, to meet the scattered actions."""
-        salts = F.when(F.col("hot_id").isNotNull(), F.sequence(F.lit(0), F.lit(self.salts - 1)))
-        return self._marked(rows, key).withColumn(
-            "copy_salt", F.explode(F.coalesce(salts, F.array(F.lit(0))))).drop("hot_id")
-
-    def meet(self, scattered: DataFrame, rows: DataFrame, key: str, how: str = "left") -> DataFrame:
-        copies = self.copies(rows, key)
-        met = scattered.join(copies, (F.col("expense_id") == F.col(key)) & (F.col("salt") == F.col("copy_salt")), how)
-        return met.drop("copy_salt")
-
-
 def _created(prepared: DataFrame, expenses: DataFrame) -> DataFrame:
     """First valid create action of each id that is not taken."""
     fields = ["ts", "action_id", "actor_id", *PAYLOAD]
@@ -186,7 +156,7 @@ def apply_actions(
     it writes them to the shared checkpoint folder, since every output reads them.
     """
     prepared = _with_actor(actions, users)
-    salting = _Salting(actions, hot_rows, salts)
+    salting = Salting(actions, "expense_id", "action_id", hot_rows, salts)
     created = _created(prepared, expenses)
     slots = number_approvers(users, bucket=bucket)
     approvers = slots.agg(F.count(F.lit(1)).alias("n")).scalar()
