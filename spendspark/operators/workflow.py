@@ -10,7 +10,8 @@ with very many actions are salted over several tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +31,72 @@ KNOWN_ACTIONS = ["create", "comment", "reimburse", *OWNER_ACTIONS, *DECISIONS]
 NEW_STATE = {action: to for action, (_, to, _, _) in fixed.TRANSITIONS.items()}
 
 
-@dataclass
 class WorkflowResult:
-    expenses: DataFrame  # all of them, new state
-    changed: DataFrame  # only those the actions changed or created
-    audit: DataFrame
-    notifications: DataFrame
-    comments: DataFrame
-    rejected: DataFrame
-    deleted: DataFrame
-    ocr_jobs: DataFrame
-    feedback: DataFrame
+    """What a batch of actions leaves behind. The outputs are built when asked for;
+    the decided actions and the moved expenses, which several of them read, are
+    written once (keep)."""
+
+    def __init__(self, expenses: DataFrame, milestones: DataFrame, decide: Callable[[], DataFrame],
+                 move: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame]):
+        self._expenses, self._milestones, self._decide, self._move, self._keep = expenses, milestones, decide, move, keep
+
+    @cached_property
+    def _decided(self) -> DataFrame:
+        return self._keep(self._decide())
+
+    @cached_property
+    def _accepted(self) -> DataFrame:
+        return self._decided.filter(F.col("reason").isNull())
+
+    @cached_property
+    def _moved(self) -> DataFrame:
+        return self._keep(self._move(self._accepted))
+
+    @staticmethod
+    def _standing(rows: DataFrame) -> DataFrame:
+        """Rows of expenses that were not deleted."""
+        return rows.filter(F.coalesce(F.col("m1_action") != "delete", F.lit(True)))
+
+    @property
+    def changed(self) -> DataFrame:
+        """New state of the expenses that the actions changed or created."""
+        return self._standing(self._moved).select(*self._expenses.columns)
+
+    @property
+    def expenses(self) -> DataFrame:
+        """New state of all expenses."""
+        moved = self._moved.select(F.col("id").alias("moved_id"))
+        untouched = self._expenses.join(moved, F.col("id") == F.col("moved_id"), "left_anti")
+        return untouched.unionByName(self.changed)
+
+    @property
+    def audit(self) -> DataFrame:
+        return _audit(self._standing(self._moved), self._standing(self._accepted))
+
+    @property
+    def notifications(self) -> DataFrame:
+        return _notifications(self._standing(self._moved))
+
+    @property
+    def comments(self) -> DataFrame:
+        return _comments(self._standing(self._moved), self._standing(self._accepted))
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self._decided.filter(F.col("reason").isNotNull()).select(
+            "action_id", "expense_id", "actor_id", "action", "ts", "reason")
+
+    @property
+    def deleted(self) -> DataFrame:
+        return self._milestones.filter(F.col("m1_action") == "delete").select(F.col("m_id").alias("expense_id"))
+
+    @property
+    def ocr_jobs(self) -> DataFrame:
+        return _ocr_jobs(self._standing(self._accepted))
+
+    @property
+    def feedback(self) -> DataFrame:
+        return _feedback(self._standing(self._moved))
 
 
 def _among(column: Column, values: dict[str, str]) -> Column:
@@ -216,24 +272,9 @@ def apply_actions(
             .when(action.isin(DECISIONS) & own & F.lit(forbid_self), fixed.REFUSE_ROLE)
             .when(needed.isNotNull() & (state != needed), _among(action, fixed.REFUSE_STATE))
             .when((action == "submit") & (F.col("approvers") == 0), fixed.REFUSE_NO_APPROVER)))
-    decided = keep(decided.withColumn("reason", reason))
-    accepted = decided.filter(F.col("reason").isNull())
-    stays = F.coalesce(F.col("m1_action") != "delete", F.lit(True))
-
-    moved = keep(_moved(expenses, created, accepted, milestones, users, seed, bucket, pick))
-    kept = moved.filter(stays)
-    untouched = expenses.join(moved.select(F.col("id").alias("moved_id")), F.col("id") == F.col("moved_id"), "left_anti")
     return WorkflowResult(
-        expenses=untouched.unionByName(kept.select(*expenses.columns)),
-        changed=kept.select(*expenses.columns),
-        audit=_audit(kept, accepted.filter(stays)),
-        notifications=_notifications(kept),
-        comments=_comments(kept, accepted.filter(stays)),
-        rejected=decided.filter(F.col("reason").isNotNull()).select(
-            "action_id", "expense_id", "actor_id", "action", "ts", "reason"),
-        deleted=milestones.filter(F.col("m1_action") == "delete").select(F.col("m_id").alias("expense_id")),
-        ocr_jobs=_ocr_jobs(accepted.filter(stays)),
-        feedback=_feedback(kept))
+        expenses, milestones, decide=lambda: decided.withColumn("reason", reason),
+        move=lambda accepted: _moved(expenses, created, accepted, milestones, users, seed, bucket, pick), keep=keep)
 
 
 def _moved(expenses, created, accepted, milestones, users, seed, bucket, pick) -> DataFrame:
