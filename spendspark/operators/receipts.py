@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendspark import fixed
 from spendspark.functions.scalars import leading_number, let, moment, percent_text, trim_all
+from spendspark.session import cut
 
 # what \s covers in JavaScript beyond the ASCII blanks of Java
 _WIDE = r"\s\u00a0\ufeff\u2028\u2029"
@@ -70,8 +71,9 @@ def block_texts(blocks: DataFrame) -> DataFrame:
 
 def blocks_to_pairs(blocks: DataFrame) -> DataFrame:
     """Long form (receipt_key, pos, key, value): lower-case keys; the last of equal
-    keys wins and keeps the place of the first."""
-    texts = block_texts(blocks)
+    keys wins and keeps the place of the first. The block texts, read once as keys and
+    once as values, are written to the shared checkpoint folder in between."""
+    texts = cut(block_texts(blocks))
     keys = texts.filter(F.array_contains("EntityTypes", "KEY") & (F.col("block_text") != ""))
     wanted = keys.select(
         "receipt_key", F.col("Id").alias("key_id"), F.col("pos").alias("key_pos"),
