@@ -18,6 +18,7 @@ def spark():
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
                .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-")).getOrCreate())
     session.sparkContext.setLogLevel("OFF")
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     yield configure(session)
     session.stop()
 
