@@ -51,8 +51,17 @@ def fingerprint(text: Column) -> Column:
 
 def leaves_of(found: Column) -> Column:
     """The leaves of a fingerprint, one string of 8 digits each."""
-    runs = F.regexp_extract_all(found, F.lit("-([0-9a-f]*)"), F.lit(1))
-    return F.regexp_extract_all(F.array_join(runs, ""), F.lit("[0-9a-f]{8}"), F.lit(0))
+    return leaves_in(F.array_join(F.regexp_extract_all(found, F.lit("-([0-9a-f]*)"), F.lit(1)), ""))
+
+
+def leaves_in(run: Column) -> Column:
+    return F.regexp_extract_all(run, F.lit("[0-9a-f]{8}"), F.lit(0))
+
+
+def leaf_run(text: Column) -> Column:
+    """The leaves of a text, as they follow each other in its fingerprint."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.array_join(
+        F.transform(F.regexp_extract_all(line, F.lit(LEAVES), F.lit(0)), lambda leaf: F.substring(F.md5(leaf), 1, 8)), "")), "")
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -98,19 +107,20 @@ def report(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("mark") == F.col("key_mark"))
     keyed = links.select(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), "prev_id", "prev_mark", "prev_chars")
     # what each document sends to the one before it: as many code points as that one gives up, and its leaves
-    sent = rows.join(keyed, same).groupBy("prev_id", "prev_mark").agg(
-        F.first(F.expr("substring(text, 1, CAST(floor(prev_chars / 4) AS INT))")).alias("tail"), F.first("text").alias("next_text"))
-    sent = sent.select("prev_id", "prev_mark", "tail", fingerprint(F.col("next_text")).alias("next_fingerprint"))
+    sent = rows.join(keyed, same).select(
+        "prev_id", "prev_mark", F.expr("substring(text, 1, CAST(floor(prev_chars / 4) AS INT))").alias("tail"),
+        leaf_run(F.col("text")).alias("next_run")).groupBy("prev_id", "prev_mark").agg(
+        F.first("tail").alias("tail"), F.first("next_run").alias("next_run"))
     met = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("mark") == F.col("prev_mark")))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 4) AS INT))"), F.col("tail"))
     prints = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"),
-                        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), "next_fingerprint")
+                        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), "next_run")
     own = leaves_of(F.col("fingerprint"))
     return prints.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(own, leaves_of(F.col("edited_fingerprint"))).alias("near_edited"),
-        likeness(own, leaves_of(F.col("next_fingerprint"))).alias("near_next"))
+        likeness(own, leaves_in(F.col("next_run"))).alias("near_next"))
 
 
 # The same in DuckDB's SQL.
