@@ -37,12 +37,13 @@ from spendspark.llm.words import LOWER, batch_words, byte_table, mix
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-WINDOW, STEP = 32, 16  # words
+WINDOW = 3  # words; windows start at every word
 ROWS = 3000  # of each class
 MAX_CHARS = 20_000
-WHOLE_EPOCHS, WINDOW_EPOCHS = 2, 8
+WHOLE_EPOCHS, WINDOW_EPOCHS = 1, 10
+DRAWN = 4  # clean windows drawn for each document
 BATCH = 256
-RATE = 0.5
+RATE = 1.0
 
 INSIDE = byte_table("letters_digits")
 
@@ -91,9 +92,9 @@ class Words:
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, end and text of every window; together they cover all words."""
         counts = np.diff(self.edges)
-        per_text = np.where(counts > 0, np.maximum(0, -(-(counts - WINDOW) // STEP)) + 1, 0)
+        per_text = np.where(counts > 0, np.maximum(counts - WINDOW, 0) + 1, 0)
         owner = np.repeat(np.arange(len(counts)), per_text)
-        starts = self.edges[owner] + STEP * ranges(np.zeros(len(counts), np.int64), per_text)
+        starts = ranges(self.edges[:-1], per_text)
         return starts, np.minimum(starts + WINDOW, self.edges[owner + 1]), owner
 
     def logits(self, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -124,8 +125,12 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         words = Words(texts)
         starts, ends, owner = words.windows()
-        top, _ = highest(words.logits(self.weights, starts, ends) + self.bias, owner, len(texts))
-        return 1 / (1 + np.exp(-np.clip(top, -700, 700))) * np.isfinite(top)
+        found = np.zeros(len(texts))
+        if len(owner):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            top = np.maximum.reduceat(words.logits(self.weights, starts, ends), first) + self.bias
+            found[owner[first]] = 1 / (1 + np.exp(-np.clip(top, -700, 700)))
+        return found
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
@@ -161,10 +166,10 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         touched, place = np.unique(buckets, return_inverse=True)
         to_bucket = np.stack([np.bincount(place, to_word[word, k], len(touched)) for k in range(DIMENSIONS)], 1)
         squares[0][touched] += to_bucket ** 2
-        embeddings[touched] -= RATE * 0.2 * to_bucket / np.sqrt(squares[0][touched])
+        embeddings[touched] -= RATE * to_bucket / np.sqrt(squares[0][touched])
         for values, square, slope in ((softmax, squares[1], averages.T @ error), (bias, squares[2], error.sum(0))):
             square += slope ** 2
-            values -= RATE * 0.2 * slope / np.sqrt(square)
+            values -= RATE * slope / np.sqrt(square)
 
     def epoch(first: np.ndarray, end: np.ndarray, label: np.ndarray) -> None:
         order = random.permutation(len(first))
@@ -182,7 +187,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         _, at = highest(words.logits(flat().weights, starts, ends), owner, len(labels))
         top = at[at >= 0]
         clean = np.flatnonzero(labels[owner] == 0)
-        drawn = random.choice(clean, min(len(clean), len(top)), replace=False)
+        drawn = random.choice(clean, min(len(clean), DRAWN * len(top)), replace=False)
         chosen = np.concatenate([top, drawn])
         epoch(starts[chosen], ends[chosen], labels[owner[chosen]])
     model = flat()
