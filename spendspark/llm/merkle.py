@@ -101,26 +101,29 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    # a key without nulls, so that grouping and joining by it share one shuffle
+    key = lambda doc_id: (F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(doc_id).isNull())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c.alias(k) for c, k in zip(key("doc_id"), ("id", "no_id"))]).withColumn(
+        "mark", F.xxhash64("text"))
     links = cut(neighbours(rows.select("doc_id", "mark", F.length("text").alias("n_chars")).distinct()))
-    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("mark") == F.col("key_mark"))
-    keyed = links.select(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), "prev_id", "prev_mark", "prev_chars")
+    keyed = links.select(*[c.alias(k) for c, k in zip(key("doc_id"), ("id", "no_id"))], "mark",
+                         *[c.alias(k) for c, k in zip(key("prev_id"), ("to_id", "to_none"))], F.col("prev_mark").alias("to_mark"), "prev_chars")
     # what each document sends to the one before it: as many code points as that one gives up, and its leaves
-    sent = rows.join(keyed, same).select(
-        "prev_id", "prev_mark", F.expr("substring(text, 1, CAST(floor(prev_chars / 4) AS INT))").alias("tail"),
-        leaf_run(F.col("text")).alias("next_run")).groupBy("prev_id", "prev_mark").agg(
-        F.first("tail").alias("tail"), F.first("next_run").alias("next_run"))
-    met = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("mark") == F.col("prev_mark")))
+    sent = rows.join(keyed, ["id", "no_id", "mark"]).select(
+        F.col("to_id").alias("id"), F.col("to_none").alias("no_id"), F.col("to_mark").alias("mark"), F.col("doc_id").alias("next_id"),
+        F.expr("substring(text, 1, CAST(floor(prev_chars / 4) AS INT))").alias("tail"),
+        leaf_run(F.col("text")).alias("next_run")).groupBy("id", "no_id", "mark").agg(
+        F.first("tail").alias("tail"), F.first("next_run").alias("next_run"), F.first("next_id").alias("next_id"))
+    met = rows.join(sent, ["id", "no_id", "mark"])
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 4) AS INT))"), F.col("tail"))
     prints = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"),
-                        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), "next_run")
+                        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), "next_run", "next_id")
     own = leaves_of(F.col("fingerprint"))
     return prints.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(own, leaves_of(F.col("edited_fingerprint"))).alias("near_edited"),
-        likeness(own, leaves_in(F.col("next_run"))).alias("near_next"))
+        likeness(own, leaves_in(F.col("next_run"))).alias("near_next"), "next_id")
 
 
 # The same in DuckDB's SQL.
@@ -137,12 +140,13 @@ _LIKENESS = """CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 1.0
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id),
-        first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
+        first_value(text) OVER (ORDER BY doc_id)) AS next_text,
+        coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
 e AS (SELECT *, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) AS edited FROM n),
 f AS (SELECT *, {_FINGERPRINT.format('text')} AS fingerprint, {_FINGERPRINT.format('edited')} AS edited_fingerprint,
         {_FINGERPRINT.format('next_text')} AS next_fingerprint FROM e),
 l AS (SELECT *, {_LEAVES.format('fingerprint')} AS a, {_LEAVES.format('edited_fingerprint')} AS b,
         {_LEAVES.format('next_fingerprint')} AS c FROM f)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-       {_LIKENESS.format('a', 'b')} AS near_edited, {_LIKENESS.format('a', 'c')} AS near_next FROM l
+       {_LIKENESS.format('a', 'b')} AS near_edited, {_LIKENESS.format('a', 'c')} AS near_next, next_id FROM l
 """
