@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from checks.registry import at, query
 from spendspark.operators import mutations, receipts, reports
 from spendspark.plans.fixtures import AS_OF
-from spendspark.session import cut, spread
+from spendspark.session import cut
 
 VENDOR = r"nullif(trim(regexp_extract(text, '^\s*(\S[^\n]*)', 1)), '')"
 AMOUNT = r"""TRY_CAST(replace(coalesce(
@@ -45,23 +45,23 @@ DAY = f"""coalesce(
 
 @query("extract_receipt", f"WITH {READ} SELECT expense_id, vendor, amount, {DAY} AS date FROM read", "receipts")
 def _(c):
-    parsed = receipts.extract_receipt(spread(c.receipts))
+    parsed = receipts.extract_receipt(c.receipts)
     return parsed.select("expense_id", "parsed.vendor", "parsed.amount", "parsed.date")
 
 
 @query("extract_vendor", f"SELECT expense_id, {VENDOR} AS vendor FROM receipts", "receipts")
 def _(c):
-    return spread(c.receipts).select("expense_id", receipts.vendor_of(F.col("text")).alias("vendor"))
+    return c.receipts.select("expense_id", receipts.vendor_of(F.col("text")).alias("vendor"))
 
 
 @query("extract_amount", f"SELECT expense_id, {AMOUNT} AS amount FROM receipts", "receipts")
 def _(c):
-    return spread(c.receipts).select("expense_id", receipts.amount_of(F.col("text")).alias("amount"))
+    return c.receipts.select("expense_id", receipts.amount_of(F.col("text")).alias("amount"))
 
 
 @query("extract_date", f"WITH {READ} SELECT expense_id, {DAY} AS date FROM read", "receipts")
 def _(c):
-    return spread(c.receipts).select("expense_id", receipts.date_of(F.col("text")).alias("date"))
+    return c.receipts.select("expense_id", receipts.date_of(F.col("text")).alias("date"))
 
 
 @query("extract_receipt_local", r"""
@@ -80,7 +80,7 @@ WITH read AS (SELECT expense_id, trim(regexp_extract(text, '(?m)^([^\n]*[A-Za-z]
 SELECT expense_id, vendor, TRY_CAST(replace(price, ',', '.') AS DOUBLE) AS amount,
        coalesce(""" + composed("y", "m", "d") + ", " + composed("y2", "m2", "d2") + ") AS date FROM read", "receipts")
 def _(c):
-    parsed = receipts.extract_receipt(spread(c.receipts), "locale")
+    parsed = receipts.extract_receipt(c.receipts, "locale")
     return parsed.select("expense_id", "parsed.vendor", "parsed.amount", "parsed.date")
 
 
@@ -131,21 +131,55 @@ NUMBERED = """numbered AS (SELECT CAST(l_orderkey AS VARCHAR) AS receipt_key, CA
 
 
 @query("blocks_to_text", f"""WITH {NUMBERED}
-SELECT receipt_key, 0 AS part, string_agg('Qty ' || qty, chr(10) ORDER BY n) AS text FROM numbered GROUP BY receipt_key""", "")
+SELECT receipt_key, string_agg('Qty ' || qty, chr(10) ORDER BY n) AS text FROM numbered GROUP BY receipt_key""", "")
 def _(c):
     return receipts.blocks_to_text(blocks(c))
 
 
+@query("blocks_to_text_long", """
+WITH lines AS (SELECT CAST(l_orderkey % 3 AS VARCHAR) AS receipt_key, l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS qty FROM lineitem)
+SELECT receipt_key, md5(string_agg('Qty ' || qty, chr(10) ORDER BY l_orderkey, l_linenumber, qty)) AS text, count(*) AS n_lines
+FROM lines GROUP BY receipt_key""", "")
+def _(c):
+    """Three receipts that hold a third of all lines each."""
+    place = F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int"))
+    lines = c.base("lineitem").select(
+        F.pmod("l_orderkey", F.lit(3)).cast("string").alias("receipt_key"), place.alias("pos"), F.lit("LINE").alias("BlockType"),
+        F.concat(F.lit("Qty "), F.col("l_quantity").cast("int").cast("string")).alias("Text"))
+    text = receipts.blocks_to_text(lines)
+    return text.select("receipt_key", F.md5("text").alias("text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+DATES = ["01/20/2025", "2025-01-20T23:00:00-05:00", "01/20/2025 abc", "20 Jan 2025", "Jan 31, 2025 11:30 PM", "2025-01-01 00:30+02:00",
+         "2025-02-30x", "31/12/2024 10:00"]
+
+
+@query("date_overrides", """
+SELECT CAST(l_orderkey AS VARCHAR) || ':' || l_linenumber AS receipt_key, 7.5 AS total, min(CASE (l_orderkey + l_linenumber) % 8
+    WHEN 0 THEN '2025-01-20' WHEN 1 THEN '2025-01-21' WHEN 3 THEN '2025-01-20' WHEN 4 THEN '2025-01-31' WHEN 5 THEN '2024-12-31'
+    END) AS date FROM lineitem GROUP BY l_orderkey, l_linenumber""", "")
+def _(c):
+    """Dates with times, zones and what follows them."""
+    kind = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8)).cast("int")
+    lines = c.base("lineitem").select("l_orderkey", "l_linenumber").distinct()
+    pairs = lines.select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("receipt_key"),
+        F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.lit("total").alias("key"), F.lit("7,50").alias("value")),
+                          F.struct(F.lit(2).alias("pos"), F.lit("date").alias("key"),
+                                   F.element_at(F.array(*[F.lit(d) for d in DATES]), kind + 1).alias("value")))).alias("p")).select("receipt_key", "p.*")
+    return receipts.pair_overrides(pairs)
+
+
 PAIRS = f"""{NUMBERED}, pairs AS (SELECT receipt_key, 'total ' || lower(flag) AS key, min(n * 10 + 1) AS pos,
     'R$ ' || max_by(price, n) || ',50' AS value FROM numbered GROUP BY receipt_key, flag)"""
 
 
 @query("blocks_to_kv", f"""WITH {PAIRS}
-SELECT receipt_key, 0 AS part, string_agg(key || '=' || value, '; ' ORDER BY pos) AS kv FROM pairs GROUP BY receipt_key""", "")
+SELECT receipt_key, string_agg(key || '=' || value, '; ' ORDER BY pos) AS kv FROM pairs GROUP BY receipt_key""", "")
 def _(c):
     kv = receipts.blocks_to_kv(blocks(c))
     shown = F.transform(F.map_entries("kv"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return kv.select("receipt_key", "part", F.array_join(shown, "; ").alias("kv"))
+    return kv.select("receipt_key", F.array_join(shown, "; ").alias("kv"))
 
 
 @query("kv_overrides", f"""WITH {PAIRS}
@@ -173,7 +207,7 @@ def _(c):
 
 
 def ocr_results(c):
-    parsed = receipts.extract_receipt(spread(c.receipts).withColumn("kv", F.lit(None).cast("map<string,string>")))
+    parsed = receipts.extract_receipt(c.receipts.withColumn("kv", F.lit(None).cast("map<string,string>")))
     return parsed.select(
         "expense_id", F.col("text").alias("full_text"), "kv",
         (F.pmod(F.col("expense_id"), F.lit(40)) / 40).alias("confidence"), "parsed",
@@ -196,6 +230,21 @@ def _(c):
     return new_expenses.select("id", "ocr_status", stored).join(queue, F.col("id") == F.col("expense_id")).drop("expense_id")
 
 
+@query("apply_ocr_results_twice", f"""{OUTCOME}
+SELECT e.id, CASE WHEN o.date IS NULL THEN 'failed' ELSE 'completed' END AS ocr_status, q.attempts + CASE WHEN o.date IS NULL
+       THEN 1 ELSE 0 END AS attempts, CASE WHEN o.date IS NOT NULL THEN 1 ELSE 0 END AS audit_rows
+FROM expenses e JOIN ocr_queue q ON q.expense_id = e.id JOIN outcome o ON o.expense_id = e.id""",
+       "receipts expenses ocr_queue")
+def _(c):
+    """Every result delivered twice: nothing multiplies."""
+    results = ocr_results(c)
+    new_expenses, new_queue, audit = receipts.apply_ocr_results(c.expenses, c.ocr_queue, results.union(results), AS_OF)
+    logged = audit.groupBy(F.col("expense_id").alias("a_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    queue = new_queue.select("expense_id", "attempts")
+    return new_expenses.join(queue, F.col("id") == F.col("expense_id")).join(logged, F.col("id") == F.col("a_id"), "left").select(
+        "id", "ocr_status", "attempts", F.coalesce("n", F.lit(0)).alias("audit_rows"))
+
+
 @query("ocr_audit", f"""{OUTCOME}
 SELECT e.id AS expense_id, e.user_id,
        concat('OCR processing completed with ', printf('%.1f', (e.id % 40) / 40.0 * 100), '% confidence') AS notes

@@ -1,5 +1,6 @@
 """Filters, joined views, sorting, paging."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import at, query
@@ -129,14 +130,28 @@ def _(c):
     return views.audit_trail(c.audit_log, c.users).select("id", "expense_id", "action", "metadata", "user_name")
 
 
-@query("expense_dossier", f"""
-WITH talk AS (SELECT c.expense_id, count(*) AS n,
-                     string_agg(concat({NAME.format('u')}, ': ', c.comment), chr(10) ORDER BY c.created_at, c.id) AS lines
-              FROM comments c JOIN users u ON c.user_id = u.id GROUP BY c.expense_id),
-trail AS (SELECT a.expense_id, count(*) AS n,
-                 string_agg(concat({NAME.format('u')}, ': ', a.action), ', ' ORDER BY a.created_at DESC, a.id DESC) AS lines
-          FROM audit_log a JOIN users u ON a.user_id = u.id GROUP BY a.expense_id)
-SELECT e.id, 0 AS part, {NAME.format('u')} AS user_name,
+LINES = f"""lines AS (SELECT c.expense_id, 'comment' AS section, c.id AS line_id, {NAME.format('u')} AS user_name, c.comment AS text,
+    row_number() OVER (PARTITION BY c.expense_id ORDER BY c.created_at, c.id) AS place
+  FROM comments c JOIN users u ON c.user_id = u.id
+  UNION ALL SELECT a.expense_id, 'audit', a.id, {NAME.format('u')}, a.action,
+    row_number() OVER (PARTITION BY a.expense_id ORDER BY a.created_at DESC, a.id DESC)
+  FROM audit_log a JOIN users u ON a.user_id = u.id)"""
+
+
+@query("expense_dossier", f"WITH {LINES} SELECT expense_id, section, CAST(line_id AS VARCHAR) AS line_id, user_name, text, place FROM lines",
+       "users expenses comments audit_log")
+def _(c):
+    lines = views.expense_dossier(c.users, c.comments.withColumn("id", F.col("id").cast("string")), c.audit_log.withColumn("id", F.col("id").cast("string")))
+    return lines.select("expense_id", "section", "line_id", "user_name", "text",
+                        F.row_number().over(Window.partitionBy("expense_id", "section").orderBy(*views.dossier_order())).cast("long").alias("place"))
+
+
+@query("dossier_nested", f"""WITH {LINES},
+talk AS (SELECT expense_id, count(*) AS n, string_agg(user_name || ': ' || text, chr(10) ORDER BY place) AS lines
+         FROM lines WHERE section = 'comment' GROUP BY expense_id),
+trail AS (SELECT expense_id, count(*) AS n, string_agg(user_name || ': ' || text, ', ' ORDER BY place) AS lines
+          FROM lines WHERE section = 'audit' GROUP BY expense_id)
+SELECT e.id, {NAME.format('u')} AS user_name,
        CASE WHEN p.id IS NULL THEN ' ' ELSE {NAME.format('p')} END AS approver_name,
        CAST(coalesce(talk.n, 0) AS INT) AS comment_count, coalesce(talk.lines, '') AS comments,
        CAST(coalesce(trail.n, 0) AS INT) AS audit_count, coalesce(trail.lines, '') AS audit_log
@@ -144,14 +159,24 @@ FROM expenses e JOIN users u ON e.user_id = u.id LEFT JOIN users p ON e.approver
 LEFT JOIN talk ON talk.expense_id = e.id LEFT JOIN trail ON trail.expense_id = e.id""",
        "users expenses comments audit_log")
 def _(c):
-    d = views.expense_dossier(c.expenses, c.users, c.comments, c.audit_log)
+    lines = views.expense_dossier(c.users, c.comments.withColumn("id", F.col("id").cast("string")), c.audit_log.withColumn("id", F.col("id").cast("string")))
+    d = views.nest(views.expense_detail(c.expenses, c.users), lines)
+
+    def joined(column, sep):
+        return F.array_join(F.transform(column, lambda x: F.concat(x["user_name"], F.lit(": "), x["text"])), sep)
 
-    def lines(column, field, sep):
-        return F.array_join(F.transform(column, lambda x: F.concat(x["user_name"], F.lit(": "), x[field])), sep)
+    return d.select("id", "user_name", "approver_name", F.size("comments").alias("comment_count"),
+                    joined("comments", "\n").alias("comments"), F.size("audit_log").alias("audit_count"),
+                    joined("audit_log", ", ").alias("audit_log"))
 
-    return d.select("id", "part", "user_name", "approver_name", F.size("comments").alias("comment_count"),
-                    lines("comments", "comment", "\n").alias("comments"), F.size("audit_log").alias("audit_count"),
-                    lines("audit_log", "action", ", ").alias("audit_log"))
+
+@query("page_per_user_deep", """
+WITH ranked AS (SELECT id, user_id % 2 AS user_id, row_number() OVER (PARTITION BY user_id % 2 ORDER BY created_at DESC NULLS FIRST, id) AS rn FROM expenses)
+SELECT id, user_id, rn FROM ranked WHERE rn > 1180 AND rn <= 1200""", "expenses")
+def _(c):
+    """Page 60 of two users who hold all rows."""
+    rows = c.expenses.withColumn("user_id", F.col("user_id") % 2)
+    return views.page_per_user(rows, views.sort_keys(), page=60, limit=20).select("id", "user_id", F.col("rn").cast("long").alias("rn"))
 
 
 @query("pending_queue", f"""

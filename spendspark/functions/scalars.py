@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendspark import fixed
@@ -87,3 +87,12 @@ def receipt_key(url: Column, parts: int = 3) -> Column:
     """Key back from an object URL. parts=2 is the historic reading, which loses
     the folder name."""
     return F.substring_index(url, "/", -parts)
+
+
+def one_per(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The row of each key that is last in the order. Aggregates partially before the
+    shuffle, so a key with very many rows costs one row per task; rows without a key go."""
+    ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("one_key")).agg(
+        F.max_by(whole, ranked).alias("one_row")).select("one_row.*")

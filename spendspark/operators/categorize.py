@@ -155,17 +155,22 @@ def service_rules(claims: DataFrame) -> DataFrame:
 # --- writing suggestions and feedback back -----------------------------------------------
 
 
-def apply_suggestions(expenses: DataFrame, suggestions: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def apply_suggestions(expenses: DataFrame, suggestions: DataFrame, as_of, latest: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(expenses with the suggestion columns, audit rows).
 
     suggestions: expense_id, suggested_category, suggested_confidence, method,
     all_scores, and optionally error (text): such a row leaves the expense alone and
-    is logged as failed. At most one suggestion per expense.
+    is logged as failed. Of several suggestions of one expense (retries, repeated
+    deliveries) the latest by the column `latest` counts, where it is given; ties and the
+    rest go to one without error, then to the higher confidence, then category.
     """
-    from spendspark.functions.scalars import moment
+    from spendspark.functions.scalars import moment, one_per
 
     now = moment(as_of)
     error = F.col("error") if "error" in suggestions.columns else F.lit(None).cast("string")
+    order = [F.col(latest)] if latest else []
+    suggestions = one_per(suggestions, "expense_id", [
+        *order, error.isNull(), F.col("suggested_confidence"), F.col("suggested_category"), error])
     given = suggestions.select(
         F.col("expense_id").alias("s_id"), F.col("suggested_category").alias("s_category"),
         F.col("suggested_confidence").cast("double").alias("s_confidence"), F.col("method").alias("s_method"),

@@ -19,9 +19,13 @@ def claim_date(text: Column) -> Column:
     return F.when(shaped, F.try_to_date(F.translate(text, "/", "-"), "yyyy-M-d"))
 
 
-def claim_amount(text: Column) -> Column:
+def claim_number(text: Column) -> Column:
     shaped = text.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")
-    return F.when(shaped, text.try_cast("double").try_cast("decimal(10,2)"))
+    return F.when(shaped, text.try_cast("double"))
+
+
+def claim_amount(text: Column) -> Column:
+    return claim_number(text).try_cast("decimal(10,2)")
 
 
 def expense_errors(as_of=None, prefix: str = "") -> Column:
@@ -31,12 +35,13 @@ def expense_errors(as_of=None, prefix: str = "") -> Column:
         return F.col(prefix + name).cast("string")
 
     title = F.coalesce(trim_all(col("title")), F.lit(""))
-    amount = claim_amount(col("amount"))
+    # the number as given is compared: rounding first would let 0.007 pass
+    number, amount = claim_number(col("amount")), claim_amount(col("amount"))
     day = claim_date(col("expense_date"))
     rules = [
         ((F.char_length(title) < 1) | (F.char_length(title) > 255), fixed.MSG_TITLE),
         (_length_over(col("description"), 1000), fixed.MSG_DESCRIPTION),
-        (F.coalesce(amount < F.lit(0.01).cast("decimal(10,2)"), F.lit(True)), fixed.MSG_AMOUNT),
+        (F.coalesce((number < 0.01) | amount.isNull(), F.lit(True)), fixed.MSG_AMOUNT),
         (F.coalesce(F.char_length(col("currency")) != 3, F.lit(False)), fixed.MSG_CURRENCY),
         (day.isNull(), fixed.MSG_DATE),
     ]

@@ -19,6 +19,7 @@ from spendspark import fixed
 from spendspark.functions.scalars import moment
 from spendspark.operators.categorize import claim_text, with_final_choice, with_service_scores
 from spendspark.operators.reports import classification_report
+from spendspark.session import cut
 
 
 def expense_features(claims: DataFrame) -> DataFrame:
@@ -93,20 +94,23 @@ def train_categorizer(
     if total < fixed.FIT_MIN_SAMPLES:
         raise InsufficientData("Insufficient training data (minimum 10 samples required)")
 
-    split = stratified_split(usable, key, label, seed=seed)
+    # version and sample count are those of all rows given, also of classes left out
+    given = samples.count()
+    # read by the weights, the vocabulary, the idf, the forest and the test: tokenised once
+    terms = [
+        *text_stages(),
+        NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+    ]
+    tokenised = Pipeline(stages=terms).fit(usable)
+    split = cut(tokenised.transform(stratified_split(usable, key, label, seed=seed)))
     train, test = split.filter("in_train"), split.filter("NOT in_train")
     train_sizes = train.groupBy(F.col(label).alias("w_label")).agg(F.count(F.lit(1)).alias("n"))
     weights = train_sizes.withColumn(
         "weight", train_sizes.agg(F.sum("n")).scalar() / (F.lit(len(sizes)) * F.col("n")))
     weighted = train.join(F.broadcast(weights), F.col(label) == F.col("w_label")).drop("w_label", "n")
 
-    words = [
-        *text_stages(),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=0.8),
-    ]
-    counted = Pipeline(stages=words).fit(weighted)
+    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=0.8).fit(weighted)
     vectors = counted.transform(weighted)
     idf = IDF(inputCol="tf", outputCol="tf_idf").fit(vectors)
     # smoothed idf plus one, as a fixed scaling of at most `vocabulary` numbers
@@ -120,11 +124,11 @@ def train_categorizer(
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label_index", featuresCol="features",
         weightCol="weight").fit(ready)
-    model = PipelineModel(stages=[*counted.stages, *rest.stages[:2], forest])
+    model = PipelineModel(stages=[*tokenised.stages, counted, *rest.stages[:2], forest])
 
     indexed = list(rest.stages[2].labels)
-    categorizer = Categorizer(model, indexed, f"1.{total}", str(as_of), None, total, 0)
-    scored = score_categorizer(categorizer, test)
+    categorizer = Categorizer(model, indexed, f"1.{given}", str(as_of), None, given, 0)
+    scored = score_categorizer(categorizer, test.select(*usable.columns))
     report = classification_report(scored, label, "base_category")
     # at most one row per class and three averages
     rows = {r["class"]: r for r in report.collect()}

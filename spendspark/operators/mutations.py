@@ -268,28 +268,39 @@ def approval_route(expenses: DataFrame, settings: DataFrame) -> DataFrame:
 
 
 def render_messages(rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """Outbox rows: receiver, template, vars MAP<STRING,STRING> -> subject and body.
+    """Outbox rows: receiver, template, vars MAP<STRING,STRING>, and optionally html and
+    custom_subject -> subject, body, reason.
+
+    A row of an unknown template takes its own html; without one it stays, with a null body
+    and the reason. A custom subject goes before the template's.
 
     {{name}} takes the value, empty when null; {{#if name}}..{{/if}} stays for a value
     that is not empty. Names the row does not give stay as they are, their blocks go.
     """
-    known = templates.select(F.col("name").alias("t_name"), "subject", "html")
-    joined = rows.join(known, F.col("template") == F.col("t_name")).drop("t_name")
-    entries = F.map_entries("vars")
+    known = templates.select(F.col("name").alias("t_name"), F.col("subject").alias("t_subject"), F.col("html").alias("t_html"))
+    joined = rows.join(known, F.col("template") == F.col("t_name"), "left").drop("t_name")
+    given = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    joined = joined.withColumns({
+        "subject": F.coalesce(given("custom_subject"), F.col("t_subject")),
+        "html": F.coalesce(F.col("t_html"), given("html")),
+        "reason": F.when(F.coalesce(F.col("t_html"), given("html")).isNull(), "unknown template"),
+    })
+    entries = F.map_entries(F.coalesce("vars", F.create_map().cast("map<string,string>")))
 
     def fill(text: Column, entry: Column) -> Column:
         tag = F.concat(F.lit("{{"), entry["key"], F.lit("}}"))
         return F.replace(text, tag, F.coalesce(entry["value"], F.lit("")))
 
     def settle(text: Column, entry: Column) -> Column:
-        block = F.concat(F.lit(r"(?s)\{\{#if "), entry["key"], F.lit(r"\}\}(.*?)\{\{/if\}\}"))
+        name = F.regexp_replace(entry["key"], r"(\W)", r"\\$1")  # a key is no pattern
+        block = F.concat(F.lit(r"(?s)\{\{#if "), name, F.lit(r"\}\}(.*?)\{\{/if\}\}"))
         keep = F.when(F.coalesce(entry["value"], F.lit("")) != "", F.lit("$1")).otherwise(F.lit(""))
         return F.regexp_replace(text, block, keep)
 
     filled = F.aggregate(entries, F.col("html"), fill)
     settled = F.aggregate(entries, filled, settle)
     body = F.regexp_replace(settled, r"(?s)\{\{#if \w+\}\}.*?\{\{/if\}\}", "")
-    return joined.withColumn("body", body).drop("html", "vars")
+    return joined.withColumn("body", body).drop("html", "vars", "t_subject", "t_html", "custom_subject")
 
 
 def default_templates(spark) -> DataFrame:

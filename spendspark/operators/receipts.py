@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendspark import fixed
-from spendspark.functions.scalars import leading_number, let, moment, percent_text, trim_all
+from spendspark.functions.scalars import leading_number, let, moment, one_per, percent_text, trim_all
 from spendspark.session import cut
 
 # what \s covers in JavaScript beyond the ASCII blanks of Java
@@ -24,16 +24,13 @@ def _java(pattern: str) -> str:
 # --- OCR blocks ---------------------------------------------------------------------------
 
 
-def blocks_to_text(blocks: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """LINE blocks in order, joined by newlines.
-
-    A part holds the lines of lines_per_part consecutive positions, which bounds what
-    one group collects; a receipt within the upload limit has part 0 only.
-    """
-    lines = blocks.filter(F.col("BlockType") == "LINE").withColumn(
-        "part", F.floor(F.col("pos") / lines_per_part).cast("int"))
+def blocks_to_text(blocks: DataFrame) -> DataFrame:
+    """LINE blocks in order, joined by newlines: one row per receipt, of any length. What
+    one group collects is the text of one file, which the upload limit that scan_receipts
+    enforces (10 MB) bounds."""
+    lines = blocks.filter(F.col("BlockType") == "LINE")
     ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("Text", F.lit("")).alias("Text"))))
-    return lines.groupBy("receipt_key", "part").agg(
+    return lines.groupBy("receipt_key").agg(
         F.array_join(F.transform(ordered, lambda b: b["Text"]), "\n").alias("text"))
 
 
@@ -44,7 +41,7 @@ def _relation(kind: str) -> Column:
 
 def _in_words(entry: Column, word: str) -> Column:
     """Words of one block by their number, joined by blanks. A block is one printed
-    field, so the group is the handful of words the page shows for it."""
+    field; all its words come from one file, which the upload limit bounds."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda w: w[word]), " ")
 
 
@@ -87,13 +84,12 @@ def blocks_to_pairs(blocks: DataFrame) -> DataFrame:
         F.min("key_pos").alias("pos"), F.max_by("value", "key_pos").alias("value"))
 
 
-def blocks_to_kv(blocks: DataFrame, positions_per_part: int = 100_000) -> DataFrame:
-    """Maps with the keys in reading order. A part holds the keys of so many block
-    positions; a receipt within the upload limit has part 0 only. For results over
-    all parts see pair_overrides."""
-    pairs = blocks_to_pairs(blocks).withColumn("part", F.floor(F.col("pos") / positions_per_part).cast("int"))
+def blocks_to_kv(blocks: DataFrame) -> DataFrame:
+    """One map per receipt with the keys in reading order, bounded like the text. For results
+    without a map see pair_overrides."""
+    pairs = blocks_to_pairs(blocks)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "key", "value")))
-    return pairs.groupBy("receipt_key", "part").agg(
+    return pairs.groupBy("receipt_key").agg(
         F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["key"], p["value"]))).alias("kv"))
 
 
@@ -126,13 +122,31 @@ _WORDED = (rf"^[{_WIDE}]*\d{{1,9}}[{_WIDE}]+\w+[{_WIDE}]+\d{{1,9}}", rf"[{_WIDE}
 _MONTH_FIRST = (rf"^[{_WIDE}]*[A-Za-z]+\.?[{_WIDE}]+\d{{1,2}},?[{_WIDE}]+\d{{2,4}}", rf"[.,{_WIDE}]+")
 
 
+# what may follow a date up to the end of the text: a time, and its zone
+_TIME = (rf"(?:(?:T|,?[{_WIDE}]+)(\d{{1,2}}):(\d{{2}})(?::\d{{2}}(?:\.\d+)?)?[{_WIDE}]*([AaPp][Mm])?[{_WIDE}]*"
+         rf"(?:Z|UTC|GMT)?([+-]\d{{2}}:?\d{{2}})?)?[{_WIDE}]*$")
+
+
+def _in_utc(day: Column, text: Column, pattern: str) -> Column:
+    """The day on which that time of that zone falls in UTC; without a zone the day itself."""
+    def minutes(hour: Column, minute: Column, half: Column, zone: Column) -> Column:
+        on_clock = F.when(half == "", hour.cast("int")).otherwise(
+            hour.cast("int") % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0)) * 60 + minute.cast("int")
+        ahead = F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, -2, 2).cast("int")
+        return on_clock - F.when(zone.startswith("-"), -ahead).otherwise(ahead)
+
+    part = [F.regexp_extract(text, pattern, g) for g in (1, 2, 3, 4)]
+    return F.when(part[3] == "", day).otherwise(F.date_add(day, F.floor(minutes(*part) / 1440).cast("int")))
+
+
 def _pieces(text: Column, shape: tuple[str, str], read: Callable[[Column, Column, Column], Column]) -> Column:
-    """read(first, second, third part) of a text of that shape, null for other texts. A
-    cast then only meets digits: casts that fail are dear, even tolerant ones."""
-    pattern, separator = shape
-    parts = let(F.regexp_extract(text, pattern, 0),
-                lambda m: F.when(m != "", F.split(trim_all(m), separator)))
-    return let(parts, lambda p: read(*[F.get(p, F.lit(i)) for i in range(3)]))
+    """read(first, second, third part) of a text of that shape, which only a time may
+    follow, null for other texts. A cast then only meets digits: casts that fail are dear,
+    even tolerant ones."""
+    date_part, separator = shape
+    whole = date_part + _TIME
+    parts = F.when(text.rlike(whole), F.split(trim_all(F.regexp_extract(text, date_part, 0)), separator))
+    return _in_utc(let(parts, lambda p: read(*[F.get(p, F.lit(i)) for i in range(3)])), text, whole)
 
 
 def _month_number(word: Column) -> Column:
@@ -171,7 +185,8 @@ def _month_first_date(text: Column) -> Column:
 
 
 def date_from(text: Column) -> Column:
-    """Date of a text that starts with one, month first; null when not readable."""
+    """Date of a text that is one, month first, or one with a time after it; null when not
+    readable. A time with a zone counts in UTC, one without is taken as UTC."""
     return F.coalesce(_numeric_date(text), _worded_date(text), _month_first_date(text))
 
 
@@ -282,15 +297,19 @@ def extract_receipt(receipts: DataFrame, mode: str = "reference", text: str = "t
 # --- writing results back ------------------------------------------------------------------------
 
 
-def apply_ocr_results(expenses: DataFrame, queue: DataFrame, results: DataFrame, as_of
+def apply_ocr_results(expenses: DataFrame, queue: DataFrame, results: DataFrame, as_of, latest: str | None = None
                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(expenses, queue, audit rows) after a batch of OCR results.
 
     results: expense_id, full_text, kv, confidence, parsed, error. Without error: data
     and status are stored, an audit row is written. With error: status failed, message
-    kept, attempts + 1, no audit row. At most one result per expense.
+    kept, attempts + 1, no audit row. Of several results of one expense (retries, repeated
+    deliveries) the latest by the column `latest` counts, where it is given; ties and
+    the rest go to a result without error, then to the higher confidence, then text.
     """
     now = moment(as_of)
+    order = [F.col(latest)] if latest else []
+    results = one_per(results, "expense_id", [*order, F.col("error").isNull(), F.col("confidence"), F.col("full_text"), F.col("error")])
     done = results.select(
         F.col("expense_id").alias("r_id"), F.col("error").alias("r_error"), F.col("confidence").alias("r_confidence"),
         "parsed",
@@ -324,7 +343,7 @@ def apply_ocr_results(expenses: DataFrame, queue: DataFrame, results: DataFrame,
     return new_expenses, new_queue, audit
 
 
-def retry_failed(expenses: DataFrame, queue: DataFrame, texts: DataFrame, as_of, n: int | None = 10,
+def retry_failed(expenses: DataFrame, queue: DataFrame, texts: DataFrame, as_of, n: int | None = None,
                  hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs the extraction again for the retry candidates. texts: expense_id, full_text,
     kv, confidence; a candidate without text fails again."""

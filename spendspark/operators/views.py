@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from spendspark import fixed
 from spendspark.functions.scalars import display_name, enum_rank
-from spendspark.plans.skew import Salting
 
 SORT_FIELDS = ["created_at", "expense_date", "amount", "status", "title"]
 
@@ -46,11 +45,15 @@ def page_after(df: DataFrame, column: str, after, after_id, limit: int = 20, id_
 
 
 def page_per_user(df: DataFrame, keys: list[Column], page: int = 1, limit: int = 20,
-                  owner: str = "user_id") -> DataFrame:
-    """The same page of every user at once. The filter on the row number lets Spark
-    keep only the first page*limit rows per user before the shuffle, so one user
-    with very many rows costs no more than page*limit rows per task."""
-    numbered = df.withColumn("rn", F.row_number().over(Window.partitionBy(owner).orderBy(*keys)))
+                  owner: str = "user_id", row_id: str = "id", salts: int = 64) -> DataFrame:
+    """The same page of every user at once. Rows are first ranked in `salts` parts of
+    each user and only the first page*limit of each part go on to the rank over the user,
+    so a user with a third of all rows costs at most salts*page*limit rows in one task,
+    on deep pages too."""
+    part = F.pmod(F.xxhash64(row_id), F.lit(salts))
+    first = df.withColumn("part", part).withColumn(
+        "rn", F.row_number().over(Window.partitionBy(owner, "part").orderBy(*keys))).filter(F.col("rn") <= page * limit).drop("rn", "part")
+    numbered = first.withColumn("rn", F.row_number().over(Window.partitionBy(owner).orderBy(*keys)))
     return numbered.filter((F.col("rn") <= page * limit) & (F.col("rn") > (page - 1) * limit))
 
 
@@ -127,55 +130,40 @@ def audit_trail(audit: DataFrame, users: DataFrame) -> DataFrame:
     return _with_author(audit, users).orderBy("expense_id", F.col("created_at").desc(), "id")
 
 
-def _bundled(rows: DataFrame, fields: list[str], name: str, max_lines: int) -> DataFrame:
-    """Rows per expense as sorted arrays of at most about max_lines: an expense with
-    more lines is spread over several parts by a hash of the row id, so no task ever
-    builds an unbounded array. The line counts are pre-aggregated before their
-    shuffle; the rows of hot expenses are salted to meet their count."""
-    large = (
-        rows.groupBy(F.col("expense_id").alias("large_id")).agg(F.count(F.lit(1)).alias("lines"))
-        .filter(F.col("lines") > max_lines)
-        .select("large_id", F.ceil(F.col("lines") / F.lit(max_lines)).alias("pieces"))
-    )
-    salting = Salting(rows, "expense_id", "id")
-    parts = salting.meet(salting.scatter(rows), large, "large_id").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0)).cast("int"))
-    line = F.struct(*fields)
-    return parts.groupBy("expense_id", "part").agg(F.sort_array(F.collect_list(line)).alias(name))
+def expense_dossier(users: DataFrame, comments: DataFrame, audit: DataFrame, comment_order: str = "created_at") -> DataFrame:
+    """Comments and audit lines of expenses in long form: one row per line, at any size.
 
+    Columns: expense_id, section (comment or audit), at, line_id, user_name, text,
+    is_internal. dossier_order puts comments oldest first, audit lines newest first. The
+    expense itself is a row of expense_detail; nest makes arrays of the lines.
+    """
+    said = comments.select("expense_id", F.lit("comment").alias("section"), F.col(comment_order).alias("at"),
+                           F.col("id").alias("line_id"), "user_id", F.col("comment").alias("text"), "is_internal")
+    done = audit.select("expense_id", F.lit("audit").alias("section"), F.col("created_at").alias("at"),
+                        F.col("id").alias("line_id"), "user_id", F.col("action").alias("text"), F.lit(None).cast("boolean").alias("is_internal"))
+    return _with_author(said.unionByName(done), users).select(
+        "expense_id", "section", "at", "line_id", "user_name", "text", "is_internal")
 
-def expense_dossier(expenses: DataFrame, users: DataFrame, comments: DataFrame, audit: DataFrame,
-                    comment_order: str = "created_at", max_lines: int = 1000) -> DataFrame:
-    """Detail row with its comments (oldest first) and audit lines (newest first).
 
-    Children are bundled before they meet the expense, so rows do not multiply.
-    Expenses with up to max_lines comments and audit lines give one row (part 0);
-    a larger one continues in parts 1, 2, ... and none of its lines is lost.
-    """
-    comments = _with_author(comments, users)
-    threads = _bundled(comments, [comment_order, "id", "user_name", "comment", "is_internal"],
-                       "comments", max_lines)
-    trail = _with_author(audit, users)
-    logs = _bundled(trail, ["created_at", "id", "user_name", "action"], "audit_log", max_lines)
-    logs = logs.withColumn("audit_log", F.reverse("audit_log"))
-    # part 0 exists for every expense, further parts where a child needs them
-    detail = expense_detail(expenses, users)
-    further = threads.select("expense_id", "part").unionByName(logs.select("expense_id", "part"))
-    further = further.filter(F.col("part") > 0).distinct()
-    continued = detail.join(further, F.col("id") == F.col("expense_id"), "inner").drop("expense_id")
-    rows = detail.withColumn("part", F.lit(0)).unionByName(continued)
-    keyed = [threads.withColumnsRenamed({"expense_id": "t_id", "part": "t_part"}),
-             logs.withColumnsRenamed({"expense_id": "l_id", "part": "l_part"})]
-    return (
-        rows.join(keyed[0], (F.col("id") == F.col("t_id")) & (F.col("part") == F.col("t_part")), "left")
-        .join(keyed[1], (F.col("id") == F.col("l_id")) & (F.col("part") == F.col("l_part")), "left")
-        .drop("t_id", "t_part", "l_id", "l_part")
-        .withColumns({
-            name: F.coalesce(F.col(name), F.array().cast(kind))
-            for name, kind in (("comments", threads.schema["comments"].dataType),
-                               ("audit_log", logs.schema["audit_log"].dataType))
-        })
-    )
+def dossier_order() -> list[Column]:
+    """Sort keys of the lines of one expense."""
+    newest = F.col("section") == "audit"
+    return [F.col("section").desc(), F.when(~newest, F.col("at")).asc(), F.when(~newest, F.col("line_id")).asc(),
+            F.when(newest, F.col("at")).desc(), F.when(newest, F.col("line_id")).desc()]
+
+
+def nest(details: DataFrame, lines: DataFrame) -> DataFrame:
+    """Details (one row per expense) with the arrays comments and audit_log. For the
+    expenses that are to be shown, such as a page of them: all lines of one expense
+    meet in one row, so whoever asks for it decides how much that is."""
+    def array(section: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("section") == section, F.struct("at", "line_id", "user_name", "text", "is_internal"))))
+
+    nested = lines.join(details.select(F.col("id").alias("expense_id")), "expense_id", "left_semi").groupBy(
+        F.col("expense_id").alias("n_id")).agg(array("comment").alias("comments"), F.reverse(array("audit")).alias("audit_log"))
+    met = details.join(nested, F.col("id") == F.col("n_id"), "left").drop("n_id")
+    empty = {name: F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)) for name in ("comments", "audit_log")}
+    return met.withColumns(empty)
 
 
 def pending_queue(expenses: DataFrame, users: DataFrame, page_no: int | None = None, limit: int = 20) -> DataFrame:
@@ -221,8 +209,8 @@ def training_sample(expenses: DataFrame, as_of, n: int | None = 1000) -> DataFra
     return rows.select("id", "title", "description", "vendor", "amount", "category")
 
 
-def retry_candidates(queue: DataFrame, as_of, n: int | None = 10, hours: int = 24) -> DataFrame:
-    """Failed jobs with attempts left, from the last day, oldest first."""
+def retry_candidates(queue: DataFrame, as_of, n: int | None = None, hours: int = 24) -> DataFrame:
+    """Failed jobs with attempts left, from the last day; with n, the n oldest of them."""
     from spendspark.functions.predicates import within
 
     rows = queue.filter(

@@ -10,15 +10,18 @@ class Salting:
     """Spreads the rows of hot keys over several tasks for a join with rows that are
     unique per key.
 
-    Hot keys are those with at least hot_rows rows, so there are at most (number of rows
-    / hot_rows) of them: a bound that makes their list broadcastable. All other keys
-    keep salt 0 and are not copied.
+    Hot keys are those with at least hot_rows rows and a ten-thousandth of all rows, so
+    there are at most 10,000 of them at any size: a bound that makes their list
+    broadcastable. All other keys keep salt 0 and are not copied.
     """
 
+    MOST = 10_000
+
     def __init__(self, rows: DataFrame, key: str, row_id: str, hot_rows: int = 1_000_000, salts: int = 64):
         self.key, self.row_id, self.salts = key, row_id, salts
-        self.hot = rows.groupBy(F.col(key).alias("hot_id")).agg(
-            F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select("hot_id")
+        counts = rows.groupBy(F.col(key).alias("hot_id")).agg(F.count(F.lit(1)).alias("n"))
+        least = F.greatest(F.lit(hot_rows), rows.agg(F.count(F.lit(1)) / self.MOST).scalar())
+        self.hot = counts.filter(F.col("n") >= least).select("hot_id")
 
     def _marked(self, df: DataFrame, key: str) -> DataFrame:
         return df.join(F.broadcast(self.hot), F.col(key) == F.col("hot_id"), "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+# tables written by cut, per application
+_cuts: dict[str, list[str]] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
@@ -25,30 +28,39 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors, as the cluster names it in
-    spark.checkpoint.dir. Only where that is unset (tests on one machine) a
-    temporary folder is made and set."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    path = named or tempfile.mkdtemp(prefix="spendspark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """Folder shared by the driver and all executors, as the cluster names it in
+    spark.checkpoint.dir (or SparkContext.setCheckpointDir, as tests do)."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows as a table into the shared checkpoint folder and go on from
     there: a lost executor re-reads them, later steps read only the columns they
-    need, and the plan stays small."""
+    need, and the plan stays small. remove_cuts deletes such tables."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/spendspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More tasks for costly row-by-row work on a scan of few files, one row group
-    each. A table of at least as many files as there are cores stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def cuts_so_far(spark: SparkSession) -> int:
+    return len(_cuts.get(spark.sparkContext.applicationId, []))
+
+
+def remove_cuts(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
+    """Delete the tables that cut has written in this application, by their number. What
+    was read from them can't be computed again afterwards."""
+    paths = _cuts.get(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for i, path in list(enumerate(paths))[first:end]:
+        if path:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            paths[i] = ""

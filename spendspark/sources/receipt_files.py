@@ -23,15 +23,18 @@ def scan_receipts(spark: SparkSession, path: str, max_bytes: int = fixed.RECEIPT
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     type_message = fixed.MSG_FILE_TYPE if "pdf" in extensions else fixed.MSG_AVATAR_TYPE
     bad_type, too_large = ~extension.isin(*extensions), F.col("length") > max_bytes
-    rejected = F.when(bad_type, type_message).when(too_large, fixed.MSG_FILE_SIZE)
-    if check_content:
-        start = F.hex(F.substring("content", 1, 4))
-        looks_right = F.lit(False)
-        for name, magic in MAGIC.items():
-            looks_right = looks_right | ((extension == name) & start.startswith(magic))
-        rejected = F.coalesce(rejected, F.when(~looks_right, type_message))
-    return files.select("path", "length", "modificationTime", extension.alias("extension"),
-                        rejected.alias("rejected"))
+    described = ["path", "length", "modificationTime", extension.alias("extension")]
+    by_name = files.select(*described, F.when(bad_type, type_message).when(too_large, fixed.MSG_FILE_SIZE).alias("rejected"))
+    if not check_content:
+        return by_name
+    # the size limit reaches the scan, so content above it is never read
+    start = F.hex(F.substring("content", 1, 4))
+    looks_right = F.lit(False)
+    for name, magic in MAGIC.items():
+        looks_right = looks_right | ((extension == name) & start.startswith(magic))
+    passed = files.filter((F.col("length") <= max_bytes) & ~bad_type).select(
+        *described, F.when(~looks_right, type_message).alias("rejected"))
+    return by_name.filter(F.col("rejected").isNotNull()).unionByName(passed)
 
 
 def scan_avatars(spark: SparkSession, path: str, check_content: bool = False) -> DataFrame:

@@ -82,12 +82,10 @@ def test_blocks(spark):
         ("v4", "KEY_VALUE_SET", None, 80.0, ["VALUE"], None),
     ])
     text = receipts.blocks_to_text(df).first()
-    assert (text["part"], text["text"]) == (0, "First\nSecond")
+    assert text["text"] == "First\nSecond"
     assert receipts.blocks_to_kv(df).first()["kv"] == {"total due": "12,50", "date": "2025-01-21"}
     row = receipts.pair_overrides(receipts.blocks_to_pairs(df)).first()
     assert (row["total"], row["date"]) == (12.5, date(2025, 1, 21))
-    parts = receipts.blocks_to_text(df, lines_per_part=1).orderBy("part").collect()
-    assert [p["text"] for p in parts] == ["First", "Second"]
 
 
 def test_results_reach_expense_queue_and_log(spark):
@@ -107,3 +105,25 @@ def test_results_reach_expense_queue_and_log(spark):
     assert [r["notes"] for r in audit.collect()] == ["OCR processing completed with 87.3% confidence"]
     stored = new_expenses.filter("id = 'e1'").select(F.get_json_object("ocr_data", "$.parsed.total")).first()[0]
     assert float(stored) == 9.0
+
+
+def test_repeated_results_count_once(spark):
+    expenses = seed.expenses(spark)
+    queue = seed.table(spark, "ocr_queue", [dict(id="q1", expense_id="e1", receipt_url="u", status="pending", attempts=0, max_attempts=3)])
+    raw = spark.createDataFrame(
+        [("e1", None, None, None, "lost", 1), ("e1", PLAIN, {"total": "9"}, 0.5, None, 2), ("e1", PLAIN, {"total": "9"}, 0.5, None, 2),
+         ("e1", None, None, None, "late failure", 3)],
+        "expense_id string, full_text string, kv map<string,string>, confidence double, error string, at int")
+    results = receipts.extract_receipt(raw, text="full_text")
+    for latest, status in ((None, "completed"), ("at", "failed")):
+        new_expenses, new_queue, audit = receipts.apply_ocr_results(expenses, queue, results, "2024-03-01 00:00:00", latest)
+        assert new_expenses.count() == expenses.count() and new_queue.count() == 1
+        assert seed.as_dict(new_expenses, "id", "ocr_status")["e1"] == status
+        assert audit.count() == (status == "completed")
+
+
+def test_dates_with_times_and_zones(spark):
+    texts = {"01/20/2025": "2025-01-20", "01/20/2025 abc": None, "2025-01-20T23:00:00-05:00": "2025-01-21", "2025-01-20T23:00:00Z": "2025-01-20",
+             "Jan 1, 2025 12:30 AM +0100": "2024-12-31", "20 Jan 2025 11:30 PM": "2025-01-20", "2025-01-20T": None, "": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", receipts.date_from(F.col("t")).cast("string").alias("d"))
+    assert {r["t"]: r["d"] for r in df.collect()} == texts

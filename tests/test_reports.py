@@ -55,22 +55,21 @@ def test_unknown_sort_field_means_created_at(spark):
     assert rows[0]["id"] == "e1" and rows[-1]["id"] == "e6"
 
 
-def test_dossier_of_a_busy_expense_is_split_but_whole(spark):
+def test_dossier_has_one_shape_and_order_at_any_size(spark):
     users, expenses = seed.users(spark), seed.expenses(spark)
     comments = spark.range(500).selectExpr(
         "CAST(id AS STRING) AS id", "CASE WHEN id % 3 = 0 THEN 'e1' ELSE 'e2' END AS expense_id", "'u2' AS user_id",
-        "'text ' || id AS comment", "false AS is_internal", "TIMESTAMP '2024-01-01' AS created_at")
-    audit = spark.range(20).selectExpr("CAST(id AS STRING) AS id", "'e1' AS expense_id", "'u2' AS user_id", "'updated' AS action",
-                                       "TIMESTAMP '2024-01-01' AS created_at")
-    dossier = views.expense_dossier(expenses, users, comments, audit, max_lines=50)
-    assert dossier.filter("part = 0").count() == 9
-    sizes = dossier.groupBy("id").agg(F.sum(F.size("comments")).alias("n"), F.sum(F.size("audit_log")).alias("a"),
-                                      F.max(F.size("comments")).alias("largest"))
-    rows = {r["id"]: r for r in sizes.collect()}
-    assert rows["e1"]["n"] == 167 and rows["e1"]["a"] == 20 and rows["e2"]["n"] == 333
-    assert rows["e2"]["largest"] < 120
-    texts = dossier.select(F.explode("comments.comment")).distinct().count()
-    assert texts == 500
+        "'text ' || id AS comment", "false AS is_internal", "TIMESTAMP '2024-01-01' + CAST(id AS INT) * INTERVAL '1' SECOND AS created_at")
+    audit = spark.range(2500).selectExpr("CAST(id AS STRING) AS id", "'e1' AS expense_id", "'u2' AS user_id", "'updated' AS action",
+                                         "TIMESTAMP '2024-01-01' + CAST(id AS INT) * INTERVAL '1' SECOND AS created_at")
+    lines = views.expense_dossier(users, comments, audit)
+    assert lines.count() == 3000
+    ordered = [r["line_id"] for r in lines.filter("expense_id = 'e1'").orderBy("expense_id", *views.dossier_order()).collect()]
+    assert ordered == [str(i) for i in range(0, 500, 3)] + [str(i) for i in range(2499, -1, -1)]
+    rows = {r["id"]: r for r in views.nest(views.expense_detail(expenses, users), lines).collect()}
+    assert len(rows) == 9 and rows["e3"]["comments"] == [] == rows["e3"]["audit_log"]
+    assert [x["line_id"] for x in rows["e1"]["audit_log"]] == [str(i) for i in range(2499, -1, -1)]
+    assert [x["text"] for x in rows["e2"]["comments"]] == [f"text {i}" for i in range(500) if i % 3]
 
 
 def test_page_per_user_trims_before_the_shuffle(claims):
@@ -78,6 +77,14 @@ def test_page_per_user_trims_before_the_shuffle(claims):
     assert "WindowGroupLimit" in plan
 
 
+def test_deep_page_ranks_parts_of_a_user_first(claims):
+    deep = views.page_per_user(claims.expenses.withColumn("user_id", F.lit(1)), views.sort_keys(), 60, 20)
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") >= 2 and "part#" in plan
+    wanted = views.page(claims.expenses, views.sort_keys(), 60, 20)
+    assert [r["id"] for r in deep.orderBy("rn").collect()] == [r["id"] for r in wanted.collect()]
+
+
 def test_approvers_are_numbered_without_gaps(claims):
     slots = [r["slot"] for r in views.number_approvers(claims.users).orderBy("slot").collect()]
     assert slots == list(range(len(slots))) and slots

@@ -113,3 +113,42 @@ def test_checkpoint_folder_is_the_cluster_s(spark):
     assert kept.count() == 5
     files = kept.inputFiles()
     assert files and all(spark.sparkContext.getCheckpointDir().replace("file:", "") in f for f in files)
+
+
+def test_content_above_the_size_limit_is_not_read(spark, folder):
+    os.makedirs(f"{folder}/r")
+    for name, data in (("ok.png", b"\x89PNG123"), ("fake.png", b"GIF8123"), ("big.pdf", b"%PDF" + b"x" * 5000), ("note.txt", b"hi")):
+        put(f"{folder}/r", name, data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        found = {r["path"].rsplit("/", 1)[1]: r["rejected"] for r in receipt_files.scan_receipts(
+            spark, f"{folder}/r", max_bytes=1000, check_content=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == {"ok.png": None, "fake.png": fixed.MSG_FILE_TYPE, "big.pdf": fixed.MSG_FILE_SIZE, "note.txt": fixed.MSG_FILE_TYPE}
+
+
+def test_the_shared_folder_must_be_named():
+    from unittest.mock import MagicMock
+
+    import pytest
+
+    from spendspark.session import checkpoint_dir
+
+    session = MagicMock()
+    session.sparkContext.getCheckpointDir.return_value = None
+    session.conf.get.return_value = None
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)
+
+
+def test_cuts_can_be_removed(spark):
+    from spendspark.session import cut, cuts_so_far, remove_cuts
+
+    first = cuts_so_far(spark)
+    kept = cut(spark.range(3).toDF("x"))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert kept.count() == 3 and os.path.isdir(path)
+    remove_cuts(spark, first)
+    assert not os.path.isdir(path)
+

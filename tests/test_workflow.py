@@ -186,5 +186,10 @@ def test_templates(spark):
     rows = spark.createDataFrame([(1, "t", {"name": "Ana", "note": "R$ 5 \\1"}), (2, "t", {"name": None, "note": ""}), (3, "x", {})],
                                  "id int, template string, vars map<string,string>")
     assert seed.as_dict(mutations.render_messages(rows, templates), "id", "body") == {
-        1: "Dear Ana, note: R$ 5 \\1 {{other}} Ana", 2: "Dear  {{other}} "}
+        1: "Dear Ana, note: R$ 5 \\1 {{other}} Ana", 2: "Dear  {{other}} ", 3: None}
+    assert seed.as_dict(mutations.render_messages(rows, templates), "id", "reason") == {1: None, 2: None, 3: "unknown template"}
+    own = spark.createDataFrame([(1, "x", {"a.b": "v"}, "{{a.b}}{{#if a.b}}!{{/if}}", "Mine"), (2, "t", None, "unused", None)],
+                                "id int, template string, vars map<string,string>, html string, custom_subject string")
+    assert {r["id"]: (r["subject"], r["body"]) for r in mutations.render_messages(own, templates).collect()} == {
+        1: ("Mine", "v!"), 2: ("Hi", "Dear {{name}} {{other}} {{name}}")}
     assert mutations.default_templates(spark).count() == 6
