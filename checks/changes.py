@@ -308,20 +308,74 @@ def _(c):
 
 
 @query("render_messages", r"""
-WITH letters AS (SELECT id, user_id, status, title, CAST(amount AS VARCHAR) AS amount, approval_notes FROM expenses)
-SELECT l.id, CASE l.status WHEN 'approved' THEN 'Expense approved' ELSE 'Expense rejected' END AS subject,
-       CASE l.status WHEN 'approved' THEN
-         'Hello ' || u.first_name || ', ' || u.last_name || ' approved ' || l.title || ' (BRL ' || l.amount || ') on {{approvalDate}}. '
-         ELSE 'Hello ' || u.first_name || ', ' || u.last_name || ' rejected ' || l.title || ' (BRL ' || l.amount || ') on {{rejectionDate}}.'
-              || ' Reason: ' || l.approval_notes || ' ' END AS body
-FROM letters l JOIN users u ON u.id = l.user_id WHERE l.status IN ('approved', 'rejected')""", "users expenses")
+WITH letters AS (SELECT id, user_id, title, CAST(amount AS VARCHAR) AS amount, approval_notes, CAST(id % 8 AS INT) AS kind FROM expenses)
+SELECT l.id, CASE kind WHEN 0 THEN 'Verify your account' WHEN 1 THEN 'Reset your password' WHEN 2 THEN 'Expense submitted for approval'
+         WHEN 3 THEN 'Expense approved' WHEN 4 THEN 'Expense rejected' WHEN 5 THEN 'Own subject' WHEN 6 THEN NULL ELSE NULL END AS subject,
+       CASE kind WHEN 0 THEN 'Hello ' || u.first_name || ', confirm here: {{verificationUrl}}'
+         WHEN 1 THEN 'Hello ' || u.first_name || ', choose a new password: {{resetUrl}}'
+         WHEN 2 THEN 'Hello ' || u.first_name || ', ' || l.title || ' (BRL ' || l.amount || ', {{expenseDate}}, {{category}}, {{vendor}}) waits for approval: '
+         WHEN 3 THEN 'Hello ' || u.first_name || ', ' || u.last_name || ' approved ' || l.title || ' (BRL ' || l.amount || ') on {{approvalDate}}. '
+         WHEN 4 THEN 'Hello ' || u.first_name || ', ' || u.last_name || ' rejected ' || l.title || ' (BRL ' || l.amount || ') on {{rejectionDate}}.'
+              || CASE WHEN coalesce(l.approval_notes, '') <> '' THEN ' Reason: ' || l.approval_notes ELSE '' END || ' '
+         WHEN 5 THEN 'Hello ' || u.last_name || ', {{submitterName}} sent ' || l.title || ' (BRL ' || l.amount
+              || ', {{expenseDate}}, {{category}}, {{vendor}}) on {{submissionDate}}: {{approvalUrl}}'
+         WHEN 6 THEN 'given ' || u.first_name END AS body,
+       CASE kind WHEN 7 THEN 'unknown template' END AS reason
+FROM letters l JOIN users u ON u.id = l.user_id""", "users expenses")
 def _(c):
+    """All six templates, a custom subject, a given text and an unknown template."""
     people = c.users.select(F.col("id").alias("p_id"), "first_name", "last_name")
-    letters = c.expenses.filter("status IN ('approved', 'rejected')").join(people, F.col("user_id") == F.col("p_id"))
-    rows = letters.select(
-        "id", F.concat(F.lit("expense-"), F.col("status")).alias("template"),
+    kind = F.pmod("id", F.lit(8)).cast("int")
+    names = ["email-verification", "password-reset", "expense-submitted", "expense-approved", "expense-rejected", "approval-request", "own", "none"]
+    rows = c.expenses.join(people, F.col("user_id") == F.col("p_id")).select(
+        "id", F.element_at(F.array(*[F.lit(n) for n in names]), kind + 1).alias("template"),
+        F.when(kind == 5, "Own subject").alias("custom_subject"), F.when(kind == 6, "given {{firstName}}").alias("html"),
         F.create_map(
             F.lit("firstName"), F.col("first_name"), F.lit("approverName"), F.col("last_name"), F.lit("expenseTitle"), F.col("title"),
             F.lit("currency"), F.col("currency"), F.lit("amount"), F.col("amount").cast("string"),
             F.lit("rejectionReason"), F.col("approval_notes"), F.lit("expenseUrl"), F.lit(None).cast("string")).alias("vars"))
-    return mutations.render_messages(rows, mutations.default_templates(c.spark)).select("id", "subject", "body")
+    return mutations.render_messages(rows, mutations.default_templates(c.spark)).select("id", "subject", "body", "reason")
+
+
+@query("outbox", """
+WITH m AS (SELECT a.id, a.action, e.title, u.email AS owner_email, u.first_name AS owner_first, p.email AS approver_email, p.id AS approver_id,
+                  x.first_name || ' ' || x.last_name AS actor, p.first_name || ' ' || p.last_name AS approver
+           FROM audit_log a JOIN expenses e ON e.id = a.expense_id JOIN users u ON u.id = e.user_id
+           LEFT JOIN users p ON p.id = e.approver_id LEFT JOIN users x ON x.id = a.user_id
+           WHERE a.action IN ('submitted', 'approved', 'rejected'))
+SELECT id, owner_email AS receiver, 'expense-' || action AS template, title, actor AS approver_name, owner_first AS first_name FROM m
+UNION ALL SELECT id, approver_email, 'approval-request', title, approver, owner_first FROM m WHERE action = 'submitted' AND approver_id IS NOT NULL""",
+       "users expenses audit_log")
+def _(c):
+    mails = mutations.outbox(c.audit_log.withColumn("notes", F.lit("n")), c.expenses, c.users, "https://claims.example.com/")
+    return mails.select("id", "receiver", "template", F.col("vars")["expenseTitle"].alias("title"), F.col("vars")["approverName"].alias("approver_name"),
+                        F.col("vars")["firstName"].alias("first_name"))
+
+
+@query("set_avatars", """
+SELECT id, CASE WHEN id % 3 = 0 THEN 'https://files.example.com/a/' || id || '-2.png' WHEN id % 3 = 1 THEN 'https://files.example.com/a/' || id || '-1.png'
+           END AS avatar_url FROM users""", "users")
+def _(c):
+    """Two uploads of every user, some refused."""
+    uploads = c.users.select(F.col("id").alias("user_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("ts")).select(
+        "user_id", "ts", F.concat(F.lit("https://files.example.com/a/"), F.col("user_id").cast("string"), F.lit("-"), F.col("ts").cast("string"),
+                                  F.lit(".png")).alias("avatar_url"),
+        F.when((F.col("user_id") % 3 == 2) | ((F.col("user_id") % 3 == 1) & (F.col("ts") == 2)), "refused").alias("rejected"))
+    return mutations.set_avatars(c.users, uploads, AS_OF)[0].select("id", "avatar_url")
+
+
+@query("settings_map", """
+SELECT 'k1' AS key, CAST(count(*) AS VARCHAR) AS value FROM expenses UNION ALL SELECT 'k3', CAST(sum(id) AS VARCHAR) FROM expenses""")
+def _(c):
+    sums = c.expenses.agg(F.count(F.lit(1)).cast("string").alias("n"), F.sum("id").cast("string").alias("s"))
+    rows = sums.select(F.explode(F.create_map(F.lit("k1"), "n", F.lit("k2"), "n", F.lit("k3"), "s")).alias("key", "value")).withColumns(
+        {"description": F.lit(None).cast("string"), "updated_at": F.lit(AS_OF).cast("timestamp")})
+    found = mutations.settings_map(rows, ["k1", "k3", "k9"])
+    return found.select(F.explode("settings").alias("key", "v")).select("key", "v.value")
+
+
+@query("new_id", """SELECT id, sha256(id || '|' || title) AS made FROM expenses""")
+def _(c):
+    from pyspark.sql import types as T
+
+    return c.expenses.select("id", mutations.new_id(T.StringType(), F.col("id"), F.col("title")).alias("made"))

@@ -71,20 +71,20 @@ def _(c):
     return c.spark.read.schema(suggested.schema).parquet(path)
 
 
-RATE = """SELECT strftime(time_bucket(INTERVAL '15' MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS client,
-       count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 2"""
+RATE = """SELECT strftime(time_bucket(INTERVAL '15' MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS client,
+       count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1"""
 
 
 @query("rate_limit_breaches", RATE, "")
 def _(c):
-    return jobs.rate_limit_breaches(c.base("events"), 2, client="event_type").select("window_start", "client", "requests")
+    return jobs.rate_limit_breaches(c.base("events"), 1).select("window_start", "client", "requests")
 
 
 @query("stream_rate_limit", RATE, "")
 def _(c):
-    counts = jobs.rate_limit_counts(stream_of(c, c.base("events"), "requests"), client="event_type")
+    counts = jobs.rate_limit_counts(stream_of(c, c.base("events"), "requests"))
     kept = jobs.keep_latest(counts, ["window_start", "window_end", "client"], folder(c, "rates"), folder(c, "offsets"))
-    return kept.filter("requests > 2").select("window_start", "client", "requests")
+    return kept.filter("requests > 1").select("window_start", "client", "requests")
 
 
 @query("stream_daily_trend", """

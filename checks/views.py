@@ -16,6 +16,21 @@ NAME = "concat({0}.first_name, ' ', {0}.last_name)"
 RANK = "CASE status " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(fixed.STATUSES)) + " END"
 
 
+def placed(ordered, owner):
+    """Place of each row among those of its owner in the order in which the rows came."""
+    numbered = ordered.withColumn("came", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy("came")).cast("long")).drop("came")
+
+
+@query("accessible_expenses", """
+SELECT 'employee' AS role, id FROM expenses WHERE user_id = 7 UNION ALL SELECT 'approver', id FROM expenses
+UNION ALL SELECT 'admin', id FROM expenses""")
+def _(c):
+    """What one viewer of each role may open."""
+    seen = [filters.accessible_expenses(c.expenses, 7, role).select(F.lit(role).alias("role"), "id") for role in ("employee", "approver", "admin")]
+    return seen[0].union(seen[1]).union(seen[2])
+
+
 @query("filter_expenses", """
 SELECT id, user_id, status, category, CAST(amount AS DOUBLE) AS amount, CAST(expense_date AS VARCHAR) AS expense_date
 FROM expenses WHERE status = 'approved' AND category = 'travel' AND expense_date >= DATE '1996-01-01'
@@ -117,17 +132,21 @@ def _(c):
 
 
 @query("comment_thread", f"""
-SELECT c.id, c.expense_id, c.comment, c.is_internal, {NAME.format('u')} AS user_name
+SELECT c.id, c.expense_id, c.comment, c.is_internal, {NAME.format('u')} AS user_name,
+       row_number() OVER (PARTITION BY c.expense_id ORDER BY c.created_at, c.id) AS place
 FROM comments c JOIN users u ON c.user_id = u.id""", "users comments")
 def _(c):
-    return views.comment_thread(c.comments, c.users).select("id", "expense_id", "comment", "is_internal", "user_name")
+    return placed(views.comment_thread(c.comments, c.users), "expense_id").select(
+        "id", "expense_id", "comment", "is_internal", "user_name", "place")
 
 
 @query("audit_trail", f"""
-SELECT a.id, a.expense_id, a.action, a.metadata, {NAME.format('u')} AS user_name
+SELECT a.id, a.expense_id, a.action, a.metadata, {NAME.format('u')} AS user_name,
+       row_number() OVER (PARTITION BY a.expense_id ORDER BY a.created_at DESC, a.id) AS place
 FROM audit_log a JOIN users u ON a.user_id = u.id""", "users audit_log")
 def _(c):
-    return views.audit_trail(c.audit_log, c.users).select("id", "expense_id", "action", "metadata", "user_name")
+    return placed(views.audit_trail(c.audit_log, c.users), "expense_id").select(
+        "id", "expense_id", "action", "metadata", "user_name", "place")
 
 
 LINES = f"""lines AS (SELECT c.expense_id, 'comment' AS section, c.id AS line_id, {NAME.format('u')} AS user_name, c.comment AS text,
@@ -181,11 +200,11 @@ def _(c):
 
 @query("pending_queue", f"""
 SELECT e.id, {at('e.created_at')} AS created_at, {NAME.format('u')} AS user_name, u.email AS user_email,
-       u.department AS user_department
+       u.department AS user_department, row_number() OVER (PARTITION BY e.user_id ORDER BY e.created_at, e.id) AS place
 FROM expenses e JOIN users u ON e.user_id = u.id WHERE e.status = 'pending'""", "users expenses")
 def _(c):
-    return views.pending_queue(c.expenses, c.users).select(
-        "id", "created_at", "user_name", "user_email", "user_department")
+    return placed(views.pending_queue(c.expenses, c.users), "user_id").select(
+        "id", "created_at", "user_name", "user_email", "user_department", "place")
 
 
 @query("pending_queue_page", f"""
@@ -246,9 +265,9 @@ def _(c):
     return views.recent_expenses(c.expenses).select("id", "user_id", "rn")
 
 
-@query("sort_expenses", "SELECT id, status FROM expenses")
+@query("sort_expenses", f"""SELECT id, user_id, status, row_number() OVER (PARTITION BY user_id ORDER BY {RANK} DESC, id) AS place FROM expenses""")
 def _(c):
-    return views.sort_expenses(c.expenses, "status", "down").select("id", "status")
+    return placed(views.sort_expenses(c.expenses, "status", "down"), "user_id").select("id", "user_id", "status", "place")
 
 
 @query("page", "SELECT id FROM expenses ORDER BY title ASC, id LIMIT 25 OFFSET 50")

@@ -97,6 +97,25 @@ def patch_profiles(users: DataFrame, patches: DataFrame) -> tuple[DataFrame, Dat
     return result, _refused_wishes(judged, users, "update_id", "user_id")
 
 
+def set_avatars(users: DataFrame, uploads: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(users with avatar_url and updated_at set, refused uploads with their reason).
+
+    uploads: user_id, avatar_url, rejected (as scan_avatars judges files), ts. The last
+    accepted upload of a user counts; rejected ones and unknown users are refused."""
+    from spendspark.functions.scalars import moment, one_per
+
+    good = uploads.filter(F.col("rejected").isNull())
+    last = one_per(good, "user_id", [F.col("ts"), F.col("avatar_url")]).select(F.col("user_id").alias("a_id"), F.col("avatar_url").alias("a_url"))
+    changed = F.col("a_id").isNotNull()
+    result = users.join(last, F.col("id") == F.col("a_id"), "left").withColumns({
+        "avatar_url": F.when(changed, F.col("a_url")).otherwise(F.col("avatar_url")),
+        "updated_at": F.when(changed, moment(as_of)).otherwise(F.col("updated_at"))}).select(*users.columns)
+    known = users.select(F.col("id").alias("k_id"))
+    refused = uploads.join(known, F.col("user_id") == F.col("k_id"), "left").withColumn(
+        "reason", F.coalesce("rejected", F.when(F.col("k_id").isNull(), fixed.REFUSE_UNKNOWN_ACTOR)))
+    return result, refused.filter(F.col("reason").isNotNull()).select("user_id", "avatar_url", "reason")
+
+
 def set_preferences(users: DataFrame, wishes: DataFrame) -> DataFrame:
     """wishes: update_id, user_id, ts and the five flags; an absent flag means true. The
     whole preference value is replaced."""
@@ -156,18 +175,15 @@ def delete_notifications(notifications: DataFrame, requests: DataFrame) -> tuple
             _refused(requests, notifications))
 
 
-def _preference(flag: Column) -> Column:
-    """Stored flag, true where the user or the flag has no value."""
-    prefs = F.from_json("notification_preferences", "map<string,boolean>")
-    return F.coalesce(F.try_element_at(prefs, flag), F.lit(True))
-
-
 def preference_filter(notifications: DataFrame, users: DataFrame) -> DataFrame:
     """Notifications the receiver wants in the application: flag in_app and the flag
     named like the type, both true unless stored as false."""
-    prefs = users.select(F.col("id").alias("p_id"), "notification_preferences")
+    stored = F.from_json("notification_preferences", "map<string,boolean>")
+    off = F.map_keys(F.map_filter(stored, lambda _, on: ~on))  # parsed once per user, not per notification
+    prefs = users.select(F.col("id").alias("p_id"), off.alias("p_off"))
     joined = notifications.join(prefs, F.col("user_id") == F.col("p_id"), "left")
-    return joined.filter(_preference(F.lit("in_app")) & _preference(F.col("type"))).select(*notifications.columns)
+    unwanted = F.array_contains("p_off", "in_app") | F.array_contains("p_off", F.coalesce("type", F.lit("")))
+    return joined.filter(~F.coalesce(unwanted, F.lit(False))).select(*notifications.columns)
 
 
 # --- settings and queue ----------------------------------------------------------------------
@@ -303,6 +319,40 @@ def render_messages(rows: DataFrame, templates: DataFrame) -> DataFrame:
     return joined.withColumn("body", body).drop("html", "vars", "t_subject", "t_html", "custom_subject")
 
 
+def outbox(moves: DataFrame, expenses: DataFrame, users: DataFrame, base_url: str) -> DataFrame:
+    """Mail rows for render_messages from the audit lines of submissions, approvals and
+    rejections: id, receiver (e-mail), template, vars. A submission writes to its owner
+    and, where one is assigned, to the approver; a decision writes to the owner.
+
+    moves: id, expense_id, user_id (who acted), action, notes, created_at, as the workflow's
+    audit has them."""
+    kinds = {"submitted": "expense-submitted", "approved": "expense-approved", "rejected": "expense-rejected"}
+    person = lambda p: users.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "email", "first_name", "last_name")])
+    claims = expenses.select(F.col("id").alias("c_id"), F.col("user_id").alias("c_owner"), F.col("approver_id").alias("c_approver"),
+                             "title", "currency", "amount", "expense_date", "category", "vendor")
+    facts = (moves.filter(F.col("action").isin(list(kinds))).join(claims, F.col("expense_id") == F.col("c_id"))
+             .join(person("owner"), F.col("c_owner") == F.col("owner_id"))
+             .join(person("approver"), F.col("c_approver") == F.col("approver_id"), "left")
+             .join(person("actor"), F.col("user_id") == F.col("actor_id"), "left"))
+    full = lambda p: F.concat_ws(" ", F.col(f"{p}_first_name"), F.col(f"{p}_last_name"))
+    day = F.date_format("created_at", "yyyy-MM-dd")
+    url = F.concat(F.lit(f"{base_url.rstrip('/')}/expenses/"), F.col("expense_id").cast("string"))
+    common = {"expenseTitle": F.col("title"), "currency": F.col("currency"), "amount": F.col("amount").cast("string"),
+              "expenseDate": F.date_format("expense_date", "yyyy-MM-dd"), "category": F.col("category"), "vendor": F.col("vendor"),
+              "expenseUrl": url, "approvalUrl": url, "submissionDate": day, "approvalDate": day, "rejectionDate": day,
+              "approvalNotes": F.col("notes"), "rejectionReason": F.col("notes"), "firstName": F.col("owner_first_name"),
+              "submitterName": full("owner")}
+
+    def letter(to: str, template: Column, approver: Column) -> Column:
+        entries = [x for k, v in {**common, "approverName": approver}.items() for x in (F.lit(k), v)]
+        return F.struct(F.col(f"{to}_email").alias("receiver"), template.alias("template"), F.create_map(*entries).alias("vars"))
+
+    template = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("action"))
+    to_owner = letter("owner", template, full("actor"))
+    request = F.when((F.col("action") == "submitted") & F.col("approver_id").isNotNull(), letter("approver", F.lit("approval-request"), full("approver")))
+    return facts.select("id", F.explode(F.array_compact(F.array(to_owner, request))).alias("mail")).select("id", "mail.*")
+
+
 def default_templates(spark) -> DataFrame:
     """Plain templates for the six message kinds, to be replaced by an installation's own."""
     texts = {
