@@ -96,7 +96,17 @@ def numbered(c):
         F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"))
 
 
+_blocks = {}  # built once per application and folder: for their users OCR blocks are a stored table
+
+
 def blocks(c):
+    key = (c.spark.sparkContext.applicationId, c.folder)
+    if key not in _blocks:
+        _blocks[key] = built_blocks(c)
+    return _blocks[key]
+
+
+def built_blocks(c):
     def ref(prefix):
         return F.concat(F.lit(prefix), F.col("n").cast("string"))
 
@@ -120,7 +130,6 @@ def blocks(c):
         block(2, ref("v"), "KEY_VALUE_SET", entity="VALUE", relations=[relation("CHILD", ref("p"))]),
         block(3, ref("w"), "WORD", F.lit("Total")), block(4, ref("f"), "WORD", F.col("flag")),
         block(5, ref("p"), "WORD", F.concat(F.lit("R$ "), F.col("price"), F.lit(",50"))))
-    # OCR blocks are a stored table for their users, so store them
     return cut(numbered(c).select("receipt_key", F.explode(parts).alias("b")).select("receipt_key", "b.*"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from spendspark import fixed
 from spendspark.functions.scalars import leading_number, let, moment, one_per, percent_text, trim_all
-from spendspark.session import cut
 
 # what \s covers in JavaScript beyond the ASCII blanks of Java
 _WIDE = r"\s\u00a0\ufeff\u2028\u2029"
@@ -47,6 +46,9 @@ def _in_words(entry: Column, word: str) -> Column:
 
 def block_texts(blocks: DataFrame) -> DataFrame:
     """Own text of each key-value block, else its CHILD words joined by blanks."""
+    # every key below holds the receipt, whose blocks come from one file of bounded size: dealt
+    # out by receipt once, no later join or aggregate shuffles again
+    blocks = blocks.repartition("receipt_key")
     fields = blocks.filter(F.col("BlockType") == "KEY_VALUE_SET")
     words = blocks.filter(F.coalesce(F.col("Text"), F.lit("")) != "").select(
         F.col("receipt_key").alias("w_key"), F.col("Id").alias("w_id"), F.col("Text").alias("w_text"))
@@ -69,8 +71,8 @@ def block_texts(blocks: DataFrame) -> DataFrame:
 def blocks_to_pairs(blocks: DataFrame) -> DataFrame:
     """Long form (receipt_key, pos, key, value): lower-case keys; the last of equal
     keys wins and keeps the place of the first. The block texts, read once as keys and
-    once as values, are written to the shared checkpoint folder in between."""
-    texts = cut(block_texts(blocks))
+    once as values, come from one shuffle by receipt."""
+    texts = block_texts(blocks)
     keys = texts.filter(F.array_contains("EntityTypes", "KEY") & (F.col("block_text") != ""))
     wanted = keys.select(
         "receipt_key", F.col("Id").alias("key_id"), F.col("pos").alias("key_pos"),

@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join even where a later aggregate then needs its own shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows dealt out by some of the join keys needn't be dealt out again by all of them
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
