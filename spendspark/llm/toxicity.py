@@ -35,15 +35,17 @@ from spendspark.llm.frames import with_batches
 from spendspark.llm.words import LOWER, batch_words, byte_table, mix
 
 BUCKETS = 1 << 17
-DIMENSIONS = 8
+DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 WINDOW = 3  # words; windows start at every word
 ROWS = 3000  # of each class
 MAX_CHARS = 20_000
 WHOLE_EPOCHS, WINDOW_EPOCHS = 1, 10
+MODELS = 3
 DRAWN = 4  # clean windows drawn for each document
+CALIBRATE = 6
 BATCH = 256
-RATE = 1.0
+RATE = 0.6
 
 INSIDE = byte_table("letters_digits")
 
@@ -134,13 +136,21 @@ class Model:
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
+    """Mean of MODELS models that set other documents aside: past the average, all that a model
+    does is linear, so the mean of their weights is the mean of their logits."""
     labels = np.array(toxic, np.int64)
     share = labels.mean() if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), 700.0 if share else -700.0)
     words = Words(pa.array(texts, pa.string()))
+    models = [fit_one(words, labels, part) for part in range(MODELS)]
+    return Model(np.mean([m.weights for m in models], axis=0), float(np.mean([m.bias for m in models])))
+
+
+def fit_one(words: Words, labels: np.ndarray, part: int) -> Model:
+    share = labels.mean()
     starts, ends, owner = words.windows()
-    random = np.random.default_rng(7)
+    random = np.random.default_rng(part)
     embeddings = random.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     softmax = random.normal(0, 0.3, (DIMENSIONS, 2))
     bias = np.zeros(2)
@@ -180,19 +190,26 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     def flat() -> Model:
         return Model(embeddings @ (softmax[:, 1] - softmax[:, 0]), bias[1] - bias[0])
 
-    full = np.flatnonzero(np.diff(words.edges) > 0)
+    # one document in CALIBRATE sets the cut between the classes and is not trained on: on
+    # documents that the model has learned by heart, any cut looks good
+    aside = np.zeros(len(labels), bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(labels == kind)
+        aside[own[part::CALIBRATE]] = len(own) >= 2 * CALIBRATE
+    full = np.flatnonzero((np.diff(words.edges) > 0) & ~aside)
     for _ in range(WHOLE_EPOCHS):
         epoch(words.edges[full], words.edges[full + 1], labels[full])
     for _ in range(WINDOW_EPOCHS):
         _, at = highest(words.logits(flat().weights, starts, ends), owner, len(labels))
-        top = at[at >= 0]
-        clean = np.flatnonzero(labels[owner] == 0)
+        top = at[(at >= 0) & ~aside]
+        clean = np.flatnonzero((labels[owner] == 0) & ~aside[owner])
         drawn = random.choice(clean, min(len(clean), DRAWN * len(top)), replace=False)
         chosen = np.concatenate([top, drawn])
         epoch(starts[chosen], ends[chosen], labels[owner[chosen]])
     model = flat()
     top, at = highest(words.logits(model.weights, starts, ends) + model.bias, owner, len(labels))
-    model.bias -= best_cut(top[at >= 0], labels[at >= 0])
+    judged = (at >= 0) & (aside | ~aside.any())
+    model.bias -= best_cut(top[judged], labels[judged])
     return model
 
 
@@ -218,7 +235,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS) -> Model:
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    chosen = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for kind in (0, 1)]
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # twice the rows wanted pass the draw, so that the order below meets no more than those
+    chosen = [known.filter((F.col("toxic") == kind) & (draw < int(min(1.0, 2 * rows / sizes.get(kind, 1)) * (1 << 30)))).orderBy(
+        draw, "doc_id").limit(rows) for kind in (0, 1)]
     # at most 2 * rows ids
     sample = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(
         F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))

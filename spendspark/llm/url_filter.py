@@ -10,7 +10,7 @@ longer starts with its own. A page tries the rules of the open hosts on its path
 The longest rule (host and path) wins; of equally long ones the longer host, of equal rules
 `block`. A page that no rule fits gets the default.
 
-The bounds of the ranges come from the first SAMPLE pages in hash order; they shape the work
+The bounds of the ranges come from about SAMPLE pages chosen by hash; they shape the work
 only. A host with a third of all pages spreads over ranges by its paths, equal URLs by a hash of the page id.
 Memory of a task is the stack: the rules of the hosts that enclose the current one.
 
@@ -102,7 +102,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     keyed = split.select("page_id", "host", "path", host_key(F.col("host")).alias("key"),
                          F.coalesce(F.xxhash64("page_id"), F.lit(0)).alias("tie"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    drawn = keyed.orderBy(F.xxhash64("key", "path", "tie")).select("key", "path", "tie").limit(SAMPLE).collect()
+    share = min(1.0, SAMPLE / max(1, keyed.count()))
+    drawn = keyed.filter(F.pmod(F.xxhash64("key", "path", "tie"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
+        "key", "path", "tie").limit(4 * SAMPLE).collect()
     sample = sorted((r["key"], r["path"], r["tie"]) for r in drawn)
     bounds = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if len(sample) > ranges else []
 
