@@ -19,7 +19,7 @@ per entry are left (STAR_ROUNDS at most), and then every one of them that passes
 and place bounds. So no link between components is lost. Groups of heavy shingles are split
 into parts of about PART members.
 
-Bounds: the heavy list has HEAVY entries; the map of sets that occur in pairs, which saves
+Bounds: the heavy list has at most HEAVY entries; the map of sets that occur in pairs, which saves
 sending the others, has MARKS bits at any size (when it is full, more sets are sent than
 needed, none less). Shingles and sets are named by 64-bit hashes: of 30 billion texts about
 a dozen pairs of different sets are expected to get one name.
@@ -32,6 +32,7 @@ The columns other than id and text are not read.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +49,13 @@ from spendspark.session import cut
 
 WORDS = 5
 PERCENT = 75
-HEAVY = 1 << 16
+HEAVY = 1 << 20  # 16 MB
+STEPS = 16
 PART = 10_000
 FRAGMENT_BITS = 3  # of the hash; the heavy shingles are one more fragment
 MARKS = 1 << 26
 COUNTED = 2_000_000  # shingles that a task holds while it counts
-PAIRS_PER_ENTRY = 4
+PAIRS_PER_ENTRY = 100
 STAR_ROUNDS = 8
 
 INSIDE = byte_table("not_space")
@@ -84,13 +86,11 @@ def tasks(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
 
 
 class Heavy:
-    """The most frequent shingles with their counts, in the order of their hashes."""
+    """The most frequent shingles and their counts, in the order of their hashes."""
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        hashes = np.array([h for h, _ in rows], np.int64).view(np.uint64)
-        counts = np.array([c for _, c in rows], np.int64)
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+    def __init__(self, sent: tuple[np.ndarray, np.ndarray]):
+        hashes, self.counts = sent
+        self.hashes = hashes.view(np.uint64)
 
     def count(self, shingles: np.ndarray) -> np.ndarray:
         """Count of each heavy shingle, 0 for the others."""
@@ -140,6 +140,24 @@ def sets_and_counts(docs: DataFrame, doc_id: str, text: str, n: int) -> tuple[Da
     return both.filter("is_doc").drop("is_doc"), counts
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` of the shingles with the highest counts, by hash. The cut is made between classes
+    of about equal counts, of which there are STEPS per doubling, so that no task sends the
+    driver more than what is kept."""
+    step = F.floor(F.log2("size") * STEPS)
+    left, cut_at = most, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if row["n"] > left:
+            break
+        left, cut_at = left - row["n"], row["step"]
+    if cut_at is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = counts.filter(step >= cut_at).select("node", "size").toArrow()
+    hashes, sizes = (found.column(c).to_numpy() for c in ("node", "size"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes[order], sizes[order]
+
+
 def prefixes(docs: DataFrame, text: str, n: int, percent: int, heavy) -> DataFrame:
     """An entry for every prefix shingle of every distinct set of a task: shingle, part (0 if
     its group isn't split), node, size of the set, place in the order."""
@@ -307,27 +325,37 @@ def star_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     return ordered_pairs(met, "own", "centre")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Writes the rows as cut does. Then the driver collects its garbage, upon which Spark
+    deletes the shuffle files of the steps that are done; else they lie on the executors'
+    disks until the driver's heap happens to fill."""
+    written = cut(df)
+    del df
+    gc.collect()
+    written.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS,
                        percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node (equal sets have equal nodes) and component_id of every row."""
     context = docs.sparkSession.sparkContext
     sets, counts = sets_and_counts(docs, doc_id, text, n)
-    top = counts.orderBy(F.desc("size"), "node").limit(HEAVY).collect()
-    heavy = context.broadcast([(r["node"], r["size"]) for r in top])
-    groups = cut(grouped(prefixes(docs, text, n, percent, heavy)))
+    heavy = context.broadcast(most_frequent(counts, HEAVY))
+    groups = settle(grouped(prefixes(docs, text, n, percent, heavy)))
 
-    pairs = cut(first_stars(groups, percent))
+    pairs = settle(first_stars(groups, percent))
     tried = pairs
-    links = cut(linked(pairs, docs, text, n, percent, heavy).select("a", "b"))
+    links = settle(linked(pairs, docs, text, n, percent, heavy).select("a", "b"))
     for turn in range(STAR_ROUNDS + 1):
-        open_entries = cut(undecided(groups, components(links, rounds=2)))
+        open_entries = settle(undecided(groups, components(links)))
         n_entries, n_pairs = left_over(open_entries)
         if not n_pairs:
             break
         last = n_pairs <= PAIRS_PER_ENTRY * n_entries or turn == STAR_ROUNDS
         pairs = cross_pairs(open_entries, percent) if last else star_pairs(open_entries, percent, turn)
-        pairs = cut(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "size_a", "b", "size_b"))
-        links = links.union(cut(linked(pairs, docs, text, n, percent, heavy).select("a", "b")))
+        pairs = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "size_a", "b", "size_b"))
+        links = links.union(settle(linked(pairs, docs, text, n, percent, heavy).select("a", "b")))
         tried = tried.union(pairs)
         if last:
             break
@@ -354,3 +382,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept id")).distinct()
     without_id = docs.filter(F.col("doc_id").isNull())
     return docs.join(kept, F.col("doc_id") == F.col("`kept id`"), "left_semi").union(without_id)
+
+
+# The query in DuckDB's SQL: all pairs that share a shingle, then everything reachable.
+SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id
+"""
