@@ -275,3 +275,21 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+# The query in DuckDB's SQL: every window of every item against all of the same length.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+k AS (SELECT item, ws, least(13, len(ws)) AS k FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS g FROM k),
+pos AS (SELECT doc_id, s.k, unnest(range(1, len(ws) - s.k + 2)) AS i, ws FROM d JOIN (SELECT DISTINCT k FROM k) s ON len(ws) >= s.k),
+hit AS (SELECT pos.doc_id, pos.i, pos.k, win.item FROM pos JOIN win ON win.k = pos.k AND win.g = array_to_string(pos.ws[pos.i:pos.i + pos.k - 1], ' ')),
+words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) x GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""

@@ -46,7 +46,7 @@ def op4_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.report(read(spark, folder, "documents"))
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", jaccard_join.SQL)
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.report(read(spark, folder, "documents"))
 
@@ -61,7 +61,7 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-@query("op8_decontaminate")
+@query("op8_decontaminate", decontaminate.SQL)
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
