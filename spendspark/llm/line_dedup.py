@@ -16,10 +16,18 @@ Cases: null and empty texts and texts of one line stay as they are. Rows that re
 doc_id and text are judged as one row, so each keeps or loses the same lines; null ids rank
 first. Chunks that differ though their keys are equal stay. Removed chunks take the line feed
 that joins them to the next with them. Other columns pass through.
+
+Two ways to take more. dedup(copies=True) empties a text of several lines that equals that of
+an earlier row, with its chunks of one line. dedup_runs takes every two neighbouring lines
+that aren't blank, with the blank lines between them, in place of chunks. So a repeated run
+of two such lines or more goes whole, wherever the lines around it would end a chunk, and
+of every line that goes an equal one stays at an earlier place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +37,7 @@ ENDS = ("0", "4", "8", "c")  # first digits of a rolling hash that end a chunk
 LINES = "lines of the text"
 MARK = "hash of the text"
 CHUNKS = "chunks of the text"
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(text: Column) -> Column:
@@ -48,8 +57,15 @@ def chunk_bounds(lines: Column) -> Column:
     return F.flatten(F.flatten(hashed))
 
 
-def with_chunks(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn(LINES, lines_of(F.col(text))).withColumn(CHUNKS, chunk_bounds(F.col(f"`{LINES}`")))
+def pair_bounds(lines: Column) -> Column:
+    """First and last line (both from 0) of every two neighbouring lines that aren't blank."""
+    places = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(NOT_BLANK), i)), lambda i: i.isNotNull())
+    return F.flatten(F.transform(F.array(places), lambda found: F.transform(F.slice(found, 2, F.size(found)), lambda end, k: F.struct(
+        F.get(found, k).alias("first"), end.alias("end")))))
+
+
+def with_chunks(docs: DataFrame, text: str, bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
+    return docs.withColumn(LINES, lines_of(F.col(text))).withColumn(CHUNKS, bounds(F.col(f"`{LINES}`")))
 
 
 def chunk_text(chunk: Column) -> Column:
@@ -61,12 +77,12 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.instr("text", "\n") > 0)
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
     """id, mark (hash of the text) and the first lines of the chunks to remove."""
     rows = keyed(docs, doc_id, text)
     # rows that repeat id and text meet in one row per place
     several = F.filter(F.col(f"`{CHUNKS}`"), lambda c: c["end"] > c["first"])
-    chunks = with_chunks(rows, "text").select("id", "mark", F.explode(several).alias("chunk"), f"`{LINES}`")
+    chunks = with_chunks(rows, "text", bounds).select("id", "mark", F.explode(several).alias("chunk"), f"`{LINES}`")
     places = chunks.select(F.xxhash64(chunk_text(F.col("chunk"))).alias("key"),
                            F.struct("id", "mark", F.col("chunk.first").alias("first")).alias("place"))
     repeated = places.groupBy("key").agg(F.min("place").alias("earliest"), F.max("place").alias("latest")).filter(
@@ -75,7 +91,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.collect_set(F.struct(F.col("place.first").alias("first"), "key", F.col("place").eqNullSafe(F.col("earliest")).alias("is_first"))).alias("suspects"))
     wanted = suspects.select(F.col("id").alias("key_id"), F.col("mark").alias("key_mark"), "suspects")
     same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("mark") == F.col("key_mark"))
-    texts = with_chunks(rows.join(wanted, same), "text")
+    texts = with_chunks(rows.join(wanted, same), "text", bounds)
     own = F.filter(F.col(f"`{CHUNKS}`"), lambda c: c["first"] == F.col("suspect.first"))
     bodies = texts.select("id", "mark", "suspects", F.col(f"`{LINES}`"), F.col(f"`{CHUNKS}`")).select(
         "id", "mark", F.explode("suspects").alias("suspect"), F.col(f"`{LINES}`"), F.col(f"`{CHUNKS}`")).select(
@@ -85,28 +101,73 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return equal.groupBy("id", "mark").agg(F.collect_set("first").alias("removed"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text that stays and, in three further columns, what left it: n_lines
-    before, removed_chunks, removed_lines."""
-    found = removals(docs, doc_id, text).select(F.col("id").alias("key of id"), F.col("mark").alias("key of mark"), F.col("removed").alias("removed firsts"))
-    named = docs.drop("n_lines", "removed_chunks", "removed_lines").withColumn(MARK, F.xxhash64(F.col(text)))
+def copied(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id and mark of the rows whose text of several lines is that of a row with a smaller id."""
+    rows = keyed(docs, doc_id, text).select(F.struct("id").alias("at"), "mark", F.sha2("text", 256).alias("digest"))
+    earliest = rows.groupBy("digest").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter(
+        ~F.col("earliest").eqNullSafe(F.col("latest"))).select("digest", "earliest")
+    return rows.join(earliest, "digest").filter(~F.col("at").eqNullSafe(F.col("earliest"))).select("at.id", "mark").distinct()
+
+
+def with_removals(docs: DataFrame, found: DataFrame, doc_id: str, text: str, bounds: Callable[[Column], Column]) -> DataFrame:
+    """docs with their lines, chunks and the columns of found, by id and mark."""
+    keys = found.withColumnsRenamed({"id": "key of id", "mark": "key of mark", "removed": "removed firsts"})
+    named = docs.withColumn(MARK, F.xxhash64(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("`key of id`")) & (F.col(f"`{MARK}`") == F.col("`key of mark`"))
-    met = with_chunks(named.join(found, same, "left"), text)
-    lost = F.filter(F.col(f"`{CHUNKS}`"), lambda c: F.array_contains(F.col("`removed firsts`"), c["first"]))
-    stays = F.filter(F.col(f"`{CHUNKS}`"), lambda c: ~F.array_contains(F.col("`removed firsts`"), c["first"]))
+    return with_chunks(named.join(keys, same, "left"), text, bounds)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: bool = False) -> DataFrame:
+    """docs with the text that stays and, in three further columns, what left it: n_lines
+    before, removed_chunks, removed_lines. copies: texts of several lines that an earlier
+    row has whole lose all their chunks."""
+    found = removals(docs, doc_id, text)
+    whole = F.lit(False)
+    if copies:
+        both = found.withColumn("is copy", F.lit(False)).unionByName(copied(docs, doc_id, text).select(
+            "id", "mark", F.array().cast("array<int>").alias("removed"), F.lit(True).alias("is copy")))
+        found = both.groupBy("id", "mark").agg(F.flatten(F.collect_list("removed")).alias("removed"), F.max("is copy").alias("is copy"))
+        whole = F.col("`is copy`")
+    met = with_removals(docs.drop("n_lines", "removed_chunks", "removed_lines"), found, doc_id, text, chunk_bounds)
+    lost = F.filter(F.col(f"`{CHUNKS}`"), lambda c: whole | F.array_contains(F.col("`removed firsts`"), c["first"]))
+    stays = F.filter(F.col(f"`{CHUNKS}`"), lambda c: ~(whole | F.array_contains(F.col("`removed firsts`"), c["first"])))
     touched = F.col("`removed firsts`").isNotNull()
     return met.select(
         *[F.when(touched, F.array_join(F.transform(stays, chunk_text), "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`")
           for c in docs.columns if c not in ("n_lines", "removed_chunks", "removed_lines")],
-        F.when(F.coalesce(F.col(text), F.lit("")) == "", F.lit(0)).otherwise(F.size(f"`{LINES}`")).cast("long").alias("n_lines"),
+        n_lines(text),
         F.when(touched, F.size(lost)).otherwise(0).cast("long").alias("removed_chunks"),
         F.when(touched, F.aggregate(lost, F.lit(0), lambda n, c: n + c["end"] - c["first"] + 1)).otherwise(0).cast("long").alias("removed_lines"))
 
 
+def n_lines(text: str) -> Column:
+    return F.when(F.coalesce(F.col(text), F.lit("")) == "", F.lit(0)).otherwise(F.size(f"`{LINES}`")).cast("long").alias("n_lines")
+
+
+def dedup_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without repeated runs of two or more lines that aren't blank and, in three
+    further columns, what left them: n_lines before, removed_runs, removed_lines."""
+    given = docs.drop("n_lines", "removed_runs", "removed_lines", "gone lines")
+    met = with_removals(given, removals(docs, doc_id, text, pair_bounds), doc_id, text, pair_bounds)
+    lost = F.filter(F.col(f"`{CHUNKS}`"), lambda c: F.array_contains(F.col("`removed firsts`"), c["first"]))
+    gone = F.array_distinct(F.flatten(F.transform(lost, lambda c: F.sequence(c["first"], c["end"]))))
+    held = met.withColumn("gone lines", F.when(F.col("`removed firsts`").isNotNull(), gone).otherwise(F.array().cast("array<int>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"`{LINES}`") - 1), F.col("`gone lines`"))
+    rest = F.array_join(F.transform(left, lambda i: F.get(F.col(f"`{LINES}`"), i)), "\n")
+    begins = F.array_except(F.col("`gone lines`"), F.transform("gone lines", lambda i: i + 1))
+    return held.select(
+        *[F.when(F.size("gone lines") > 0, rest).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in given.columns],
+        n_lines(text), F.size(begins).cast("long").alias("removed_runs"), F.size("gone lines").cast("long").alias("removed_lines"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text"))
 
 
+def report_runs(docs: DataFrame) -> DataFrame:
+    return dedup_runs(docs.select("doc_id", "text"))
+
+
 SQL = """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text <> ''),
@@ -121,3 +182,19 @@ SELECT d.doc_id, CASE WHEN coalesce(bool_or(o.lost), false) THEN coalesce(string
        CAST(coalesce(sum(o.n) FILTER (o.lost), 0) AS BIGINT) AS removed_lines
 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+RUNS_SQL = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+f AS (SELECT doc_id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
+p AS (SELECT doc_id, ls, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM f WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+b AS (SELECT doc_id, i, e, array_to_string(ls[i:e], chr(10)) AS body FROM p WHERE e IS NOT NULL),
+r AS (SELECT doc_id, i, e FROM b QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM r),
+k AS (SELECT f.doc_id, f.i, f.line, g.i IS NOT NULL AS lost FROM f LEFT JOIN g ON g.doc_id = f.doc_id AND g.i = f.i),
+o AS (SELECT *, lost AND NOT coalesce(lag(lost) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM k)
+SELECT d.doc_id, CASE WHEN coalesce(bool_or(o.lost), false) THEN coalesce(string_agg(o.line, chr(10) ORDER BY o.i) FILTER (NOT o.lost), '')
+                 ELSE any_value(d.text) END AS text,
+       CAST(count(o.i) AS BIGINT) AS n_lines, CAST(coalesce(sum(o.begins::INT), 0) AS BIGINT) AS removed_runs,
+       CAST(coalesce(sum(o.lost::INT), 0) AS BIGINT) AS removed_lines
+FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -56,6 +56,11 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(read(spark, folder, "documents"))
 
 
+@query("op6_line_runs", line_dedup.RUNS_SQL)
+def op6_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report_runs(read(spark, folder, "documents"))
+
+
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))

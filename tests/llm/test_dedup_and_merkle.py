@@ -70,6 +70,38 @@ def test_shifted_passages_and_null_ids(spark):
     assert line_dedup.dedup(docs.limit(0)).collect() == []
 
 
+def brute_runs(rows):
+    """rows in order of their ids; a line goes with either neighbour if both stood side by side before."""
+    seen, kept = set(), []
+    for _, text in rows:
+        lines = (text or "").split("\n")
+        full = [i for i, line in enumerate(lines) if line.strip(" \t\n\v\f\r")]
+        gone = set()
+        for a, b in zip(full, full[1:], strict=False):
+            body = "\n".join(lines[a:b + 1])
+            gone |= set(range(a, b + 1)) if body in seen else set()
+            seen.add(body)
+        kept.append("\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
+    return kept
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    rows = documents()
+    docs = spark.createDataFrame([*rows, rows[20]], "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
+    found = line_dedup.dedup_runs(docs).collect()
+    got = {r.doc_id: r.text for r in found}
+    assert len(found) == len(rows) + 1 and [got[i] for i, _ in rows] == brute_runs(rows)
+
+    for n in range(2, 10):
+        passage = [f"line {i} of a passage of {n} lines" for i in range(n)]
+        passage[1:1] = [""] * (n % 2)
+        rows = [(1, "\n".join(["a", *passage, "b"])), (2, "\n".join(["", "c", *passage, "", "d"])), (3, "\n".join(passage)), (4, "e\n" + passage[0])]
+        got = {r.doc_id: r for r in line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i].text for i in range(1, 5)] == [rows[0][1], "\nc\n\nd", "", rows[3][1]]
+        assert [(got[i].removed_runs, got[i].removed_lines) for i in range(1, 5)] == [(0, 0), (1, len(passage)), (1, len(passage)), (0, 0)]
+    assert line_dedup.dedup_runs(docs.limit(0)).collect() == []
+
+
 def test_substring_dedup(spark):
     passage = "First sentence of a passage that many share here. It goes on and on with a second one, which is longer than that! And a third? Yes 3.5 of it."
     rows = [(1, f"Own start. {passage} Own end."), (2, f"Another start here.\n{passage}\nAnother end."), (3, f"mid {passage.upper()} tail."),
