@@ -1,8 +1,10 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
     toxicity            documents that the classifier rejects go
-    line_dedup          repeated chunks of lines go; a document that loses all its text goes
-    near_duplicates     of every component of similar documents the one with the smallest id stays
+    line_dedup          repeated chunks of lines go; a document that loses all its text goes, and
+                        so does one of several lines that an earlier document has whole
+    near_duplicates     of every component of similar documents the one with the smallest id stays,
+                        as one row
     decontamination     documents contaminated by benchmark items go
     tokens              ids of the texts, and the text that they decode to, by its digest
 
@@ -33,7 +35,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(prepared(spark, docs))
+    found = line_dedup.dedup(prepared(spark, docs), copies=True)
     stays = (F.col("removed_chunks") == 0) | (F.trim("text") != "")
     columns = [F.when(F.col("removed_chunks") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
                if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]

@@ -88,6 +88,19 @@ def test_run_is_its_stages_in_order(spark, folder):
     assert sorted(corpus_pipeline.run(spark, folder).collect(), key=key) == sorted(docs.collect(), key=key)
 
 
+def test_one_of_exact_copies_stays_whole(spark, tmp_path):
+    rows, labels, items = corpus()
+    random.seed(4)
+    texts = ["\n".join(" ".join(f"w{random.randrange(10**6)}" for _ in range(12)) for _ in range(n)) for n in (2, 3, 5, 8, 13, 40)]
+    copies = [(1000 + 10 * k + i, text, "en", "s", len(text)) for k, text in enumerate(texts) for i in range(3)]
+    copies += [(2000 + r[0], *r[1:]) for r in rows if r[0] % 16 == 2]
+    spark.createDataFrame(rows + copies, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).filter("doc_id >= 1000").collect()}
+    assert found == {1000 + 10 * k: hashlib.sha256(text.encode()).hexdigest() for k, text in enumerate(texts)}
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
