@@ -43,7 +43,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(prepared(spark, docs))
+    return jaccard_join.keep_first(prepared(spark, docs))
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

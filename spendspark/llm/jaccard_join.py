@@ -384,6 +384,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return docs.join(kept, F.col("doc_id") == F.col("`kept id`"), "left_semi").union(without_id)
 
 
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: the first by (id with nulls last, hash of the
+    text), and of rows that repeat both the one with the least other columns, which must be
+    of types that have an order. Rows without shingles stay, as they are in no component."""
+    mark = F.xxhash64(text)
+    at = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), mark.alias("mark"))
+    found = similarity_classes(docs.select(at.alias("at"), F.col(text).alias("text")), "at", "text")
+    first = found.filter(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = cut(first.groupBy("doc_id").agg(F.count("node").alias("n")).select(
+        F.col("doc_id.id").alias("kept id"), F.col("doc_id.mark").alias("kept mark"), F.col("n").alias("kept rows")))
+    repeated = cut(kept.filter("`kept rows` > 1"))
+    same = F.col(doc_id).eqNullSafe(F.col("`kept id`")) & (mark == F.col("`kept mark`"))
+    once = docs.join(kept.filter("`kept rows` < 2"), same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = docs.join(repeated, same, "left_semi").groupBy(F.col(doc_id).alias("kept id"), mark.alias("kept mark")).agg(
+        F.min(F.struct(*columns)).alias("least row")).select("`least row`.*")
+    return once.union(least)
+
+
 # The query in DuckDB's SQL: all pairs that share a shingle, then everything reachable.
 SQL = r"""
 WITH RECURSIVE

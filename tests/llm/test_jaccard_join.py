@@ -91,6 +91,23 @@ def test_keep_one(spark):
     assert sorted(kept.collect(), key=str) == sorted(docs.filter("doc_id in (2, 9, 7) or doc_id is null").collect(), key=str)
 
 
+def test_keep_first_leaves_one_row_of_each_group(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "wv")
+    rows = [(5, text, "b"), (2, text + " more", "b"), (2, text + " more", "a"), (2, text + " more", "a"), (None, text, "c"), (2, text, "a"),
+            (None, other, "y"), (None, other, "x"), (None, other + " more", "x"), (2, "unlike all of them it stands alone", "z"),
+            (7, None, "n"), (8, "", "e"), (None, None, "n"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    of_text = [r for r in got if (r[1] or "").startswith("w")]
+    of_other = [r for r in got if (r[1] or "").startswith("v")]
+    assert of_text in ([(2, text + " more", "a")], [(2, text, "a")])
+    assert of_other in ([(None, other, "x")], [(None, other + " more", "x")])
+    assert [r for r in got if r not in of_text + of_other] == sorted(rows[9:], key=str)
+    assert jaccard_join.keep_first(docs.limit(0)).collect() == []
+
+
 def test_empty(spark):
     assert jaccard_join.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
