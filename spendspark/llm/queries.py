@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, pii, substring_dedup, toxicity, url_filter
+from spendspark.llm import (bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, pii, ranked_search, substring_dedup,
+                            toxicity, url_filter)
 from spendspark.llm.frames import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,8 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_text")
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.report(read(spark, folder, "pages"))
+
+
+@query("op11_ranked_search", ranked_search.SQL)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))

@@ -97,6 +97,18 @@ def batch_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return word_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, offsets), data
 
 
+def spelled_words(texts: pa.Array, table: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch as one array of strings, with A-Z lower-cased if asked;
+    edges[k]:edges[k+1] are the words of text k."""
+    data, offsets = text_buffers(texts)
+    starts, ends = find_words(data, offsets, table)
+    letters = data[table[data]]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts),
+                                  [None, pa.py_buffer(bounds), pa.py_buffer(LOWER[letters] if lower else letters)])
+    return words, np.searchsorted(starts, offsets)
+
+
 def shingle_sets(words: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its n-word shingles; a text of fewer words,
     but not none, has its whole sequence as its one shingle."""
