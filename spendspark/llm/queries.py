@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import (bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, pii, ranked_search, substring_dedup,
-                            toxicity, url_filter)
+from spendspark.llm import (bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, periodic_runs, pii, ranked_search,
+                            substring_dedup, toxicity, url_filter)
 from spendspark.llm.frames import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_ranked_search", ranked_search.SQL)
 def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op12_periodic_runs", periodic_runs.SQL)
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.report(read(spark, folder, "documents"))
