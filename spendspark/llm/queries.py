@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import (bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, periodic_runs, pii, ranked_search,
-                            substring_dedup, toxicity, url_filter)
+from spendspark.llm import (bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, merkle, periodic_runs, pii,
+                            ranked_search, substring_dedup, toxicity, url_filter)
 from spendspark.llm.frames import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_periodic_runs", periodic_runs.SQL)
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.report(read(spark, folder, "documents"))
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.report(read(spark, folder, "documents"))
