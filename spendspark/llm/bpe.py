@@ -3,8 +3,10 @@
 Method: the symbols of a word form a doubly linked list; a priority queue holds the merge
 rank of every adjacent pair. The lowest rank is merged first, leftmost on ties; an entry
 whose symbols have changed since it was pushed is stale and skipped. A word of n bytes costs
-O(n log n). Decoding concatenates the vocabulary's strings. Words recur, so each worker
-keeps the ids of up to CACHE_WORDS words and then starts afresh.
+O(n log n). Decoding concatenates the vocabulary's strings. A text is first cut at white space
+into segments, a run of anything else with the space before it, that no word of the
+vocabulary's pattern crosses. Segments recur, so each worker keeps the ids of up to
+CACHE_SEGMENTS segments, and of so many words, and then starts afresh.
 
 Cases: null text is an empty text: no ids, decoded to the empty string. Added tokens in a
 text become their id, as in the vocabulary's own library. Rows are independent, so repeated
@@ -13,24 +15,31 @@ rows and ties need no rule, and other columns pass through untouched.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendspark.llm.frames import with_batches
 
-CACHE_WORDS = 1 << 18
-CACHED_BYTES = 64  # longer words are encoded anew each time
+CACHE_SEGMENTS = 1 << 18
+CACHED_LENGTH = 64  # longer segments are encoded anew each time
 
 # Fixed value: the pattern that splits a text into words before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The characters that the pattern's white space stands for.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEGMENTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in the vocabulary's strings:
@@ -40,6 +49,22 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class Segments(dict):
+    """Ids of segments or of words, computed when first asked for."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, segment: str) -> list[int]:
+        ids = self.encode(segment)
+        if len(segment) <= CACHED_LENGTH:
+            if len(self) >= CACHE_SEGMENTS:
+                self.clear()
+            self[segment] = ids
+        return ids
+
+
 class Vocabulary:
     """Pairs to merge with rank and result, the id of each byte, the bytes of each id."""
 
@@ -63,7 +88,9 @@ class Vocabulary:
         self.words = regex.compile(WORDS)
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.cache: dict[str, list[int]] = {}
+        self.decimals = [str(i) for i in range(size)]
+        self.of_word = Segments(lambda word: self.merge(word.encode()))
+        self.segments = Segments(self.encode_segment)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one word."""
@@ -91,32 +118,33 @@ class Vocabulary:
                     heapq.heappush(queue, (found[0], a, symbols[a], symbols[b], found[1]))
         return [s for s in symbols if s >= 0]
 
-    def encode_plain(self, text: str, out: list[int]) -> None:
-        cache = self.cache
-        for word in self.words.findall(text):
-            found = cache.get(word)
-            if found is None:
-                found = self.merge(word.encode())
-                if len(word) <= CACHED_BYTES:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = found
-            out += found
+    def encode_segment(self, segment: str) -> list[int]:
+        return list(chain.from_iterable(map(self.of_word.__getitem__, self.words.findall(segment))))
+
+    def encode_plain(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.segments.__getitem__, SEGMENTS.findall(text))))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
         if self.cut is None or not any(token in text for token in self.added):
-            self.encode_plain(text, out)
-            return out
+            return self.encode_plain(text)
+        out: list[int] = []
         for part in self.cut.split(text):
             if part in self.added:
                 out.append(self.added[part])
             else:
-                self.encode_plain(part, out)
+                out += self.encode_plain(part)
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join([self.pieces[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+
+    def listed(self, ids: list[int]) -> str:
+        """The ids as decimal numbers joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids))
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -141,26 +169,36 @@ def read_vocabulary(df: DataFrame, path: str):
 def id_lists(lists: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    values = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+    values = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
-           keep_text: bool = True) -> DataFrame:
-    """df with the ids of its texts and, where decoded names a column, the text that those
-    ids decode to."""
+def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str | None = "ids", decoded: str | None = None,
+           keep_text: bool = True, n_ids: str | None = None, ids_sha256: str | None = None, decoded_sha256: str | None = None) -> DataFrame:
+    """df with the ids of its texts and, in columns that the caller names, the text that those ids
+    decode to, their number, and the digests of the ids and of that text. Digests are taken where the
+    ids are, so that a column that isn't asked for is never sent."""
     described = read_vocabulary(df, vocabulary_path)
+    kinds = {ids: T.ArrayType(T.IntegerType(), False), decoded: T.StringType(), n_ids: T.LongType(), ids_sha256: T.StringType(),
+             decoded_sha256: T.StringType()}
+    added = [T.StructField(name, kind) for name, kind in kinds.items() if name]
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         vocabulary = on_worker(described)
-        lists = [vocabulary.encode(t) if t else [] for t in batch.column(text).to_pylist()]
-        found = {ids: id_lists(lists)}
-        if decoded:
-            found[decoded] = pa.array([vocabulary.decode(x) for x in lists], pa.string())
-        return found
-
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
-    added += [T.StructField(decoded, T.StringType())] if decoded else []
+        found: dict[str | None, list] = {name: [] for name in kinds}
+        for t in batch.column(text).to_pylist():
+            own = vocabulary.encode(t) if t else []
+            back = vocabulary.decode(own) if decoded or decoded_sha256 else ""
+            for name, value in ((ids, own), (decoded, back), (n_ids, len(own))):
+                if name:
+                    found[name].append(value)
+            if ids_sha256:
+                found[ids_sha256].append(digest(vocabulary.listed(own)))
+            if decoded_sha256:
+                found[decoded_sha256].append(digest(back))
+        return {f.name: id_lists(found[f.name]) if f.name == ids else pa.array(found[f.name], pa.int64() if f.name == n_ids else pa.string())
+                for f in added}
+
     names = {f.name for f in added}
     plain = df.drop(*names - {text})
     return with_batches(plain, run, added, drop=() if keep_text else (text,))
@@ -179,7 +217,5 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: str =
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per document the number of tokens and the digests of its ids and of its decoded text."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary_path, decoded="decoded", keep_text=False)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs.select("doc_id", "text"), vocabulary_path, ids=None, keep_text=False, n_ids="n_tokens", ids_sha256="ids_sha256",
+                  decoded_sha256="decoded_sha256")
