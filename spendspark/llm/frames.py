@@ -33,16 +33,21 @@ def with_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Arra
                  drop: tuple[str, ...] = ()) -> DataFrame:
     """The rows of df with the columns that fn computes from each batch appended, and the
     columns in drop left out on the way back to the JVM."""
+    names = df.columns
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = T.StructType([*kept, *added])
     arrow = to_arrow_schema(schema)
+    # Spark resolves the names it sends, so one with a dot travels under another name
+    plain = [f"column {i}" for i in range(len(schema.fields))]
+    sent = T.StructType([T.StructField(name, f.dataType, f.nullable) for name, f in zip(plain, schema.fields, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = fn(batch)
+                named = batch.rename_columns(names)
+                found = fn(named)
                 yield pa.RecordBatch.from_arrays(
-                    [(batch.column(f.name) if f.name in batch.schema.names and f.name not in found else found[f.name]).cast(f.type)
-                     for f in arrow], schema=arrow)
+                    [(named.column(f.name) if f.name in names and f.name not in found else found[f.name]).cast(f.type) for f in arrow],
+                    names=plain)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"given {i}" for i in range(len(names))]).mapInArrow(run, sent).toDF(*schema.names)

@@ -201,9 +201,9 @@ def best_path(scores: np.ndarray, edges: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
-def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Language (place in model.langs, -1 without words) and its share of the bytes of each text; labels
-    of all words; spans of each text."""
+    of all words, and edges: words edges[k]:edges[k + 1] are those of text k."""
     texts = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     words, edges = spelled_words(texts, INSIDE)
     coded = words.dictionary_encode()
@@ -223,11 +223,18 @@ def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     total = held.sum(1)
     top = np.where(total > 0, held.argmax(1), -1)
     share = np.divide(held.max(1), total, out=np.zeros(n), where=total > 0)
-    opens = np.flatnonzero(np.append(True, (labels[1:] != labels[:-1]) | (text[1:] != text[:-1]))) if len(labels) else np.zeros(0, np.int64)
-    spans: list[list[dict]] = [[] for _ in range(n)]
-    for i, j in zip(opens.tolist(), [*opens[1:].tolist(), len(labels)], strict=True):
-        spans[text[i]].append({"first": int(i - edges[text[i]]), "end": int(j - edges[text[i]]), "lang": model.langs[labels[i]]})
-    return top, share, labels, spans
+    return top, share, labels, edges
+
+
+def spans_of(labels: np.ndarray, edges: np.ndarray, langs: list[str]) -> list[list[dict]]:
+    """Runs of words of one label in each text."""
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    opens = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    spans: list[list[dict]] = [[] for _ in range(len(edges) - 1)]
+    for i, j in zip(opens.tolist(), np.append(opens, len(labels))[1:].tolist(), strict=True):
+        first = int(edges[text[i]])
+        spans[text[i]].append({"first": i - first, "end": j - first, "lang": langs[labels[i]]})
+    return spans
 
 
 def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS,
@@ -235,9 +242,13 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     """A model of the rows for which learn holds."""
     known = docs.filter(learn).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast(
         "string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    # one row per language, as in the model
+    sizes = {row["lang"]: row["size"] for row in known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).collect()}
+    if not sizes:
+        return fitted([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    sample = known.join(sizes, "lang").filter(draw < F.lit(float(rows << 30)) / F.col("size")).select("lang", "text")
+    limits = F.create_map(*[F.lit(x) for name, size in sizes.items() for x in (name, float(rows << 30) / size)])
+    sample = known.filter(draw < limits[F.col("lang")]).select("lang", "text")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,11 +303,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         own = sent.value
-        top, share, _, parts = label(own, batch.column(text))
+        top, share, labels, edges = label(own, batch.column(text))
         known = batch.column(letter).to_numpy(zero_copy_only=False) & (top >= 0)
         found = {lang: pa.array([own.langs[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), known.tolist(), strict=True)], pa.string()),
                  score: pa.array(np.where(known, share, 0.0))}
         if spans:
+            parts = spans_of(labels, edges, own.langs)
             found[spans] = pa.array([p if ok else [] for p, ok in zip(parts, known.tolist(), strict=True)],
                                     pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
         return found
