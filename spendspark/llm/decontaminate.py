@@ -9,8 +9,9 @@ Before that, numpy drops what cannot match: a hit lies in a run of item words wh
 neighbouring pairs all occur in items, as long as the shortest window. Only such runs, whose
 words are compared byte by byte, walk through the automaton.
 
-The automaton is held by every task, so its items must be few: items beyond `block_words`
-words go to further automata, each of which passes over the documents in turn.
+The automaton is held by every task, so its items must be few: beyond `block_words` words they
+are dealt by hash into blocks, each of which passes over the documents in turn with an
+automaton of its own. The driver reads one block at a time to broadcast it.
 
 Cases: a null or empty text has no words and is never contaminated; an item without words
 never occurs; equal items under several ids all count, a repeated id counts once, and items
@@ -21,7 +22,6 @@ get equal results; other columns of the documents are not read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,17 +175,13 @@ def match(items: Items, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray],
     return np.diff(edges), [hit[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], found
 
 
-def blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in blocks of about block_words words, read partition by partition."""
-    block, size = [], 0
-    rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    for row in rows.toLocalIterator():
-        block.append((row["item"], row["text"]))
-        size += row["text"].count(" ") + row["text"].count("\n") + 1
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    yield block
+def in_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> tuple[DataFrame, int]:
+    """Distinct items with the number of their block, dealt by hash, and how many blocks there are. A text of
+    b bytes has (b + 1) / 2 words at most, whatever parts them."""
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").distinct()
+    words = rows.agg(F.sum(F.ceil((F.octet_length("text") + 1) / 2))).first()[0] or 0
+    n_blocks = max(1, -(-int(words) // block_words))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))), n_blocks
 
 
 _loaded: dict[str, Items] = {}
@@ -209,16 +205,25 @@ def without(data: np.ndarray, begin: int, end: int, starts: np.ndarray, ends: np
     return (b"".join(kept) + data[at:end].tobytes()).decode("utf-8", "replace")
 
 
+# the columns that mark adds, and the names that they have where the caller doesn't see them
+MARKS = ("n_words", "n_hit", "hit_spans", "hit_items")
+HIDDEN = tuple(f"{name} of the decontamination" for name in MARKS)
+
+
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
+         window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True, names: tuple[str, ...] = MARKS) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (first word and end of each run of hit words, one
-    after the other) and hit_items (ids, sorted)."""
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-             T.StructField("hit_spans", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    marked = docs.drop(*[f.name for f in added])
-    parts = list(blocks(items, item_id, item_text, block_words))
-    for number, block in enumerate(parts):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    after the other) and hit_items (ids, sorted), in columns of these names or of those given;
+    columns that docs has under them are replaced."""
+    n_words, n_hit, hit_spans, hit_items = names
+    added = [T.StructField(n_words, T.LongType()), T.StructField(n_hit, T.LongType()),
+             T.StructField(hit_spans, T.ArrayType(T.IntegerType())), T.StructField(hit_items, T.ArrayType(T.StringType()))]
+    marked = docs.drop(*names)
+    numbered, n_blocks = in_blocks(items, item_id, item_text, block_words)
+    for number in range(n_blocks):
+        # the driver holds the items of one block at a time
+        sent = docs.sparkSession.sparkContext.broadcast(
+            [(r["item"], r["text"]) for r in numbered.filter(F.col("block") == number).select("item", "text").collect()])
 
         def run(batch: pa.RecordBatch, sent=sent, key=uuid.uuid4().hex, first=number == 0) -> dict[str, pa.Array]:
             if key not in _loaded:
@@ -226,22 +231,22 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                 _loaded[key] = Items(sent.value, window)
             words, hits, found = match(_loaded[key], batch.column(text))
             if not first:
-                for hit, spans in zip(hits, batch.column("hit_spans").to_pylist(), strict=True):
+                for hit, spans in zip(hits, batch.column(hit_spans).to_pylist(), strict=True):
                     for begin, end in zip(spans[::2], spans[1::2], strict=True):
                         hit[begin:end] = True
-                found = [a.union(b) for a, b in zip(found, batch.column("hit_items").to_pylist(), strict=True)]
-            return {"n_words": pa.array(words, pa.int64()), "n_hit": pa.array([int(h.sum()) for h in hits], pa.int64()),
-                    "hit_spans": pa.array([spans_of(h) for h in hits], pa.list_(pa.int32())),
-                    "hit_items": pa.array([sorted(f) for f in found], pa.list_(pa.string()))}
+                found = [a.union(b) for a, b in zip(found, batch.column(hit_items).to_pylist(), strict=True)]
+            return {n_words: pa.array(words, pa.int64()), n_hit: pa.array([int(h.sum()) for h in hits], pa.int64()),
+                    hit_spans: pa.array([spans_of(h) for h in hits], pa.list_(pa.int32())),
+                    hit_items: pa.array([sorted(f) for f in found], pa.list_(pa.string()))}
 
-        drop = () if keep_text or number + 1 < len(parts) else (text,)
+        drop = () if keep_text or number + 1 < n_blocks else (text,)
         marked = with_batches(marked, run, added if number == 0 else [], drop=drop)
     return marked
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", least: int = WINDOW, **options) -> DataFrame:
-    """docs whose texts have lost every run of at least `least` hit words."""
-    marked = mark(docs, items, text=text, **options)
+    """docs whose texts have lost every run of at least `least` hit words; all else stays as it is."""
+    marked = mark(docs, items, text=text, names=HIDDEN, **options)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = batch.column(text)
@@ -249,13 +254,13 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", least: i
         starts, ends = find_words(data, offsets, INSIDE)
         edges = np.searchsorted(starts, offsets)
         out = []
-        for k, (whole, spans) in enumerate(zip(texts, batch.column("hit_spans").to_pylist(), strict=True)):
+        for k, (whole, spans) in enumerate(zip(texts, batch.column(HIDDEN[2]).to_pylist(), strict=True)):
             a, b = edges[k], edges[k + 1]
             out.append(without(data, int(offsets[k]), int(offsets[k + 1]), starts[a:b], ends[a:b], spans, least)
                        if spans else whole.as_py())
         return {text: pa.array(out, pa.string())}
 
-    return with_batches(marked, run, []).select(*docs.columns)
+    return with_batches(marked, run, [], drop=HIDDEN)
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -264,8 +269,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def reject(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones; the others stay as they are."""
-    marked = mark(docs, items, **options)
-    return marked.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*docs.columns)
+    marked = mark(docs, items, names=HIDDEN, **options)
+    return marked.filter(~contaminated(F.col(f"`{HIDDEN[1]}`"), F.col(f"`{HIDDEN[0]}`"))).drop(*HIDDEN)
 
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

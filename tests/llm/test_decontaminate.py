@@ -77,3 +77,24 @@ def test_empty_tables(spark):
     assert decontaminate.report(docs, bench).collect() == []
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in decontaminate.report(one, bench).collect()] == [(2, 0, False)]
+
+
+def test_columns_of_the_user_stay(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, passage, 7, "mine", 1.5), (2, "clean", 8, "too", 2.5)],
+                                 "doc_id long, text string, n_words int, hit_spans string, `a.b` double")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    for block_words in (10**6, 3):
+        left = decontaminate.reject(docs, bench, block_words=block_words)
+        assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "clean", 8, "too", 2.5)]
+        rest = decontaminate.remove_spans(docs, bench, block_words=block_words)
+        assert rest.columns == docs.columns and sorted(tuple(r) for r in rest.collect()) == [(1, "", 7, "mine", 1.5), (2, "clean", 8, "too", 2.5)]
+
+
+def test_blocks_follow_the_bytes_of_the_items(spark):
+    """However the words are parted, no block holds more of them than it may, but for one item or the spread of the hash."""
+    items = spark.createDataFrame([(i, "\t".join(f"{i}x{k}" for k in range(50)) + ",;" * 40) for i in range(400)], "item_id long, text string")
+    numbered, n = decontaminate.in_blocks(items, "item_id", "text", 2000)
+    sizes = [sum(len(words(r["text"])) for r in rows) for rows in
+             [numbered.filter(F.col("block") == k).collect() for k in range(n)]]
+    assert sum(sizes) == 400 * 50 and n > 10 and max(sizes) <= 2000
