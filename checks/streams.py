@@ -28,7 +28,7 @@ def run_actions(c):
     """Three deliveries in order of time, the later two with the one before repeated;
     each is worked off as it arrives."""
     source, offsets = folder(c, "actions-source"), folder(c, "offsets")
-    job = jobs.ActionStream(c.expenses, c.users, folder(c, "state"), bucket=F.pmod("id", F.lit(256)), pick=F.col("sent_id"))
+    job = jobs.ActionStream(c.expenses, c.users, folder(c, "state"), buckets=8, every=2, bucket=F.pmod("id", F.lit(256)), pick=F.col("sent_id"))
     third = F.ceil(F.dayofmonth("ts") / 11)
     for delivery in (1, 2, 3):
         part = c.actions.filter(third.isin(delivery, delivery - 1))
@@ -83,7 +83,8 @@ def _(c):
 @query("stream_rate_limit", RATE, "")
 def _(c):
     counts = jobs.rate_limit_counts(stream_of(c, c.base("events"), "requests"))
-    kept = jobs.keep_latest(counts, ["window_start", "window_end", "client"], folder(c, "rates"), folder(c, "offsets"))
+    kept = jobs.keep_latest(counts, ["window_start", "window_end", "client"], folder(c, "rates"), folder(c, "offsets"),
+                            bucket=F.to_date("window_start"))
     return kept.filter("requests > 1").select("window_start", "client", "requests")
 
 
@@ -92,7 +93,7 @@ SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS date, count(*) AS expense_co
 FROM expenses GROUP BY ALL""")
 def _(c):
     daily = jobs.stream_daily_trend(stream_of(c, c.expenses, "claims"))
-    return jobs.keep_latest(daily, ["date"], folder(c, "daily"), folder(c, "offsets"))
+    return jobs.keep_latest(daily, ["date"], folder(c, "daily"), folder(c, "offsets"), bucket=F.date_format("date", "yyyy-MM"))
 
 
 TOLD = """SELECT a.id AS audit_id, CASE WHEN a.action = 'submitted' THEN e.approver_id ELSE e.user_id END AS user_id,

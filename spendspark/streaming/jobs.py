@@ -4,9 +4,10 @@ on the same rows."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -17,6 +18,8 @@ from spendspark.operators.ml import Categorizer, suggest_with_model
 from spendspark.operators.receipts import extract_receipt
 from spendspark.operators.reports import rows_count
 from spendspark.operators.workflow import apply_actions
+from spendspark.session import cut, cuts_so_far, remove_cuts
+from spendspark.streaming.state import VersionedTable
 
 
 def run_available(stream: DataFrame, checkpoint: str, mode: str,
@@ -28,9 +31,8 @@ def run_available(stream: DataFrame, checkpoint: str, mode: str,
     return query
 
 
-def _stored(spark: SparkSession, path: str, kind: T.StructType, before: int | None = None) -> DataFrame:
-    """Rows of the batch folders under path (empty when there are none yet), of batches
-    earlier than `before` if given."""
+def _stored(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
+    """Rows of the batch folders under path with their batch, none when there are no folders yet."""
     layout = T.StructType([*kind.fields, T.StructField("batch", T.LongType())])
     try:
         rows = spark.read.schema(layout).parquet(path)
@@ -38,7 +40,7 @@ def _stored(spark: SparkSession, path: str, kind: T.StructType, before: int | No
         if error.getCondition() != "PATH_NOT_FOUND":  # a damaged table must not pass for an empty one
             raise
         return spark.createDataFrame([], layout)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+    return rows
 
 
 def _put(df: DataFrame, path: str, batch: int) -> None:
@@ -48,62 +50,88 @@ def _put(df: DataFrame, path: str, batch: int) -> None:
 
 # --- approval workflow ---------------------------------------------------------------------------
 
+TOO_LATE = "Older than the horizon of the stream"
+
 
 class ActionStream:
     """Applies a stream of actions to a table of expenses.
 
-    The start table stays as it is; every micro-batch writes the new version of the
-    expenses it touched to changes/batch=N, and its audit rows, notifications,
-    comments, refusals, queue jobs and the action ids it saw beside it. Batch N reads
-    only batches before N, and a repeated batch N replaces its own folders, so each
-    action counts once however often a batch or an action is delivered.
-
-    An action that arrives later than a micro-batch with later actions takes effect
-    after them.
+    The state is kept in buckets of the expenses' ids (see state.VersionedTable): the expenses and
+    the ids of the actions seen. The first batch writes the given expenses as the first snapshot;
+    from then on a batch reads the buckets of the expenses it touches and writes the new version of these
+    expenses, and its audit rows, notifications, comments, refusals, queue jobs and deletions beside
+    them. Batch N reads only what batches before N left, and a repeated batch N replaces its own
+    folders, so each action counts once however often a batch or an action is delivered.
+
+    An action id is remembered for horizon_days behind the newest action of earlier batches. An
+    action older than that is refused, since it can't be told whether it has counted; with
+    horizon_days=None every id is remembered for good. An action that arrives later than a
+    micro-batch with later actions takes effect after them.
     """
 
     OUTPUTS = ("audit", "notifications", "comments", "rejected", "ocr_jobs", "feedback")
 
-    def __init__(self, base: DataFrame, users: DataFrame, folder: str, **options):
+    def __init__(self, base: DataFrame, users: DataFrame, folder: str, buckets: int = 256, every: int = 16,
+                 horizon_days: int | None = 90, **options):
         self.base, self.users, self.folder, self.options = base, users, folder.rstrip("/"), options
-        self.spark = base.sparkSession
-        self.layout = T.StructType([*base.schema.fields, T.StructField("gone", T.BooleanType())])
-
-    def current(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """Expenses after all batches (before a given one); touched limits the ids read."""
-        changes = _stored(self.spark, f"{self.folder}/changes", self.layout, before)
-        start = self.base.withColumns({"gone": F.lit(False), "batch": F.lit(-1).cast("long")})
-        rows = start.unionByName(changes)
-        if touched is not None:
-            rows = rows.join(touched, F.col("id") == F.col("touched_id"), "left_semi")
-        newest = rows.groupBy("id").agg(F.max_by(F.struct(*self.layout.fieldNames()), "batch").alias("r")).select("r.*")
-        return newest.filter(~F.col("gone")).drop("gone")
+        self.spark, self.buckets, self.every, self.horizon_days = base.sparkSession, buckets, every, horizon_days
+        self.state = VersionedTable(self.spark, f"{self.folder}/expenses", base.schema, ["id"], self._bucket("id"), every)
+        clock = T.StructType([T.StructField("name", T.StringType()), T.StructField("ts", T.TimestampType())])
+        self.clock = VersionedTable(self.spark, f"{self.folder}/clock", clock, ["name"], F.lit("0"), every)
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets))
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """Expenses after all batches, or before a given one."""
+        self.state.begin(self.base)
+        return self.state.read(before)
 
     def output(self, name: str, kind: T.StructType) -> DataFrame:
-        rows = _stored(self.spark, f"{self.folder}/{name}", kind).drop("batch")
-        column = "related_expense_id" if name == "notifications" else "expense_id"
+        rows = _stored(self.spark, f"{self.folder}/{name}", kind)
         if name == "rejected":
-            return rows
-        # a deleted expense takes along what earlier batches wrote about it
-        changes = _stored(self.spark, f"{self.folder}/changes", self.layout)
-        gone = changes.filter("gone").select(F.col("id").alias("gone_id"))
-        return rows.join(gone, F.col(column) == F.col("gone_id"), "left_anti")
+            return rows.drop("batch")
+        # a deleted expense takes along what was written about it until then
+        column = "related_expense_id" if name == "notifications" else "expense_id"
+        gone_kind = T.StructType([T.StructField("expense_id", kind[column].dataType)])
+        gone = _stored(self.spark, f"{self.folder}/deleted", gone_kind).select(
+            F.col("expense_id").alias("gone_id"), F.col("batch").alias("gone_batch"))
+        return rows.join(gone, (F.col(column) == F.col("gone_id")) & (F.col("batch") <= F.col("gone_batch")), "left_anti").drop("batch")
 
     def apply(self, actions: DataFrame, batch: int) -> None:
-        id_type = actions.schema["action_id"].dataType
-        seen_kind = T.StructType([T.StructField("seen_id", id_type)])
-        seen = _stored(self.spark, f"{self.folder}/seen", seen_kind, batch)
-        fresh = actions.dropDuplicates(["action_id"]).join(
-            seen, F.col("action_id") == F.col("seen_id"), "left_anti")
-        touched = fresh.select(F.col("expense_id").alias("touched_id")).distinct()
-        before = self.current(batch, touched)
-        result = apply_actions(before, fresh, self.users, **self.options)
+        first_cut = cuts_so_far(self.spark)
+        self.state.begin(self.base)
+        seen_kind = actions.select("action_id", "expense_id", F.col("ts").cast("timestamp").alias("ts")).schema
+        seen = VersionedTable(self.spark, f"{self.folder}/seen", seen_kind, ["action_id"], self._bucket("expense_id"), self.every)
+        given = cut(actions.dropDuplicates(["action_id"]))
+        # at most as many values as there are buckets
+        buckets = given.select(self._bucket("expense_id").cast("string")).distinct().toArrow().column(0).to_pylist()
+        known = seen.read(batch, buckets).select(F.col("action_id").alias("seen_id"))
+        clock = self.clock.read(batch).agg(F.max("ts")).first()[0]
+        limit = None if clock is None or self.horizon_days is None else clock - timedelta(days=self.horizon_days)
+        unseen = given.join(known, F.col("action_id") == F.col("seen_id"), "left_anti")
+        late = F.lit(False) if limit is None else F.coalesce(F.col("ts") < F.lit(limit), F.lit(False))
+        fresh = cut(unseen.withColumn("late", late))
+        on_time = fresh.filter("not late").drop("late")
+        touched = on_time.select(F.col("expense_id").alias("touched_id")).distinct()
+        before = cut(self.state.read(batch, buckets).join(touched, F.col("id") == F.col("touched_id"), "left_semi"))
+        result = apply_actions(before, on_time, self.users, **self.options)
         for name in self.OUTPUTS:
-            _put(getattr(result, name), f"{self.folder}/{name}", batch)
+            rows = getattr(result, name)
+            if name == "rejected":
+                rows = rows.unionByName(fresh.filter("late").withColumn("reason", F.lit(TOO_LATE)).select(*rows.columns))
+            _put(rows, f"{self.folder}/{name}", batch)
+        _put(result.deleted, f"{self.folder}/deleted", batch)
         tombs = before.join(result.deleted, F.col("id") == F.col("expense_id"), "left_semi")
-        after = result.changed.withColumn("gone", F.lit(False)).unionByName(tombs.withColumn("gone", F.lit(True)))
-        _put(after, f"{self.folder}/changes", batch)
-        _put(fresh.select(F.col("action_id").alias("seen_id")), f"{self.folder}/seen", batch)
+        self.state.put(result.changed, batch, gone=tombs)
+        seen.put(fresh.filter("not late").select(*seen_kind.fieldNames()), batch)
+        newest = on_time.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+        times = [t for t in (clock, newest) if t is not None]
+        self.clock.put(self.spark.createDataFrame([("newest", max(times))] if times else [], self.clock.kind), batch)
+        self.state.after(batch)
+        self.clock.after(batch)
+        seen.after(batch, None if limit is None else F.col("ts") < F.lit(limit))
+        remove_cuts(self.spark, first_cut, cuts_so_far(self.spark))
 
     def run(self, actions: DataFrame, checkpoint: str) -> StreamingQuery:
         return run_available(actions, checkpoint, "append", self.apply)
@@ -173,14 +201,27 @@ def stream_daily_trend(expenses: DataFrame, at: str = "created_at", delay: str =
     return daily.select(F.to_date("w.start").alias("date"), "expense_count", "total_amount")
 
 
-def keep_latest(stream: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
-    """Runs an aggregate in update mode; each micro-batch writes the groups it changed.
-    Returns the table of the last value of each group."""
-    kind = stream.schema
-    run_available(stream, checkpoint, "update", lambda df, batch: _put(df, folder, batch))
-    rows = _stored(stream.sparkSession, folder, kind)
-    values = F.struct(*[c for c in kind.fieldNames() if c not in keys])
-    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("r")).select(*keys, "r.*").select(*kind.fieldNames())
+def latest_table(spark: SparkSession, kind: T.StructType, keys: list[str], folder: str, bucket: Column | None = None,
+                 every: int = 16) -> VersionedTable:
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(16))
+    return VersionedTable(spark, folder, kind, keys, hashed if bucket is None else bucket, every)
+
+
+def keep_latest(stream: DataFrame, keys: list[str], folder: str, checkpoint: str, bucket: Column | None = None,
+                every: int = 16) -> DataFrame:
+    """Runs an aggregate in update mode; each micro-batch writes the groups it changed, and every so
+    many batches the changed buckets get a snapshot. Returns the table of the last value of each group.
+
+    bucket: what a group is kept under. For windows it should be the day or month of the window: groups
+    behind the watermark never change again, so their buckets are never written again either."""
+    table = latest_table(stream.sparkSession, stream.schema, keys, folder, bucket, every)
+
+    def each(df: DataFrame, batch: int) -> None:
+        table.put(df, batch)
+        table.after(batch)
+
+    run_available(stream, checkpoint, "update", each)
+    return table.read()
 
 
 # --- notifications from the audit trail -----------------------------------------------------------------
