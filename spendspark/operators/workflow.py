@@ -15,6 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendspark import fixed
 from spendspark.functions.scalars import display_name, is_blank, let, trim_all
@@ -172,18 +173,54 @@ def _payload_values(raw: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-_MILESTONE_FIELDS = ["ts", "action_id", "action", "actor_id", "actor_name", "notes"]
+# what decides the state, and what the outputs tell besides
+_MILESTONE_FIELDS = ["ts", "action_id", "action"]
+_TOLD_FIELDS = ["actor_id", "actor_name", "notes"]
+_KINDS = 16  # more than there are actions
+_LOWEST_ID = 1 << 63
+_SPAN = _KINDS << 64
 
 
-def _milestone_columns(name: str) -> list[str]:
-    return [f"{name}_{field}" for field in _MILESTONE_FIELDS]
+def _milestone_columns(name: str, fields: list[str]) -> list[str]:
+    return [f"{name}_{field}" for field in fields]
+
+
+def _exact(value: Column | int) -> Column:
+    return (F.lit(str(value)) if isinstance(value, int) else value).cast("decimal(38,0)")
+
+
+def _rank_of() -> Column:
+    """(ts, action_id) and the kind of action as one number in the same order: a value that a
+    hash aggregate can keep in place, which it can't a row with text in it."""
+    kind = F.coalesce(*[F.when(F.col("action") == a, i) for i, a in enumerate(KNOWN_ACTIONS)])
+    number = (_exact(F.col("action_id")) + _exact(_LOWEST_ID)) * F.lit(_KINDS) + kind
+    return _exact(_exact(F.unix_micros("ts")) * _exact(_SPAN) + number)
+
+
+def _from_rank(rank: Column) -> dict[str, Column]:
+    """The milestone fields of a number that _rank_of made."""
+    def whole(value: Column, parts: int) -> Column:
+        return F.call_function("div", _exact(value), _exact(parts))
+
+    low = F.pmod(rank, _exact(_SPAN))
+    kind = F.pmod(low, _exact(_KINDS))
+    return {"ts": F.timestamp_micros(whole(rank - low, _SPAN)),
+            "action_id": whole(low - kind - _exact(_LOWEST_ID * _KINDS), _KINDS),
+            "action": F.get(F.array(*[F.lit(a) for a in KNOWN_ACTIONS]), kind.cast("int"))}
 
 
 def _earliest(rows: DataFrame, name: str) -> DataFrame:
     """First of the rows per expense, as flat columns <name>_ts, <name>_action, ..."""
-    first = rows.groupBy(F.col("expense_id").alias(f"{name}_id")).agg(
-        F.min(F.struct(*_MILESTONE_FIELDS)).alias("first"))
-    return first.select(f"{name}_id", *[F.col(f"first.{f}").alias(f"{name}_{f}") for f in _MILESTONE_FIELDS])
+    first = rows.groupBy(F.col("expense_id").alias(f"{name}_id")).agg(F.min(_rank_of()).alias("rank"))
+    return first.select(f"{name}_id", *[v.alias(f"{name}_{f}") for f, v in _from_rank(F.col("rank")).items()])
+
+
+def _told(accepted: DataFrame) -> DataFrame:
+    """Who took an expense's milestones, and what they wrote: at most three rows per expense meet."""
+    own = {m: F.coalesce(F.col("action_id") == F.col(f"{m}_action_id"), F.lit(False)) for m in ("m1", "m2", "m3")}
+    rows = accepted.filter(own["m1"] | own["m2"] | own["m3"]).groupBy(F.col("expense_id").alias("told_id")).agg(
+        *[F.max(F.when(hit, F.struct(*_TOLD_FIELDS))).alias(m) for m, hit in own.items()])
+    return rows.select("told_id", *[F.col(f"{m}.{f}").alias(f"{m}_{f}") for m in own for f in _TOLD_FIELDS])
 
 
 def apply_actions(
@@ -201,18 +238,20 @@ def apply_actions(
 ) -> WorkflowResult:
     """New state of the expenses and everything the accepted actions leave behind.
 
-    actions: action_id, expense_id, actor_id, action, notes (reason, message or comment
+    actions: action_id (an integer), expense_id, actor_id, action, notes (reason, message or comment
     text), ts, optionally is_internal and the claim fields of create and update as text.
     Each expense's actions take effect in (ts, action_id) order. The time of an effect
     is the ts of its action. A refused action appears in `rejected` with its reason.
 
     bucket and pick replace the hashes that number the approvers and draw one (see
     assign_approver). forbid_self refuses decisions on own expenses. keep is called
-    on the joined actions, the milestones, the decided actions and the changed expenses;
-    it writes them to the shared checkpoint folder, since every output reads them.
+    on the list of hot expenses, the joined actions, the milestones, the decided actions and the
+    changed expenses; it writes them to the shared checkpoint folder, since every output reads them.
     """
+    if not isinstance(actions.schema["action_id"].dataType, T.IntegralType):
+        raise ValueError("action_id must be an integer")
     prepared = _with_actor(actions, users)
-    salting = Salting(actions, "expense_id", "action_id", hot_rows, salts)
+    salting = Salting(actions, "expense_id", "action_id", hot_rows, salts, keep)
     created = _created(prepared, expenses)
     slots = number_approvers(users, bucket=bucket)
     approvers = slots.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -252,7 +291,7 @@ def apply_actions(
         m1.join(m2, F.col("m1_id") == F.col("m2_id"), "full_outer")
         .join(m3, F.coalesce("m1_id", "m2_id") == F.col("m3_id"), "full_outer")
         .select(F.coalesce("m1_id", "m2_id", "m3_id").alias("m_id"),
-                *[c for m in ("m1", "m2", "m3") for c in _milestone_columns(m)]))
+                *[c for m in ("m1", "m2", "m3") for c in _milestone_columns(m, _MILESTONE_FIELDS)]))
 
     decided = salting.meet(met, milestones, "m_id")
     state = (
@@ -294,7 +333,7 @@ def _moved(expenses, created, accepted, milestones, users, seed, bucket, pick) -
         "edit_id", F.col("edit.ts").alias("edit_ts"), *[F.col(f"edit.{c}").alias(f"edit_{c}") for c in PAYLOAD[:7]],
         *[F.col(f"receipt.{c}").alias(f"edit_{c}") for c in PAYLOAD[7:]])
     facts = edits.join(milestones, F.col("edit_id") == F.col("m_id"), "full_outer").withColumn(
-        "fact_id", F.coalesce("edit_id", "m_id"))
+        "fact_id", F.coalesce("edit_id", "m_id")).join(_told(accepted), F.col("m_id") == F.col("told_id"), "left")
     submitted = milestones.filter(F.col("m1_action") == "submit").select(F.col("m_id").alias("sent_id"))
     sent = assign_approver(submitted, users, seed, "sent_id", bucket, pick)
 
@@ -318,7 +357,7 @@ def _moved(expenses, created, accepted, milestones, users, seed, bucket, pick) -
     types = {f.name: f.dataType for f in expenses.schema.fields}
     return joined.withColumns({c: v.cast(types[c]) for c, v in values.items() if c in types}).select(
         *expenses.columns, "born_ts", "born_action_id", "born_actor_id", "assigned_to",
-        *[c for m in ("m1", "m2", "m3") for c in _milestone_columns(m)])
+        *[c for m in ("m1", "m2", "m3") for c in _milestone_columns(m, _MILESTONE_FIELDS + _TOLD_FIELDS)])
 
 
 def _line(milestone: str, **fields: Column) -> Column:

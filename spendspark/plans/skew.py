@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendspark.session import cut
+
 
 class Salting:
     """Spreads the rows of hot keys over several tasks for a join with rows that are
     unique per key.
 
-    Hot keys are those with at least hot_rows rows and a ten-thousandth of all rows, so
-    there are at most 10,000 of them at any size: a bound that makes their list
-    broadcastable. All other keys keep salt 0 and are not copied.
+    Hot keys are the MOST keys with the most rows, of those that have at least hot_rows: a bound
+    that makes their list broadcastable at any size. They are counted once and written, as every
+    join reads the list. All other keys keep salt 0 and are not copied.
     """
 
     MOST = 10_000
 
-    def __init__(self, rows: DataFrame, key: str, row_id: str, hot_rows: int = 1_000_000, salts: int = 64):
+    def __init__(self, rows: DataFrame, key: str, row_id: str, hot_rows: int = 1_000_000, salts: int = 64,
+                 keep: Callable[[DataFrame], DataFrame] = cut):
         self.key, self.row_id, self.salts = key, row_id, salts
         counts = rows.groupBy(F.col(key).alias("hot_id")).agg(F.count(F.lit(1)).alias("n"))
-        least = F.greatest(F.lit(hot_rows), rows.agg(F.count(F.lit(1)) / self.MOST).scalar())
-        self.hot = counts.filter(F.col("n") >= least).select("hot_id")
+        most = counts.filter(F.col("n") >= hot_rows).orderBy(F.col("n").desc(), "hot_id").limit(self.MOST)
+        self.hot = keep(most.select("hot_id"))
 
     def _marked(self, df: DataFrame, key: str) -> DataFrame:
         return df.join(F.broadcast(self.hot), F.col(key) == F.col("hot_id"), "left")

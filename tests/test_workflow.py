@@ -193,3 +193,19 @@ def test_templates(spark):
     assert {r["id"]: (r["subject"], r["body"]) for r in mutations.render_messages(own, templates).collect()} == {
         1: ("Mine", "v!"), 2: ("Hi", "Dear {{name}} {{other}} {{name}}")}
     assert mutations.default_templates(spark).count() == 6
+
+
+def test_milestones_by_hash_aggregate(spark):
+    """The first action by (ts, id) with its kind from one number, before 1970 and with negative ids too."""
+    from datetime import datetime
+
+    from spendspark.operators.workflow import _earliest
+
+    rows = [("a", datetime(1969, 12, 31, 23, 59, 59, 999_999), 5, "submit"), ("a", datetime(1969, 12, 31, 23, 59, 59, 999_999), -7, "delete"),
+            ("b", datetime(2025, 1, 2, 3, 4, 5, 6), 2**63 - 1, "reimburse"), ("b", datetime(9999, 12, 31), 1, "create"),
+            ("c", datetime(9999, 12, 31, 23, 59, 59), -2**63, "request_changes"), ("d", datetime(1, 1, 2), 0, "comment")]
+    first = _earliest(spark.createDataFrame(rows, "expense_id string, ts timestamp, action_id long, action string"), "m")
+    assert "SortAggregate" not in first._jdf.queryExecution().toString()
+    assert {r["m_id"]: (r["m_ts"], r["m_action_id"], r["m_action"]) for r in first.collect()} == {
+        "a": (rows[1][1], -7, "delete"), "b": (rows[2][1], 2**63 - 1, "reimburse"), "c": (rows[4][1], -2**63, "request_changes"),
+        "d": (rows[5][1], 0, "comment")}
