@@ -6,6 +6,7 @@ from checks.registry import query
 from spendspark import fixed
 from spendspark.operators import categorize, ml, reports, views
 from spendspark.plans.fixtures import AS_OF
+from spendspark.session import cut
 
 TEXT = "lower(concat(coalesce(title, ''), ' ', coalesce(description, ''), ' ', coalesce(vendor, '')))"
 
@@ -199,6 +200,44 @@ def labelled(c):
                        F.col("quality").cast("string").alias("category"))
 
 
+# the lowest four fifths of the draws of every class, one row at least
+SPLIT = """
+WITH l AS (SELECT d.doc_id, coalesce(d.text, '') AS text, d.source, CAST(l.quality AS VARCHAR) AS category,
+                  CAST('0x' || md5(d.doc_id || ':42')[1:15] AS BIGINT) AS draw FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY draw) <= greatest(1, (4 * count(*) OVER (PARTITION BY category)) // 5) AS in_train FROM l)"""
+
+TERMS = f"""{SPLIT},
+w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text || ' ' || coalesce(source, '')), '[\\p{{L}}\\p{{N}}_]+'),
+        lambda w: length(w) > 1 AND w NOT IN ({", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)})) AS ws FROM s WHERE in_train),
+t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+f AS (SELECT term, count(DISTINCT doc_id) AS document_frequency FROM t GROUP BY term),
+n AS (SELECT count(*) AS n FROM w)"""
+
+
+@query("train_split", f"{SPLIT} SELECT doc_id, category, in_train FROM s", "")
+def _(c):
+    return ml.stratified_split(labelled(c), "doc_id", "category").select("doc_id", "category", "in_train")
+
+
+@query("train_class_weights", f"""{SPLIT}
+SELECT category, count(*) AS n, round((SELECT count(*) FROM s WHERE in_train) / (SELECT count(DISTINCT category) FROM s WHERE in_train)
+       / count(*), 9) AS weight FROM s WHERE in_train GROUP BY category""", "")
+def _(c):
+    train = ml.stratified_split(labelled(c), "doc_id", "category").filter("in_train")
+    return ml.class_weights(train, "category").select(F.col("w_label").alias("category"), "n", F.round("weight", 9).alias("weight"))
+
+
+@query("train_idf", f"""{TERMS}
+SELECT term, document_frequency, round(ln((n.n + 1.0::DOUBLE) / (document_frequency + 1.0::DOUBLE)) + 1, 9) AS idf FROM f, n
+WHERE document_frequency >= 2 AND document_frequency <= 0.8 * n.n""", "")
+def _(c):
+    """Document frequency and idf of all terms of the training texts that pass the limits."""
+    usable = ml.expense_features(labelled(c))
+    _, terms = ml.with_terms(ml.stratified_split(usable, "doc_id", "category").filter("in_train"))
+    counted, idf, _ = ml.term_counts(cut(terms.select("terms")), 1 << 20)
+    return ml.idf_table(counted, idf, c.spark).withColumn("idf", F.round("idf", 9))
+
+
 @query("train_categorizer")
 def _(c):
     """Report on the held-out fifth of the labelled documents."""

@@ -275,6 +275,12 @@ def _(c):
     return views.page(c.expenses, views.sort_keys("title", "asc"), 3, 25).select("id")
 
 
+@query("page_from_ranges", "SELECT id, title FROM (SELECT * FROM expenses ORDER BY title DESC NULLS FIRST, id LIMIT 20 OFFSET 9980)")
+def _(c):
+    """Page 500 of all expenses, from the ranges that hold it."""
+    return views.RangedPages(c.expenses.select("id", "title"), views.sort_keys("title", "desc"), 64).page(500, 20)
+
+
 @query("page_after", f"""
 SELECT id, {at('created_at')} AS created_at FROM expenses
 WHERE created_at < TIMESTAMP '2000-01-01' OR (created_at = TIMESTAMP '2000-01-01' AND id > 100)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover,
-    StringIndexer,
+    IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDFModel, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+    StopWordsRemover, StringIndexer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendspark import fixed
@@ -64,15 +65,81 @@ class InsufficientData(ValueError):
     pass
 
 
+DRAW_BITS, ROUND_BITS = 60, 15
+
+
+def draw_of(key: str, seed: int) -> Column:
+    """A number of DRAW_BITS bits from the key's MD5: the same in every engine."""
+    text = F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def lowest_draws(rows: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
+    """The draw up to which a class has `wanted` rows. rows: class, draw. Each round counts the rows
+    of a class by the next ROUND_BITS bits of their draw, behind the bits found so far, and finds the
+    count that passes what is wanted: no class is ever sorted, and a round brings one row per class
+    to the driver. Two or three rounds tell a billion rows apart, and the last decides in any case."""
+    limits = {c: -1 for c, n in wanted.items() if n <= 0}
+    found = {c: (0, n) for c, n in wanted.items() if n > 0}  # bits so far, rows still wanted
+    for shift in range(DRAW_BITS - ROUND_BITS, -1, -ROUND_BITS):
+        if not found:
+            break
+        look = {name: F.create_map(*[F.lit(x) for c, pair in found.items() for x in (c, pair[i])])[F.col("class")]
+                for i, name in enumerate(("bits", "left"))}
+        bits = F.shiftright("draw", shift).alias("bits")
+        counts = rows.filter(F.shiftright("draw", shift + ROUND_BITS) == look["bits"]).groupBy("class", bits).agg(F.count(F.lit(1)).alias("n"))
+        up_to = counts.withColumn("up_to", F.sum("n").over(Window.partitionBy("class").orderBy("bits")))
+        passing = up_to.filter(F.col("up_to") >= look["left"]).groupBy("class").agg(F.min(F.struct("bits", "up_to", "n")).alias("at"))
+        for row in passing.collect():
+            c, at = row["class"], row["at"]
+            left = found[c][1]
+            if at["up_to"] == left or shift == 0:
+                limits[c] = ((at["bits"] + 1) << shift) - 1
+                del found[c]
+            else:
+                found[c] = (at["bits"], left - (at["up_to"] - at["n"]))
+    return limits
+
+
 def stratified_split(samples: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Adds in_train: the lowest `share` of the key hashes of every class. The limit
-    per class is a percentile sketch, so no class is ever sorted in one task."""
-    hashed = samples.withColumn("draw", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 31)))
-    limits = hashed.groupBy(F.col(label).alias("limit_label")).agg(
-        F.percentile_approx("draw", share, 10_000).alias("limit"))
+    """Adds in_train: of every class of n rows the floor(share * n) rows, one at least, with the lowest
+    draws. Rows that repeat a key have one draw and stay together, which may add some. Rows without a
+    class go."""
+    drawn = cut(samples.select(F.col(label).cast("string").alias("class"), draw_of(key, seed).alias("draw")).filter("class IS NOT NULL"))
+    sizes = {r["class"]: r["n"] for r in drawn.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limits = lowest_draws(drawn, {c: max(1, math.floor(share * n + 1e-9)) for c, n in sizes.items()})
+    if not limits:
+        return samples.filter("false").withColumn("in_train", F.lit(True))
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col(label).cast("string")]
+    return samples.filter(F.col(label).isNotNull()).withColumn("in_train", draw_of(key, seed) <= limit)
+
+
+def class_weights(train: DataFrame, label: str) -> DataFrame:
+    """w_label and weight of every class: rows of all / (classes * rows of the class)."""
+    sizes = train.groupBy(F.col(label).alias("w_label")).agg(F.count(F.lit(1)).alias("n"))
     # one row per class
-    joined = hashed.join(F.broadcast(limits), F.col(label) == F.col("limit_label"))
-    return joined.withColumn("in_train", F.col("draw") <= F.col("limit")).drop("draw", "limit", "limit_label")
+    return sizes.withColumn("weight", sizes.agg(F.sum("n") / F.count(F.lit(1))).scalar() / F.col("n"))
+
+
+def with_terms(usable: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """The texts' words and pairs of neighbouring words, in terms."""
+    stages = [*text_stages(), NGram(n=2, inputCol="words", outputCol="pairs"),
+              SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")]
+    model = Pipeline(stages=stages).fit(usable)
+    return model, model.transform(usable)
+
+
+def term_counts(rows: DataFrame, vocabulary: int) -> tuple[CountVectorizerModel, IDFModel, DataFrame]:
+    """The vocabulary, its document frequencies and the counts of the rows' terms."""
+    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=0.8).fit(rows)
+    vectors = counted.transform(rows)
+    return counted, IDF(inputCol="tf", outputCol="tf_idf").fit(vectors), vectors
+
+
+def idf_table(counted: CountVectorizerModel, idf: IDFModel, spark: SparkSession) -> DataFrame:
+    """term, document_frequency and smoothed idf plus one, one row per term of the vocabulary."""
+    rows = zip(counted.vocabulary, [int(n) for n in idf.docFreq], [float(x) + 1.0 for x in idf.idf.toArray()], strict=True)
+    return spark.createDataFrame(list(rows), "term string, document_frequency long, idf double")
 
 
 def train_categorizer(
@@ -97,22 +164,12 @@ def train_categorizer(
     # version and sample count are those of all rows given, also of classes left out
     given = samples.count()
     # read by the weights, the vocabulary, the idf, the forest and the test: tokenised once
-    terms = [
-        *text_stages(),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-    ]
-    tokenised = Pipeline(stages=terms).fit(usable)
+    tokenised, _ = with_terms(usable)
     split = cut(tokenised.transform(stratified_split(usable, key, label, seed=seed)))
     train, test = split.filter("in_train"), split.filter("NOT in_train")
-    train_sizes = train.groupBy(F.col(label).alias("w_label")).agg(F.count(F.lit(1)).alias("n"))
-    weights = train_sizes.withColumn(
-        "weight", train_sizes.agg(F.sum("n")).scalar() / (F.lit(len(sizes)) * F.col("n")))
+    weights = class_weights(train, label)
     weighted = train.join(F.broadcast(weights), F.col(label) == F.col("w_label")).drop("w_label", "n")
-
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=0.8).fit(weighted)
-    vectors = counted.transform(weighted)
-    idf = IDF(inputCol="tf", outputCol="tf_idf").fit(vectors)
+    counted, idf, vectors = term_counts(weighted, vocabulary)
     # smoothed idf plus one, as a fixed scaling of at most `vocabulary` numbers
     scaling = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])
     rest = Pipeline(stages=[

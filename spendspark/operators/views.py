@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spendspark import fixed
 from spendspark.functions.scalars import display_name, enum_rank
+from spendspark.session import cut
 
 SORT_FIELDS = ["created_at", "expense_date", "amount", "status", "title"]
 
@@ -44,6 +45,41 @@ def page_after(df: DataFrame, column: str, after, after_id, limit: int = 20, id_
     return df.filter(behind).orderBy(F.col(column).desc(), F.col(id_column).asc()).limit(limit)
 
 
+class RangedPages:
+    """A table dealt into ranges of its order, for pages at any depth.
+
+    Spark samples the order once and deals the rows into `ranges` ranges, which are written with their
+    number and counted: one row per range reaches the driver. A page then reads and sorts only the
+    ranges that hold it, two as a rule, however deep it lies. Rows that the order can't tell apart lie
+    in one range, so it should end with a key. Select the columns that the pages need beforehand."""
+
+    RANGE = "range of the pages"
+
+    def __init__(self, df: DataFrame, keys: list[Column], ranges: int | None = None):
+        self.keys = keys
+        number = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.held = cut(df.repartitionByRange(number, *keys).withColumn(self.RANGE, F.spark_partition_id()))
+        sizes = self.held.groupBy(F.col(f"`{self.RANGE}`").alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()
+        self.sizes = sorted((row["r"], row["n"]) for row in sizes)
+
+    def ranges_of(self, page: int, limit: int) -> tuple[list[int], int]:
+        """Ranges that hold a page, and how many rows of the first of them come before it."""
+        first, end = (page - 1) * limit, page * limit
+        at, found, skip = 0, [], 0
+        for number, n in self.sizes:
+            if at < end and at + n > first:
+                skip = first - at if not found else skip
+                found.append(number)
+            at += n
+        return found, skip
+
+    def page(self, page: int = 1, limit: int = 20) -> DataFrame:
+        """The rows that views.page gives, in their order."""
+        found, skip = self.ranges_of(page, limit)
+        rows = self.held.filter(F.col(f"`{self.RANGE}`").isin(found)).orderBy(*self.keys)
+        return rows.offset(skip).limit(limit if found else 0).drop(self.RANGE)
+
+
 def page_per_user(df: DataFrame, keys: list[Column], page: int = 1, limit: int = 20,
                   owner: str = "user_id", row_id: str = "id", salts: int = 64) -> DataFrame:
     """The same page of every user at once. Rows are first ranked in `salts` parts of

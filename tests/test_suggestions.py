@@ -130,3 +130,39 @@ def test_features(spark):
     rows = ml.expense_features(df).collect()
     assert [r["amount_bucket"] for r in rows] == [None, "low", "medium", "high", "very_high", None, None]
     assert rows[0]["combined_text"] == "A  b"
+
+
+def test_split_takes_exactly_its_share_of_every_class(spark, monkeypatch):
+    from spendspark.operators import ml
+
+    rows = [(i, "abc"[i % 3] if i % 10 else "rare") for i in range(3000)] + [(5000, "single"), (5001, None)]
+    samples = spark.createDataFrame(rows, "id long, category string")
+    for share in (0.8, 0.5, 0.0, 1.0):
+        for bits in (15, 5, 3):  # more rounds with fewer bits give the same split
+            monkeypatch.setattr(ml, "ROUND_BITS", bits)
+            found = ml.stratified_split(samples, "id", "category", share).collect()
+            assert len(found) == 3001
+            for name in ("a", "b", "c", "rare", "single"):
+                own = [r["in_train"] for r in found if r["category"] == name]
+                assert sum(own) == max(1, int(share * len(own) + 1e-9)), (name, share, bits)
+    assert ml.stratified_split(samples.limit(0), "id", "category").count() == 0
+    twice = ml.stratified_split(samples.union(samples), "id", "category").groupBy("id").agg(F.countDistinct("in_train").alias("n"))
+    assert twice.filter("n > 1").count() == 0
+
+
+def test_pages_from_ranges(spark, claims):
+    from spendspark.operators import views
+
+    rows = claims.expenses.select("id", "status", "created_at").withColumn("status", F.when(F.col("id") % 9 > 0, F.col("status")))
+    for by, order in (("status", "asc"), ("created_at", "desc")):
+        keys = views.sort_keys(by, order)
+        pages = views.RangedPages(rows, keys, 32)
+        n = rows.count()
+        last = -(-n // 20)
+        for number in (1, 2, last // 2, last, last + 1):
+            found, _ = pages.ranges_of(number, 20)
+            assert len(found) <= 2
+            assert [tuple(r) for r in pages.page(number, 20).collect()] == [tuple(r) for r in views.page(rows, keys, number, 20).collect()]
+        assert [r["id"] for r in pages.page(1, n).collect()] == [r["id"] for r in rows.orderBy(*keys).collect()]
+        assert pages.page(1, 20).columns == rows.columns
+    assert views.RangedPages(rows.limit(0), views.sort_keys(), 4).page(3).count() == 0
