@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["reports", "views", "suggestions", "receipts", "workflow", "changes", "streams"]
+TOPICS = ["reports", "views", "suggestions", "receipts", "workflow", "changes", "streams", "files"]
 
 
 def load_all() -> None:

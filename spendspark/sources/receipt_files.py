@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from spendspark import fixed, schema
 from spendspark.operators.receipts import price_of
+from spendspark.sources import file_heads
 
 RECEIPT_TYPES = ("jpg", "jpeg", "png", "pdf")
 AVATAR_TYPES = ("jpg", "jpeg", "png")
 # first bytes of the accepted formats
+HEAD_BYTES = 4
 MAGIC = {"jpg": "FFD8FF", "jpeg": "FFD8FF", "png": "89504E47", "pdf": "25504446"}
 
 
@@ -18,7 +20,8 @@ def scan_receipts(spark: SparkSession, path: str, max_bytes: int = fixed.RECEIPT
                   extensions: tuple[str, ...] = RECEIPT_TYPES, check_content: bool = False) -> DataFrame:
     """Files with rejected = why they are refused, null when accepted. The check by
     name and size reads no content; check_content also compares the first bytes of
-    the files that pass."""
+    the files that pass: HEAD_BYTES of each are read where pyarrow knows the path's scheme, else,
+    through Spark, whole files up to max_bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     type_message = fixed.MSG_FILE_TYPE if "pdf" in extensions else fixed.MSG_AVATAR_TYPE
@@ -28,13 +31,18 @@ def scan_receipts(spark: SparkSession, path: str, max_bytes: int = fixed.RECEIPT
     if not check_content:
         return by_name
     # the size limit reaches the scan, so content above it is never read
-    start = F.hex(F.substring("content", 1, 4))
+    passed = files.filter((F.col("length") <= max_bytes) & ~bad_type)
+    if file_heads.opens(path):
+        passed = file_heads.with_heads(passed.select(*described), HEAD_BYTES)
+        start = F.hex("head")
+    else:
+        passed = passed.select(*described, "content")
+        start = F.hex(F.substring("content", 1, HEAD_BYTES))
     looks_right = F.lit(False)
     for name, magic in MAGIC.items():
-        looks_right = looks_right | ((extension == name) & start.startswith(magic))
-    passed = files.filter((F.col("length") <= max_bytes) & ~bad_type).select(
-        *described, F.when(~looks_right, type_message).alias("rejected"))
-    return by_name.filter(F.col("rejected").isNotNull()).unionByName(passed)
+        looks_right = looks_right | ((F.col("extension") == name) & start.startswith(magic))
+    judged = passed.withColumn("rejected", F.when(~looks_right, type_message)).drop("content", "head")
+    return by_name.filter(F.col("rejected").isNotNull()).unionByName(judged)
 
 
 def scan_avatars(spark: SparkSession, path: str, check_content: bool = False) -> DataFrame:
