@@ -21,7 +21,7 @@ def scan_receipts(spark: SparkSession, path: str, max_bytes: int = fixed.RECEIPT
     """Files with rejected = why they are refused, null when accepted. The check by
     name and size reads no content; check_content also compares the first bytes of
     the files that pass: HEAD_BYTES of each are read where pyarrow knows the path's scheme, else,
-    through Spark, whole files up to max_bytes."""
+    through Spark, whole files up to max_bytes. Spark leaves empty files out of its listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     type_message = fixed.MSG_FILE_TYPE if "pdf" in extensions else fixed.MSG_AVATAR_TYPE
