@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import at, query
+from spendspark.functions import sql
 from spendspark.operators import mutations, receipts, reports
 from spendspark.plans.fixtures import AS_OF
 from spendspark.session import cut
@@ -84,6 +85,41 @@ def _(c):
     return parsed.select("expense_id", "parsed.vendor", "parsed.amount", "parsed.date")
 
 
+@query("sql_extract_receipt", f"WITH {READ} SELECT expense_id, vendor, amount, {DAY} AS date FROM read", "receipts")
+def _(c):
+    """The fields by the function of Spark's SQL."""
+    sql.register(c.spark)
+    parsed = c.spark.sql("SELECT expense_id, receipt_fields(text, NULL) AS parsed FROM {receipts}", receipts=c.receipts)
+    return parsed.select("expense_id", "parsed.vendor", "parsed.amount", "parsed.date")
+
+
+def itemised(c):
+    """A receipt per order: a line per line item, and its total among the pairs."""
+    line = F.concat(F.lit("  Part "), "l_partkey", F.lit(" no. "), "l_linenumber", F.lit("   "), F.col("l_quantity").cast("int"), F.lit("  R$ "),
+                    F.floor("l_extendedprice").cast("string"), F.lit(",50"))
+    rows = c.base("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.count(F.lit(1)).alias("n"))
+    text = F.concat_ws("\n", F.lit("Store"), F.array_join("lines", "\n"), F.concat(F.lit("SUBTOTAL R$ 1,00\nTOTAL R$ "), "n", F.lit(",75")))
+    return rows.select(F.col("l_orderkey").alias("expense_id"), text.alias("text"), F.create_map(
+        F.lit("total items"), F.lit("none"), F.lit("amount due"), F.concat(F.lit("R$ "), "n", F.lit(",25"))).alias("kv"))
+
+
+@query("extract_receipt_items", """
+SELECT l_orderkey AS expense_id, 'Part ' || l_partkey || ' no. ' || l_linenumber AS name, CAST(l_quantity AS INT) AS qty,
+       floor(l_extendedprice) + 0.5 AS price FROM lineitem""", "")
+def _(c):
+    return receipts.extract_receipt(itemised(c), "locale").select("expense_id", F.explode("parsed.items").alias("i")).select("expense_id", "i.*")
+
+
+@query("extract_receipt_totals", """
+SELECT l_orderkey AS expense_id, 'Store' AS vendor, count(*) + 0.75 AS amount, count(*) + 0.25 AS total, CAST(count(*) AS INT) AS n_items,
+       0 AS n_items_reference FROM lineitem GROUP BY l_orderkey""", "")
+def _(c):
+    both = receipts.extract_receipt(itemised(c), "locale").withColumnRenamed("parsed", "local")
+    return receipts.extract_receipt(both).select(
+        "expense_id", "local.vendor", "local.amount", "parsed.total", F.size("local.items").alias("n_items"),
+        F.size("parsed.items").alias("n_items_reference"))
+
+
 # --- OCR blocks made from line items: per line one LINE, one KEY, one VALUE block and their words --------
 
 

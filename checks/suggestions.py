@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from spendspark import fixed
+from spendspark.functions import sql
 from spendspark.operators import categorize, ml, reports, views
 from spendspark.plans.fixtures import AS_OF
 from spendspark.session import cut
@@ -55,6 +56,15 @@ def _(c):
         "id", "category_by_keyword", F.round("keyword_confidence", 9).alias("keyword_confidence"))
 
 
+@query("sql_keyword_category", f"""{ALL}
+SELECT id, base_category AS category, round(base_confidence, 9) AS confidence FROM final""")
+def _(c):
+    """The rules as a function of Spark's SQL."""
+    sql.register(c.spark)
+    chosen = c.spark.sql("SELECT id, keyword_category(title, description, vendor) AS k FROM {claims}", claims=c.expenses)
+    return chosen.select("id", "k.category", F.round("k.confidence", 9).alias("confidence"))
+
+
 @query("amount_hints", f"""
 WITH scored AS (SELECT id, CAST(amount AS DOUBLE) AS amt FROM expenses),
 hints AS ({" UNION ALL ".join(f"SELECT id, '{c}' AS category, {hint(c)} AS hint FROM scored" for c in CATS)})
@@ -245,6 +255,19 @@ def _(c):
     return report
 
 
+@query("model_stats_trained", f"""{SPLIT},
+f AS (SELECT count(*) AS n FROM expenses WHERE status = 'approved' AND ml_suggested_category <> category)
+SELECT f.n AS feedback_count, '1.' || count(*) AS model_version, '{AS_OF}' AS last_trained, true AS has_trained_model, count(*) AS training_samples,
+       count(*) FILTER (NOT in_train) AS test_samples, true AS accuracy_is_share FROM s, f GROUP BY f.n""", "expenses")
+def _(c):
+    """Statistics with a model: what of it does not depend on the trees."""
+    model, _report = ml.train_categorizer(labelled(c), AS_OF, key="doc_id", labels=["0", "1"], trees=2, depth=2)
+    feedback, _audit = categorize.feedback_rows(c.expenses, AS_OF)
+    return ml.model_stats(feedback, model).select(
+        "feedback_count", "model_version", "last_trained", "has_trained_model", F.lit(model.training_samples).cast("long").alias("training_samples"),
+        F.lit(model.test_samples).cast("long").alias("test_samples"), F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
 @query("score_categorizer")
 def _(c):
     """Model trained on the labelled documents, saved, loaded, applied to all documents."""

@@ -1,5 +1,8 @@
 """The approval workflow against a step-by-step recursive query, and history backfill."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import at, query
@@ -176,6 +179,22 @@ def _(c):
     return workflow.cascade_delete({"audit": c.audit_log.select("id", "expense_id")}, applied(c).deleted)["audit"]
 
 
+# tables that hold an expense or refer to one, and the column that does
+REFERRING = {"expenses": "id", "audit_log": "expense_id", "comments": "expense_id", "notifications": "related_expense_id",
+             "ocr_queue": "expense_id"}
+
+
+@query("cascade_delete_everywhere", WALK + " UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, count(*) AS n, count(DISTINCT t.{k}) AS n_expenses FROM {t} t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.expense_id = t.{k})"""
+       for t, k in REFERRING.items()), VIEWS + " audit_log comments notifications ocr_queue")
+def _(c):
+    """What is left of the five tables when the deleted expenses have gone."""
+    left = workflow.cascade_delete({t: getattr(c, t) for t in REFERRING}, applied(c).deleted)
+    counts = [df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(REFERRING[t]).alias("n_expenses")).select(
+        F.lit(t).alias("table_name"), "n", "n_expenses") for t, df in left.items()]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 @query("backfill_status_times", f"""
 SELECT id, {at("CASE WHEN status IN ('approved', 'reimbursed') THEN created_at + INTERVAL '1' DAY ELSE approved_at END")} AS approved_at,
        {at("CASE WHEN status = 'reimbursed' THEN created_at + INTERVAL '4' DAY ELSE reimbursed_at END")} AS reimbursed_at

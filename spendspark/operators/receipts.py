@@ -261,9 +261,8 @@ def _local_date(text: Column) -> Column:
 
 def _local_items(text: Column) -> Column:
     columns = [F.regexp_extract_all(text, F.lit(_ITEM), F.lit(g)) for g in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[c.alias(n) for c, n in zip(columns, ("name", "qty", "price"))]),
-                       lambda i: F.struct(i["name"].alias("name"), i["qty"].try_cast("int").alias("qty"),
-                                          price_of(i["price"]).alias("price")))
+    return F.transform(F.arrays_zip(*columns), lambda i: F.struct(
+        i["0"].alias("name"), i["1"].try_cast("int").alias("qty"), price_of(i["2"]).alias("price")))
 
 
 _NO_ITEMS = "array<struct<name:string,qty:int,price:double>>"
