@@ -1,5 +1,7 @@
 """Filters, joined views, sorting, paging."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from spendspark.functions import scalars
 from spendspark.functions.predicates import in_year, within
 from spendspark.operators import filters, views
 from spendspark.plans.fixtures import AS_OF
+from spendspark.session import checkpoint_dir
 from spendspark.sources import tables
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -275,6 +278,19 @@ def _(c):
     return views.page(c.expenses, views.sort_keys("title", "asc"), 3, 25).select("id")
 
 
+@query("expense_activity", f"""
+WITH s AS (SELECT expense_id, count(*) AS n, max(created_at) AS last FROM comments GROUP BY expense_id),
+a AS (SELECT expense_id, count(*) AS n, max(created_at) AS last FROM audit_log GROUP BY expense_id)
+SELECT e.id, coalesce(s.n, 0) AS n_comments, {at('s.last')} AS last_comment_at, coalesce(a.n, 0) AS n_audit, {at('a.last')} AS last_audit_at
+FROM expenses e LEFT JOIN s ON s.expense_id = e.id LEFT JOIN a ON a.expense_id = e.id""", "expenses comments audit_log")
+def _(c):
+    """From tables bucketed by the expense."""
+    run = uuid.uuid4().hex
+    stored = [tables.write_bucketed(df, f"{name}_{run}", f"{checkpoint_dir(c.spark)}/{name}-{run}", key, 8) for name, df, key in (
+        ("expenses", c.expenses, "id"), ("comments", c.comments, "expense_id"), ("audit", c.audit_log, "expense_id"))]
+    return views.with_activity(*stored).select("id", "n_comments", "last_comment_at", "n_audit", "last_audit_at")
+
+
 @query("page_from_ranges", "SELECT id, title FROM (SELECT * FROM expenses ORDER BY title DESC NULLS FIRST, id LIMIT 20 OFFSET 9980)")
 def _(c):
     """Page 500 of all expenses, from the ranges that hold it."""

@@ -113,3 +113,32 @@ def test_no_python_and_no_cross_product(spark, name):
     load_all()
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, claims, folder):
+    import uuid
+
+    from spendspark.sources.tables import write_bucketed
+
+    run = uuid.uuid4().hex
+    plain = {"expenses": (claims.expenses, "id"), "comments": (claims.comments, "expense_id"), "audit": (claims.audit_log, "expense_id")}
+    stored = {n: write_bucketed(df, f"{n}_{run}", f"{folder}/{n}", key, 8) for n, (df, key) in plain.items()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        active = views.with_activity(**{n: stored[n] for n in plain})
+        plan = active._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        # the lines of the expenses too
+        joined = stored["expenses"].join(stored["audit"].withColumnRenamed("id", "line_id"), stored["expenses"]["id"] == stored["audit"]["expense_id"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        twin = views.with_activity(*[df for df, _ in plain.values()])
+        assert "Exchange" in twin._jdf.queryExecution().executedPlan().toString()
+        assert active.exceptAll(twin).count() == 0 and active.count() == twin.count()
+        total = active.agg(F.sum("n_comments"), F.sum("n_audit")).first()
+        held = claims.expenses.select(F.col("id").alias("expense_id"))
+        assert tuple(total) == tuple(df.join(held, "expense_id", "left_semi").count() for df in (claims.comments, claims.audit_log))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in plain:
+            spark.sql(f"DROP TABLE {name}_{run}")
