@@ -5,7 +5,8 @@ Two texts link when 100 * |common shingles| >= PERCENT * |all shingles of both|.
 Method: all shingles stand in one global order: by hash, except that the HEAVY most frequent
 ones come last, ordered by frequency. Cuts in that order are the fragments; every set falls
 into one segment per fragment. The overlap of a pair is counted fragment by fragment, and
-the partial counts are summed per pair.
+the partial counts are summed per pair. The first fragment goes first: only pairs that can still
+link send the others.
 
 Which pairs are counted: similar sets share a shingle among their first n - ceil(t n) + 1 in
 the order (their prefix), and the place of the first such shingle bounds their overlap. Each
@@ -15,7 +16,7 @@ Not all pairs of a group of sets with a common prefix shingle are counted, as co
 would make the square of their number. Stars come first: every member against the group's
 first and last. Components of the links found so far then show which pairs are decided; only
 pairs of different components go on, by further stars while more than PAIRS_PER_ENTRY pairs
-per entry are left (STAR_ROUNDS at most), and then every one of them that passes the length
+per entry are left and a round decides a tenth of them (STAR_ROUNDS at most), and then every one of them that passes the length
 and place bounds. So no link between components is lost. Groups of heavy shingles are split
 into parts of about PART members.
 
@@ -45,18 +46,19 @@ from pyspark.sql.window import Window
 
 from spendspark.llm.components import components
 from spendspark.llm.words import batch_words, byte_table, mix, shingle_sets
-from spendspark.session import cut
+from spendspark.session import cut, cuts_so_far, remove_cuts
 
 WORDS = 5
 PERCENT = 75
 HEAVY = 1 << 20  # 16 MB
 STEPS = 16
 PART = 10_000
-FRAGMENT_BITS = 3  # of the hash; the heavy shingles are one more fragment
+FRAGMENT_BITS = 2  # of the hash; the heavy shingles are one more fragment, the last
 MARKS = 1 << 26
 COUNTED = 2_000_000  # shingles that a task holds while it counts
-PAIRS_PER_ENTRY = 100
+PAIRS_PER_ENTRY = 10
 STAR_ROUNDS = 8
+STAR_GAIN = 0.1  # share of the pairs left that a star round must decide for another one to follow
 
 INSIDE = byte_table("not_space")
 NODE = T.StructField("node", T.LongType())
@@ -221,7 +223,9 @@ def grouped(entries: DataFrame) -> DataFrame:
     """Entries of groups with several sets, with the group's first and last entry."""
     group = Window.partitionBy("shingle", "part")
     marked = entries.withColumns({"first": F.min(entry()).over(group), "last": F.max(entry()).over(group)})
-    return marked.filter((F.col("first.node") < F.col("last.node")) | (F.col("part") > 0))
+    several = marked.filter((F.col("first.node") < F.col("last.node")) | (F.col("part") > 0))
+    # several tasks may have met the same set
+    return several.dropDuplicates(["shingle", "part", "node"])
 
 
 def first_stars(groups: DataFrame, percent: int) -> DataFrame:
@@ -248,8 +252,13 @@ def marks_of(pairs: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def is_marked(nodes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    bits = nodes & (MARKS - 1)
+    return (marks[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def segments(docs: DataFrame, text: str, n: int, heavy, marks) -> DataFrame:
-    """Segments of the marked sets: node, fragment, shingles."""
+    """Segments of the marked sets: node, fragment, shingles. Every set has one in the first fragment, if an empty one."""
     fields = [NODE, T.StructField("fragment", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType(), False))]
     last = 1 << FRAGMENT_BITS
 
@@ -263,12 +272,11 @@ def segments(docs: DataFrame, text: str, n: int, heavy, marks) -> DataFrame:
                 if not len(found):
                     continue
                 node = node_of(found)
-                bit = node & (MARKS - 1)
-                if not wanted[bit >> 3] >> (bit & 7) & 1 or node in seen:
+                if node in seen or not is_marked(np.array([node]), wanted)[0]:
                     continue
                 seen.add(node)
                 fragment = np.where(often.count(found) > 0, last, (found >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64))
-                for k in np.unique(fragment).tolist():
+                for k in sorted({0, *np.unique(fragment).tolist()}):
                     out["node"].append(node)
                     out["fragment"].append(k)
                     out["shingles"].append(found[fragment == k].view(np.int64))
@@ -277,25 +285,61 @@ def segments(docs: DataFrame, text: str, n: int, heavy, marks) -> DataFrame:
             if out["node"]:
                 yield out
 
-    sent = tasks(docs.select(text), fields, run)
-    return sent.groupBy("node", "fragment").agg(F.first("shingles").alias("shingles"))
+    return tasks(docs.select(text), fields, run)
+
+
+def only_marked(parts: DataFrame, marks) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(batch.column("node").to_numpy(), wanted)))
+
+    return parts.mapInArrow(run, parts.schema)
+
+
+def meeting(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs with their partial overlaps, one per fragment, and the sizes of the segments counted. A pair
+    meets its segments in one row; several tasks may have sent the same set."""
+    # by node alone, which is how the joins need it
+    own = parts.repartition("node").dropDuplicates(["node", "fragment"]).groupBy("node").agg(
+        F.collect_list(F.struct("fragment", "shingles")).alias("own"))
+    met = pairs.join(own.withColumnRenamed("node", "a"), "a").join(
+        own.select(F.col("node").alias("b"), F.col("own").alias("others")), "b")
+    partial = F.flatten(F.transform("own", lambda x: F.transform(
+        F.filter("others", lambda y: y["fragment"] == x["fragment"]), lambda y: F.size(F.array_intersect(x["shingles"], y["shingles"])))))
+    length = lambda name: F.aggregate(name, F.lit(0), lambda n, x: n + F.size(x["shingles"]))
+    return met.withColumns({"partial": partial, "counted_a": length("own"), "counted_b": length("others")})
 
 
 def linked(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int, heavy) -> DataFrame:
-    """The pairs that link, with the overlap summed over the fragments."""
-    marks = docs.sparkSession.sparkContext.broadcast(marks_of(pairs))
-    parts = segments(docs, text, n, heavy, marks)
-    of_b = parts.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("others"))
-    partial = pairs.join(parts.withColumnRenamed("node", "a"), "a").join(of_b, ["b", "fragment"]).select(
-        "a", "b", "size_a", "size_b", F.size(F.array_intersect("shingles", "others")).alias("overlap"))
-    total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    return total.filter((100 + percent) * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b")))
+    """The pairs that link, with the overlap summed over the fragments. The first fragment is counted
+    alone: a pair that would miss the bound if all its other shingles were common goes no further."""
+    def enough(overlap: Column) -> Column:
+        return (100 + percent) * overlap >= percent * (F.col("size_a") + F.col("size_b"))
+
+    spark = docs.sparkSession
+    number = cuts_so_far(spark)
+    sets_of_pairs = spark.sparkContext.broadcast(marks_of(pairs))
+    parts = cut(segments(docs, text, n, heavy, sets_of_pairs))
+    overlap = F.aggregate("partial", F.lit(0), lambda total, x: total + x)
+    rest = F.least(F.col("size_a") - F.col("counted_a"), F.col("size_b") - F.col("counted_b"))
+    fields = ["a", "b", "size_a", "size_b", "overlap"]
+    first = meeting(pairs, parts.filter("fragment = 0")).withColumn("overlap", overlap)
+    alive = settle(first.filter(enough(F.col("overlap") + rest)).select(*fields))
+    sets_alive = spark.sparkContext.broadcast(marks_of(alive))
+    others = meeting(alive.drop("overlap"), only_marked(parts.filter("fragment > 0"), sets_alive)).withColumn("overlap", overlap)
+    total = alive.union(others.select(*fields)).groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
+    found = settle(total.filter(enough(F.col("overlap"))))
+    # neither the segments nor the marks are read again
+    remove_cuts(spark, number, number + 1)
+    sets_of_pairs.destroy()
+    sets_alive.destroy()
+    return found
 
 
 def undecided(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries of shingles whose sets are in several components, with their component."""
-    entries = groups.select("shingle", "node", "size", "place").distinct()
-    labelled = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = groups.select("shingle", "node", "size", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     return labelled.join(split.select("shingle"), "shingle")
 
@@ -316,9 +360,10 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every entry against one of its group, another one in each turn."""
+    """Every entry against one of its group, another one in each turn. Each group draws for itself: sets that
+    meet in many groups meet many centres, so a large group of loosely similar sets soon hangs together."""
     own = entries.select("shingle", "root", entry().alias("own"))
-    drawn = F.struct(F.xxhash64("own.node", F.lit(turn)).alias("draw"), "own", "root")
+    drawn = F.struct(F.xxhash64("own.node", "shingle", F.lit(turn)).alias("draw"), "own", "root")
     centre = own.groupBy("shingle").agg(F.min(drawn).alias("c")).select(
         "shingle", F.col("c.own").alias("centre"), F.col("c.root").alias("centre_root"))
     met = own.join(centre, "shingle").filter((F.col("root") != F.col("centre_root")) & may_link(percent, "own", "centre"))
@@ -346,16 +391,19 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     pairs = settle(first_stars(groups, percent))
     tried = pairs
-    links = settle(linked(pairs, docs, text, n, percent, heavy).select("a", "b"))
+    links = linked(pairs, docs, text, n, percent, heavy).select("a", "b")
+    before = None
     for turn in range(STAR_ROUNDS + 1):
         open_entries = settle(undecided(groups, components(links)))
         n_entries, n_pairs = left_over(open_entries)
         if not n_pairs:
             break
-        last = n_pairs <= PAIRS_PER_ENTRY * n_entries or turn == STAR_ROUNDS
+        slow = before is not None and n_pairs > (1 - STAR_GAIN) * before
+        last = n_pairs <= PAIRS_PER_ENTRY * n_entries or slow or turn == STAR_ROUNDS
+        before = n_pairs
         pairs = cross_pairs(open_entries, percent) if last else star_pairs(open_entries, percent, turn)
         pairs = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "size_a", "b", "size_b"))
-        links = links.union(settle(linked(pairs, docs, text, n, percent, heavy).select("a", "b")))
+        links = links.union(linked(pairs, docs, text, n, percent, heavy).select("a", "b"))
         tried = tried.union(pairs)
         if last:
             break
