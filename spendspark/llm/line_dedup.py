@@ -12,13 +12,17 @@ Counts and first places aggregate partially before the shuffle. A chunk that a t
 documents hold becomes one row per task there, and the join with its bytes, one row per key,
 is one that Spark splits.
 
+A text of very many lines costs time and memory in proportion to its length: before the join by
+key a row carries the place and the key of one chunk, after it the chunk's own bytes.
+
 Cases: null and empty texts and texts of one line stay as they are. Rows that repeat both
 doc_id and text are judged as one row, so each keeps or loses the same lines; null ids rank
 first. Chunks that differ though their keys are equal stay. Removed chunks take the line feed
 that joins them to the next with them. Other columns pass through.
 
 Two ways to take more. dedup(copies=True) empties a text of several lines that equals that of
-an earlier row, with its chunks of one line. dedup_runs takes every two neighbouring lines
+an earlier row, with its chunks of one line; such a text is one more chunk there, met by the
+same key and compared by SHA-256. dedup_runs takes every two neighbouring lines
 that aren't blank, with the blank lines between them, in place of chunks. So a repeated run
 of two such lines or more goes whole, wherever the lines around it would end a chunk, and
 of every line that goes an equal one stays at an earlier place.
@@ -36,7 +40,9 @@ ENDS = ("0", "4", "8", "c")  # first digits of a rolling hash that end a chunk
 
 LINES = "lines of the text"
 MARK = "hash of the text"
-CHUNKS = "chunks of the text"
+REMOVED = "chunks removed"
+GONE = "lines removed"
+WHOLE = -1  # first and last line of the chunk that is a whole text
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -64,100 +70,109 @@ def pair_bounds(lines: Column) -> Column:
         F.get(found, k).alias("first"), end.alias("end")))))
 
 
-def with_chunks(docs: DataFrame, text: str, bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
-    return docs.withColumn(LINES, lines_of(F.col(text))).withColumn(CHUNKS, bounds(F.col(f"`{LINES}`")))
+def several(chunks: Column) -> Column:
+    return F.filter(chunks, lambda c: c["end"] > c["first"])
+
+
+def chunk_text(lines: Column, chunk: Column) -> Column:
+    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["end"] - chunk["first"] + 1), "\n")
 
 
-def chunk_text(chunk: Column) -> Column:
-    return F.array_join(F.slice(F.col(f"`{LINES}`"), chunk["first"] + 1, chunk["end"] - chunk["first"] + 1), "\n")
+def with_lines(text: Column, of_lines: Callable[[Column], Column]) -> Column:
+    """The array that of_lines makes of a text's lines, which are split once."""
+    return F.flatten(F.transform(F.array(lines_of(text)), of_lines))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text")).filter(
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("mark", F.xxhash64("text")).filter(
         F.instr("text", "\n") > 0)
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
-    """id, mark (hash of the text) and the first lines of the chunks to remove."""
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bounds: Callable[[Column], Column] = chunk_bounds,
+             copies: bool = False) -> DataFrame:
+    """id, mark (hash of the text) and the chunks to remove (first and last line). copies: a text
+    that an earlier row has whole has one chunk, from WHOLE to WHOLE, in place of its others."""
     rows = keyed(docs, doc_id, text)
+
+    def keys(lines: Column) -> Column:
+        return F.transform(several(bounds(lines)), lambda c: F.struct(
+            c["first"].alias("first"), c["end"].alias("end"), F.xxhash64(chunk_text(lines, c)).alias("key")))
+
+    # no row carries more of a text than the numbers and the key of one chunk
+    chunks = with_lines(F.col("text"), keys)
+    if copies:
+        chunks = F.concat(chunks, F.array(F.struct(F.lit(WHOLE).alias("first"), F.lit(WHOLE).alias("end"), F.xxhash64(
+            F.lit("whole"), F.col("text")).alias("key"))))
+    places = rows.select("id", "mark", F.explode(chunks).alias("chunk")).select(
+        F.col("chunk.key").alias("key"), F.struct("id", "mark", F.col("chunk.first").alias("first")).alias("place"), F.col("chunk.end").alias("end"))
     # rows that repeat id and text meet in one row per place
-    several = F.filter(F.col(f"`{CHUNKS}`"), lambda c: c["end"] > c["first"])
-    chunks = with_chunks(rows, "text", bounds).select("id", "mark", F.explode(several).alias("chunk"), f"`{LINES}`")
-    places = chunks.select(F.xxhash64(chunk_text(F.col("chunk"))).alias("key"),
-                           F.struct("id", "mark", F.col("chunk.first").alias("first")).alias("place"))
     repeated = places.groupBy("key").agg(F.min("place").alias("earliest"), F.max("place").alias("latest")).filter(
         ~F.col("earliest").eqNullSafe(F.col("latest"))).select("key", "earliest")
     suspects = places.join(repeated, "key").groupBy("place.id", "place.mark").agg(
-        F.collect_set(F.struct(F.col("place.first").alias("first"), "key", F.col("place").eqNullSafe(F.col("earliest")).alias("is_first"))).alias("suspects"))
+        F.collect_set(F.struct(F.col("place.first").alias("first"), "end", "key", F.col("place").eqNullSafe(F.col("earliest")).alias("is_first"))).alias("suspects"))
+    if copies:
+        gone = F.filter("suspects", lambda s: (s["first"] == WHOLE) & ~s["is_first"])
+        suspects = suspects.withColumn("suspects", F.when(F.size(gone) > 0, gone).otherwise(F.col("suspects")))
     wanted = suspects.select(F.col("id").alias("key_id"), F.col("mark").alias("key_mark"), "suspects")
     same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("mark") == F.col("key_mark"))
-    texts = with_chunks(rows.join(wanted, same), "text", bounds)
-    own = F.filter(F.col(f"`{CHUNKS}`"), lambda c: c["first"] == F.col("suspect.first"))
-    bodies = texts.select("id", "mark", "suspects", F.col(f"`{LINES}`"), F.col(f"`{CHUNKS}`")).select(
-        "id", "mark", F.explode("suspects").alias("suspect"), F.col(f"`{LINES}`"), F.col(f"`{CHUNKS}`")).select(
-        "id", "mark", "suspect.*", chunk_text(F.element_at(own, 1)).alias("body"))
-    firsts = bodies.filter("is_first").groupBy("key").agg(F.min("body").alias("first_body"))
-    equal = bodies.filter("not is_first").join(firsts, "key").filter("body = first_body")
-    return equal.groupBy("id", "mark").agg(F.collect_set("first").alias("removed"))
+
+    def bodies(lines: Column) -> Column:
+        return F.transform("suspects", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"), s["key"].alias("key"), s["is_first"].alias(
+            "is_first"), F.when(s["first"] == WHOLE, F.sha2("text", 256)).otherwise(chunk_text(lines, s)).alias("body")))
+
+    found = rows.join(wanted, same).select("id", "mark", F.explode(with_lines(F.col("text"), bodies)).alias("found")).select("id", "mark", "found.*")
+    firsts = found.filter("is_first").groupBy("key").agg(F.min("body").alias("first_body"))
+    equal = found.filter("not is_first").join(firsts, "key").filter("body = first_body")
+    return equal.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "end")).alias("removed"))
 
 
-def copied(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and mark of the rows whose text of several lines is that of a row with a smaller id."""
-    rows = keyed(docs, doc_id, text).select(F.struct("id").alias("at"), "mark", F.sha2("text", 256).alias("digest"))
-    earliest = rows.groupBy("digest").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter(
-        ~F.col("earliest").eqNullSafe(F.col("latest"))).select("digest", "earliest")
-    return rows.join(earliest, "digest").filter(~F.col("at").eqNullSafe(F.col("earliest"))).select("at.id", "mark").distinct()
+def with_removals(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with their lines, the chunks removed and the numbers of all lines in these."""
+    keys = found.withColumnsRenamed({"id": "key of id", "mark": "key of mark", "removed": REMOVED})
+    named = docs.withColumn(MARK, F.xxhash64(F.col(f"`{text}`")))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("`key of id`")) & (F.col(f"`{MARK}`") == F.col("`key of mark`"))
+    gone = F.array_distinct(F.flatten(F.transform(F.col(f"`{REMOVED}`"), lambda c: F.sequence(c["first"], c["end"]))))
+    return named.join(keys, same, "left").withColumn(LINES, lines_of(F.col(f"`{text}`"))).withColumn(
+        GONE, F.coalesce(gone, F.array().cast("array<int>")))
 
 
-def with_removals(docs: DataFrame, found: DataFrame, doc_id: str, text: str, bounds: Callable[[Column], Column]) -> DataFrame:
-    """docs with their lines, chunks and the columns of found, by id and mark."""
-    keys = found.withColumnsRenamed({"id": "key of id", "mark": "key of mark", "removed": "removed firsts"})
-    named = docs.withColumn(MARK, F.xxhash64(F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("`key of id`")) & (F.col(f"`{MARK}`") == F.col("`key of mark`"))
-    return with_chunks(named.join(keys, same, "left"), text, bounds)
+def rest() -> Column:
+    """The lines that stay. Each step is linear in the number of lines."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"`{LINES}`") - 1), F.col(f"`{GONE}`"))
+    return F.flatten(F.transform(F.array(F.struct(F.col(f"`{LINES}`").alias("lines"), left.alias("left"))), lambda both: F.transform(
+        both["left"], lambda i: F.get(both["lines"], i))))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: bool = False) -> DataFrame:
     """docs with the text that stays and, in three further columns, what left it: n_lines
     before, removed_chunks, removed_lines. copies: texts of several lines that an earlier
     row has whole lose all their chunks."""
-    found = removals(docs, doc_id, text)
-    whole = F.lit(False)
-    if copies:
-        both = found.withColumn("is copy", F.lit(False)).unionByName(copied(docs, doc_id, text).select(
-            "id", "mark", F.array().cast("array<int>").alias("removed"), F.lit(True).alias("is copy")))
-        found = both.groupBy("id", "mark").agg(F.flatten(F.collect_list("removed")).alias("removed"), F.max("is copy").alias("is copy"))
-        whole = F.col("`is copy`")
-    met = with_removals(docs.drop("n_lines", "removed_chunks", "removed_lines"), found, doc_id, text, chunk_bounds)
-    lost = F.filter(F.col(f"`{CHUNKS}`"), lambda c: whole | F.array_contains(F.col("`removed firsts`"), c["first"]))
-    stays = F.filter(F.col(f"`{CHUNKS}`"), lambda c: ~(whole | F.array_contains(F.col("`removed firsts`"), c["first"])))
-    touched = F.col("`removed firsts`").isNotNull()
+    given = docs.drop("n_lines", "removed_chunks", "removed_lines")
+    met = with_removals(given, removals(docs, doc_id, text, copies=copies), doc_id, text)
+    touched = F.col(f"`{REMOVED}`").isNotNull()
+    whole = F.coalesce(F.exists(F.col(f"`{REMOVED}`"), lambda c: c["first"] == WHOLE), F.lit(False))
+    n_chunks = F.when(whole, F.size(with_lines(F.col(f"`{text}`"), chunk_bounds))).otherwise(F.size(f"`{REMOVED}`"))
     return met.select(
-        *[F.when(touched, F.array_join(F.transform(stays, chunk_text), "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`")
-          for c in docs.columns if c not in ("n_lines", "removed_chunks", "removed_lines")],
-        n_lines(text),
-        F.when(touched, F.size(lost)).otherwise(0).cast("long").alias("removed_chunks"),
-        F.when(touched, F.aggregate(lost, F.lit(0), lambda n, c: n + c["end"] - c["first"] + 1)).otherwise(0).cast("long").alias("removed_lines"))
+        *[F.when(whole, F.lit("")).when(touched, F.array_join(rest(), "\n")).otherwise(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`")
+          for c in given.columns],
+        n_lines(text), F.when(touched, n_chunks).otherwise(0).cast("long").alias("removed_chunks"),
+        F.when(whole, F.size(f"`{LINES}`")).otherwise(F.size(f"`{GONE}`")).cast("long").alias("removed_lines"))
 
 
 def n_lines(text: str) -> Column:
-    return F.when(F.coalesce(F.col(text), F.lit("")) == "", F.lit(0)).otherwise(F.size(f"`{LINES}`")).cast("long").alias("n_lines")
+    return F.when(F.coalesce(F.col(f"`{text}`"), F.lit("")) == "", F.lit(0)).otherwise(F.size(f"`{LINES}`")).cast("long").alias("n_lines")
 
 
 def dedup_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without repeated runs of two or more lines that aren't blank and, in three
     further columns, what left them: n_lines before, removed_runs, removed_lines."""
-    given = docs.drop("n_lines", "removed_runs", "removed_lines", "gone lines")
-    met = with_removals(given, removals(docs, doc_id, text, pair_bounds), doc_id, text, pair_bounds)
-    lost = F.filter(F.col(f"`{CHUNKS}`"), lambda c: F.array_contains(F.col("`removed firsts`"), c["first"]))
-    gone = F.array_distinct(F.flatten(F.transform(lost, lambda c: F.sequence(c["first"], c["end"]))))
-    held = met.withColumn("gone lines", F.when(F.col("`removed firsts`").isNotNull(), gone).otherwise(F.array().cast("array<int>")))
-    left = F.array_except(F.sequence(F.lit(0), F.size(f"`{LINES}`") - 1), F.col("`gone lines`"))
-    rest = F.array_join(F.transform(left, lambda i: F.get(F.col(f"`{LINES}`"), i)), "\n")
-    begins = F.array_except(F.col("`gone lines`"), F.transform("gone lines", lambda i: i + 1))
-    return held.select(
-        *[F.when(F.size("gone lines") > 0, rest).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in given.columns],
-        n_lines(text), F.size(begins).cast("long").alias("removed_runs"), F.size("gone lines").cast("long").alias("removed_lines"))
+    given = docs.drop("n_lines", "removed_runs", "removed_lines")
+    met = with_removals(given, removals(docs, doc_id, text, pair_bounds), doc_id, text)
+    begins = F.array_except(F.col(f"`{GONE}`"), F.transform(F.col(f"`{GONE}`"), lambda i: i + 1))
+    return met.select(
+        *[F.when(F.size(f"`{GONE}`") > 0, F.array_join(rest(), "\n")).otherwise(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`")
+          for c in given.columns],
+        n_lines(text), F.size(begins).cast("long").alias("removed_runs"), F.size(f"`{GONE}`").cast("long").alias("removed_lines"))
 
 
 def report(docs: DataFrame) -> DataFrame:
