@@ -65,18 +65,20 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
     inner[edges[:-1]] = inner[edges[1:] - 1] = False
     marked[edges[:-1]], marked[edges[1:] - 1] = ord("<"), ord(">")
     marked[inner] = LOWER[data[ranges(starts, lengths)]]
-    owner = np.repeat(np.arange(len(starts)), lengths + 2)
-    room = np.repeat(edges[1:], lengths + 2) - np.arange(len(marked))
-    letters = marked.astype(np.uint64) + np.uint64(1)
-    buckets, owners = [mix(hashes ^ np.uint64(0x5BD1E995))], [np.arange(len(starts))]
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), lengths + 2)
+    room = (np.repeat(edges[1:], lengths + 2) - np.arange(len(marked))).astype(np.int32)
+    del inner
+    place = lambda value: (mix(value) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    buckets, owners = [place(hashes ^ np.uint64(0x5BD1E995))], [np.arange(len(starts), dtype=np.int32)]
     for n in GRAMS:
-        at = np.flatnonzero(room >= n)
+        at = np.flatnonzero(room >= n).astype(np.int32)
         value = np.full(len(at), n, np.uint64)
         for k in range(n):
-            value = value * np.uint64(0x100000001B3) + letters[at + k]
-        buckets.append(mix(value))
+            value *= np.uint64(0x100000001B3)
+            value += marked[at + k] + np.uint64(1)
+        buckets.append(place(value))
         owners.append(owner[at])
-    return (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class Words:
@@ -84,8 +86,11 @@ class Words:
 
     def __init__(self, texts: pa.Array):
         hashes, starts, ends, self.edges, data = batch_words(texts, INSIDE)
-        distinct, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
-        buckets, owners = subwords(data, starts[first], ends[first], distinct)
+        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
+        starts, ends = starts[first], ends[first]
+        del hashes, first, number
+        buckets, owners = subwords(data, starts, ends, distinct)
         order = np.argsort(owners, kind="stable")
         self.buckets = buckets[order]
         self.sizes = np.bincount(owners, minlength=len(distinct))
@@ -138,11 +143,13 @@ class Model:
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Mean of MODELS models that set other documents aside: past the average, all that a model
     does is linear, so the mean of their weights is the mean of their logits."""
-    labels = np.array(toxic, np.int64)
+    return fit_words(Words(pa.array(texts, pa.string())), np.array(toxic, np.int64))
+
+
+def fit_words(words: Words, labels: np.ndarray) -> Model:
     share = labels.mean() if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), 700.0 if share else -700.0)
-    words = Words(pa.array(texts, pa.string()))
     models = [fit_one(words, labels, part) for part in range(MODELS)]
     return Model(np.mean([m.weights for m in models], axis=0), float(np.mean([m.bias for m in models])))
 
@@ -243,8 +250,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_chars: int =
     # at most 2 * rows ids
     sample = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(
         F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in found], [int(r["toxic"]) for r in found])
+    found = sample.toArrow().sort_by("doc_id")
+    labels = found["toxic"].to_numpy().astype(np.int64)
+    words = Words(found["text"].combine_chunks())
+    del found  # the texts are not held while the models are fitted
+    return fit_words(words, labels)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score", text: str = "text", keep_text: bool = True) -> DataFrame:
