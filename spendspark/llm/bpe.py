@@ -6,7 +6,7 @@ whose symbols have changed since it was pushed is stale and skipped. A word of n
 O(n log n). Decoding concatenates the vocabulary's strings. A text is first cut at white space
 into segments, a run of anything else with the space before it, that no word of the
 vocabulary's pattern crosses. Segments recur, so each worker keeps the ids of up to
-CACHE_SEGMENTS segments, and of so many words, and then starts afresh.
+CACHE_SEGMENTS segments and CACHE_WORDS words, and then starts afresh.
 
 Cases: null text is an empty text: no ids, decoded to the empty string. Added tokens in a
 text become their id, as in the vocabulary's own library. Rows are independent, so repeated
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from spendspark.llm.frames import with_batches
 
-CACHE_SEGMENTS = 1 << 18
+CACHE_SEGMENTS, CACHE_WORDS = 1 << 18, 1 << 17
 CACHED_LENGTH = 64  # longer segments are encoded anew each time
 
 # Fixed value: the pattern that splits a text into words before the merges.
@@ -52,14 +52,14 @@ def byte_letters() -> list[str]:
 class Segments(dict):
     """Ids of segments or of words, computed when first asked for."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, segment: str) -> list[int]:
         ids = self.encode(segment)
         if len(segment) <= CACHED_LENGTH:
-            if len(self) >= CACHE_SEGMENTS:
+            if len(self) >= self.most:
                 self.clear()
             self[segment] = ids
         return ids
@@ -89,8 +89,8 @@ class Vocabulary:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.decimals = [str(i) for i in range(size)]
-        self.of_word = Segments(lambda word: self.merge(word.encode()))
-        self.segments = Segments(self.encode_segment)
+        self.of_word = Segments(lambda word: self.merge(word.encode()), CACHE_WORDS)
+        self.segments = Segments(self.encode_segment, CACHE_SEGMENTS)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one word."""
@@ -119,7 +119,10 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
     def encode_segment(self, segment: str) -> list[int]:
-        return list(chain.from_iterable(map(self.of_word.__getitem__, self.words.findall(segment))))
+        words = self.words.findall(segment)
+        if len(words) == 1:
+            return self.of_word[segment]  # both caches hold the same key and list
+        return list(chain.from_iterable(map(self.of_word.__getitem__, words)))
 
     def encode_plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.segments.__getitem__, SEGMENTS.findall(text))))
