@@ -51,9 +51,10 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(prepared(spark, docs), public_tokenizers.path(VOCABULARY), decoded="decoded", keep_text=False)
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(prepared(spark, docs), public_tokenizers.path(VOCABULARY), keep_text=False, n_ids="n_tokens",
+                       decoded_sha256="decoded_sha256")
+    passed = [F.col(f"`{c}`") for c in docs.columns if c in ("lang", "source")]
+    return coded.select("doc_id", *passed, "ids", "n_tokens", "decoded_sha256")
 
 
 def prepared(spark: SparkSession, docs: DataFrame) -> DataFrame:
