@@ -37,7 +37,7 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(read(spark, folder, "documents"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", substring_dedup.SQL)
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(read(spark, folder, "documents"))
 

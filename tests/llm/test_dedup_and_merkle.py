@@ -107,7 +107,7 @@ def test_substring_dedup(spark):
     rows = [(1, f"Own start. {passage} Own end."), (2, f"Another start here.\n{passage}\nAnother end."), (3, f"mid {passage.upper()} tail."),
             (4, "Yes 3.5 of it. Alone."), (5, None), (6, ""), (7, "..."), (2, f"Another start here.\n{passage}\nAnother end.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("clash"))
-    got = [(r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in substring_dedup.dedup(docs).collect()]
+    got = [(r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in substring_dedup.dedup(docs, min_words=20).collect()]
     by_id = {r[0]: r for r in got}
     assert len(got) == 8 and by_id[1][1] == rows[0][1] and by_id[1][2] == []
     assert by_id[2][1] == "Another start here.\nAnother end."
@@ -119,6 +119,42 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup(docs.limit(0)).collect() == []
 
 
+def brute_units(rows, min_words):
+    """Unit by unit in order of (id, place); a run of repeats goes if it holds enough words."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        units = [u for u in re.findall(r"(?:[^\n.!?]|[.!?]+[^ \t\r\n.!?])*(?:[.!?]+[ \t]*)?\n?", text or "") if u]
+        runs, run, at = [], None, 0
+        for unit in units:
+            words = re.findall(r"[^\W_]+", unit.lower())
+            if words and tuple(words) in seen:
+                run = (run[0] if run else at, at + len(unit), (run[2] if run else 0) + len(words))
+            elif words:
+                seen.add(tuple(words))
+                runs, run = runs + [run] * (run is not None), None
+            at += len(unit)
+        gone = [r for r in runs + [run] * (run is not None) if r[2] >= min_words]
+        kept, at = "", 0
+        for start, end, _ in gone:
+            kept, at = kept + text[at:start], end
+        out[doc_id] = (kept + text[at:] if text is not None else None, [(start, end) for start, end, _ in gone])
+    return out
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    random.seed(4)
+    sentence = lambda: " ".join(random.choice(["a", "Bb", "é", "4,5"]) for _ in range(random.randrange(1, 4))) + random.choice([". ", "!\n", "\n", "... ", ".", "?!\t"])
+    rows = [(i, "".join(random.choice([sentence, sentence, lambda: "- "])() for _ in range(random.randrange(25)))) for i in range(50)]
+    rows += [(60, None), (61, ""), (62, "..."), (63, rows[7][1]), (64, "As. " * 3000), (65, "1.2.3." * 50000)]
+    docs = spark.createDataFrame(rows + [rows[7], rows[7]], "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("a.b", F.lit(2))
+    for min_words in (0, 4):
+        wanted = brute_units(rows, min_words)
+        found = substring_dedup.dedup(docs, min_words=min_words).collect()
+        assert len(found) == len(rows) + 2 and found[0].asDict().keys() == {"doc_id", "text", "digest", "a.b", "removed"}
+        for r in found:
+            assert (r.text, [(x.start, x.end) for x in r.removed]) == wanted[r.doc_id], r.doc_id
+
+
 def test_units_are_the_whole_text(spark):
     random.seed(1)
     texts = ["".join(random.choice("ab .!?\n\t3é") for _ in range(random.randrange(40))) for _ in range(200)]
@@ -155,7 +191,8 @@ def test_fingerprints(spark):
 def test_fingerprint_ties_nulls_and_edits(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "x"), (1, "y"), (1, "x")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.fingerprint, r.next_id) for r in merkle.report(docs).collect())
-    assert len(got) == 4 and got[0][1] == got[1][1] or got[1][1] == got[2][1] or got[0][1] == got[2][1]
+    assert len(got) == 4 and [g[0] for g in got] == ["1", "1", "1", "None"]
+    assert len({g[1] for g in got[:3]}) == 2 and (got[0][1] == got[1][1] or got[1][1] == got[2][1])
     assert merkle.report(docs.limit(0)).collect() == []
     assert [r.near_next for r in merkle.report(docs.limit(1)).collect()] == [1.0]
     lines = [f"paragraph number {i} of the text" for i in range(30)]
