@@ -1,15 +1,18 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Method: markup is stripped and every block element becomes a line. A line weighs its text
-outside links; lines of menus, headers, footers, sidebars, notices, adverts, forms and
-comments, as their element, class, id or role names them, weigh nothing, and where the page
-marks an article or a main part, so does every line outside it. The weights are summed over
-sliding windows of WINDOW lines. Text begins at a surge, where a window rises above the
-threshold after one without text, and ends at a dive, where the windows fall back to zero;
-the lines of weight between the two are kept. An advert of a line or two inside the text
-thus doesn't end it. Where the page marks its article, any text above zero is a surge, so no
-short paragraph is lost; elsewhere a surge must reach SURGE of the strongest window, and a
-run of text must hold RUN of the longest run's weight.
+outside links. Markup changes weights: lines of menus, headers, footers, sidebars, notices,
+adverts, forms and comments, as their element, class, id or role names them, weigh nothing, nor
+do lines outside an article or main part where the page marks one; a line inside that mark weighs
+its links too, and at least what a surge needs. Weights are summed over sliding windows of WINDOW
+lines. A stretch runs from where windows rise above zero to the dive, where they fall back to it;
+it is text if it has a surge, a window of at least SURGE of the strongest one. Its lines of weight are
+kept, and lines of links alone between them. An advert of a line or two inside the text
+thus doesn't end it, and a short paragraph of a marked article isn't lost.
+
+Names on headings and paragraphs say what the text is about and don't count. Names that an
+article's own parts also bear (FAINT: a related or a search part) only take a line's links out of
+its weight and its mark's least weight away, so that a line of links alone goes.
 
 Character references are decoded once, white space within a block (a line break element too)
 becomes one space, blocks are joined by a line feed in page order.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +38,6 @@ from spendspark.llm.frames import with_batches
 
 WINDOW = 3  # lines
 SURGE = 0.25
-RUN = 0.3
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -53,36 +56,48 @@ BLOCKS = {"address", "article", "blockquote", "body", "caption", "dd", "details"
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "sidebar", "nav",
          "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "reply", "replies",
          "respond", "disqus", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal",
-         "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
-         "recommended", "widget", "toolbar", "pagination", "pager", "search", "complementary", "contentinfo", "dialog"}
+         "newsletter", "subscribe", "subscription", "signup", "login", "pagination", "pager", "contentinfo",
+         "complementary", "dialog"}
+FAINT = {"share", "sharing", "social", "related", "recommended", "widget", "toolbar", "search"}
+TITLED = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "span", "b", "i", "em", "strong"}  # ids there are anchors
 HEADS = {"header", "masthead", "topbar"}  # only outside the article
 
 
-def around_text(name: str, attributes: str, inside_main: bool) -> bool:
+CLEAR, FADED, AROUND_TEXT = range(3)
+
+
+def part_of(name: str, attributes: str, inside_main: bool) -> int:
+    """Whether an element's own markup places it around the text, or fades its lines."""
     if name in AROUND or (name == "header" and not inside_main):
-        return True
+        return AROUND_TEXT
     if name in ("html", "body") or name in MAIN and "comment" not in attributes.lower():
-        return False
+        return CLEAR
+    found = CLEAR
     for match in ATTRIBUTE.finditer(attributes):
         kind, value = match[1].lower(), (match[2] or "").strip("\"'").lower()
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
+            return AROUND_TEXT
         if kind == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        else:
+                return AROUND_TEXT
+        elif kind != "id" or name not in TITLED:
             words = set(NAME.findall(value))
             if words & NAMES or (not inside_main and words & HEADS):
-                return True
-    return False
-
-
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """Lines as (text, weight, belongs to what is around the text, inside the marked main
-    part), and whether the page marks a main part."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, around, main, link
-    around = main = link = marked = False
+                return AROUND_TEXT
+            if words & FAINT:
+                found = FADED
+    return found
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
+    """Lines as (text, its length outside links, part, inside the marked main part), and whether
+    the page marks a main part. Time is in proportion to the page: a closing tag without an
+    open element is passed over, any other search ends at what it closes."""
+    lines: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = []  # name, part, main, link
+    open_names: Counter[str] = Counter()
+    open_blocks: list[int] = []  # depths of the block elements
+    part, main, link, marked = CLEAR, False, False, False
     parts: list[str] = []
     linked = at = 0
 
@@ -90,13 +105,17 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         nonlocal parts, linked
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            lines.append((text, max(0, len(text) - linked), around, main))
+            lines.append((text, max(0, len(text) - linked), part, main))
         parts, linked = [], 0
 
     def cut(depth: int) -> None:
-        nonlocal around, main, link
+        nonlocal part, main, link
+        for entry in stack[depth:]:
+            open_names[entry[0]] -= 1
+        while open_blocks and open_blocks[-1] >= depth:
+            open_blocks.pop()
         del stack[depth:]
-        _, around, main, link = stack[-1] if stack else ("", False, False, False)
+        _, part, main, link = stack[-1] if stack else ("", CLEAR, False, False)
 
     def add(text: str) -> None:
         nonlocal linked
@@ -117,11 +136,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         name = tag[2].lower()
         if tag[1]:  # closing
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if name in BLOCKS:
                 flush()
-            if depth is not None:
-                if any(s[0] in BLOCKS for s in stack[depth:]):
+            if open_names[name] > 0:
+                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+                if open_blocks and open_blocks[-1] >= depth:
                     flush()
                 cut(depth)
             continue
@@ -135,45 +154,47 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if name in BLOCKS:
             flush()
             # a paragraph or list item that was left open ends here
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dd", "dt", "tr"):
-                    cut(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if open_blocks and (stack[open_blocks[-1]][0] == "p" or stack[open_blocks[-1]][0] == name and name in ("li", "dd", "dt", "tr")):
+                cut(open_blocks[-1])
         if name in VOID or tag[3].rstrip().endswith("/"):
             continue
-        hides = around or around_text(name, tag[3], main)
-        if not hides and name in BLOCKS or not hides or name in BLOCKS:
-            main_here = main or (name in MAIN and not hides)
-            marked = marked or main_here
-        else:
-            main_here = main
-        stack.append((name, hides, main_here, link or name == "a"))
-        _, around, main, link = stack[-1]
+        own = max(part, part_of(name, tag[3], main))
+        main_here = main or (name in MAIN and own < AROUND_TEXT)
+        marked = marked or main_here
+        if name in BLOCKS:
+            open_blocks.append(len(stack))
+        open_names[name] += 1
+        stack.append((name, own, main_here, link or name == "a"))
+        _, part, main, link = stack[-1]
     flush()
     return lines, marked
 
 
+def window_sums(weights: list[float]) -> list[float]:
+    return [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
+
+
 def main_text(page: str | None) -> str:
     lines, marked = lines_of(page or "")
-    weights = [0 if around or (marked and not main) else len(text) if marked else weight
-               for text, weight, around, main in lines]
-    sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
-    threshold = 0 if marked else SURGE * max(sums, default=0)
-    runs: list[list[int]] = []
+    inside = [part != AROUND_TEXT and (main or not marked) for _, _, part, main in lines]
+    weights: list[float] = [0 if not inside[k] else len(text) if main and part == CLEAR else outside_links
+                            for k, (text, outside_links, part, main) in enumerate(lines)]
+    surge = SURGE * max(window_sums(weights), default=0)
+    weights = [max(w, surge) if inside[k] and main and part == CLEAR else w for k, (w, (_, _, part, main)) in enumerate(zip(weights, lines, strict=True))]
+    sums = window_sums(weights)
+    kept: list[str] = []
     i = 0
     while i < len(sums):
         if not sums[i]:
             i += 1
             continue
         dive = next((k for k in range(i, len(sums)) if not sums[k]), len(sums))
-        if max(sums[i:dive]) > threshold:
-            runs.append([k for k in range(i, dive) if weights[k]])
+        if max(sums[i:dive]) >= surge:
+            heavy = [k for k in range(i, dive) if weights[k]]
+            kept += [lines[k][0] for k in range(heavy[0], heavy[-1] + 1)
+                     if weights[k] or inside[k] and lines[k][2] == CLEAR]
         i = dive
-    longest = max((sum(weights[k] for k in run) for run in runs), default=0)
-    kept = [k for run in runs if marked or sum(weights[j] for j in run) >= RUN * longest for k in run]
-    return "\n".join(lines[k][0] for k in kept)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text", keep_html: bool = True) -> DataFrame:

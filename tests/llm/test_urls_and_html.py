@@ -76,6 +76,34 @@ def test_surge_and_dive_without_an_article():
     assert html_text.main_text(page) == f"Head\n{LONG}\n{LONG}\n{LONG}"
 
 
+def test_windows_find_what_a_mark_says():
+    random.seed(6)
+    words = lambda low, high: " ".join(random.choice(["and", "text", "é", "long", "über"]) for _ in range(random.randrange(low, high)))
+    for _ in range(60):
+        parts = [words(8, 60) for _ in range(random.randrange(2, 9))]
+        links = "".join(f"<li><a href='/{i}'>{words(1, 4)}</a></li>" for i in range(random.randrange(1, 9)))
+        body = "".join(f"<p>{p}" + random.choice(["", "</p>"]) + random.choice(["", "<div class='ad'>Buy this now.</div>"]) for p in parts)
+        page = f"<title>t</title><body><nav><ul>{links}</ul></nav><article><h1>Head line</h1>{body}</article><footer>&copy; all of it</footer>"
+        assert html_text.main_text(page) == "\n".join(["Head line", *parts])
+        assert html_text.main_text(page.replace("article", "div")) == html_text.main_text(page)
+
+
+def test_names_alone_do_not_take_the_articles_parts():
+    page = f"<article><h2 id='comment-on-law'>On law</h2><p>{LONG}</p><div class='search related'><p>A search is related.</p></div><p id='notice'>Be.</p>" \
+           f"<div class='related'><a href='/1'>See one</a></div><p>{LONG}</p><ul class='ad'>{'<li>Buy</li>' * 5}</ul><p>So.</p></article><p>Not this.</p>"
+    assert html_text.main_text(page) == f"On law\n{LONG}\nA search is related.\nBe.\n{LONG}\nSo."
+    menu = "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(5))
+    closing = "The short end of the text."
+    page = f"<div><p>{LONG}</p><p><a href='/x'>a link alone</a></p><p>{LONG}</p></div><ul>{menu}</ul><div><p>{closing * 4}</p></div><ul>{menu}</ul>"
+    assert html_text.main_text(page) == f"{LONG}\na link alone\n{LONG}\n{closing * 4}"
+
+
+def test_deep_odd_markup_takes_time_in_proportion():
+    n = 100_000
+    for page in ("<b>" * n + "x" + "</i>" * n, "<span>" * n + "<hr>" * n + "x", "<div>" * n + "x" + "</p></div>" * n):
+        assert html_text.main_text(f"<article>{page}") == "x"
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = [(1, "u", "<article><p>a  b</p></article>"), (1, "u", "<article><p>a  b</p></article>"), (2, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
