@@ -44,7 +44,8 @@ CARD_HINT = r"[0-9](?:[\x20-]?+[0-9]){15}"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 BEFORE_TRIM = r"^[^\p{L}\p{N}]+"
 AFTER_TRIM = r"[^\p{L}\p{N}]+$"
-CONTEXT = 64  # code points in which a neighbouring word is looked for
+LAST_WORD = r"(?<!\p{L})(\p{L}++)[^\p{L}]*+$"
+FIRST_WORD = r"^[^\p{L}]*+(\p{L}++)"
 
 ROUNDS = 3
 SMOOTHING = 1.0
@@ -113,10 +114,9 @@ def base_spans(text: Column) -> Column:
 
 
 def word(gap: Column, last: bool) -> Column:
-    """The neighbouring word in a gap, A-Z lower-cased, without punctuation."""
-    near = F.substring(gap, -CONTEXT if last else 1, CONTEXT)
-    words = F.filter(F.split(F.lower(near), r"[^\p{L}]+"), lambda w: w != "")
-    return F.when(F.size(words) > 0, F.element_at(words, -1 if last else 1))
+    """The neighbouring word in a gap, however far it is, lower-cased, without punctuation."""
+    found = F.lower(F.regexp_extract(gap, LAST_WORD if last else FIRST_WORD, 1))
+    return F.when(found != "", found)
 
 
 def candidates(text: Column, base: Column) -> Column:

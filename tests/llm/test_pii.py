@@ -70,6 +70,15 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert len(got) == len(rows)
 
 
+def test_neighbouring_words_are_found_in_the_whole_gap(spark):
+    gaps = ["", " - ", "one Two, " + "." * 500, "x" * 200 + "Y!", "\n", "a" * 100_000, "é ü" + " " * 100_000 + "\n"]
+    rows = spark.createDataFrame([(g,) for g in gaps], "gap string").select(
+        "gap", pii.word(F.col("gap"), True).alias("last"), pii.word(F.col("gap"), False).alias("first")).collect()
+    for row in rows:
+        words = re.findall(r"[^\W\d_]+", row.gap.lower())
+        assert (row.first, row.last) == ((words[0], words[-1]) if words else (None, None))
+
+
 def test_masked_and_empty(spark):
     docs = spark.createDataFrame([(1, "to a@b.c, 1.2.3.4!"), (2, None), (3, "plain")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.masked(docs).collect()} == {1: "to <email>, <ip>!", 2: None, 3: "plain"}
