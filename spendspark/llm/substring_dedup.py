@@ -10,8 +10,8 @@ removed are code points in the original text, end exclusive.
 min_words is a caller's choice, 0 by default: runs of fewer words stay. The registered query
 takes QUERY_WORDS, because sentences of a word or two ("As.") repeat by chance in most documents.
 
-Digests are counted first, by partial counts; places of digests that occur once go no
-further. Those of the others are written once. A digest that a third of all documents hold is
+Texts are cut into units once and the places written. Digests are counted first, by partial
+counts; places of digests that occur once go no further. Those of the others are written too. A digest that a third of all documents hold is
 reduced to its earliest place by partial minimums before the shuffle and joined back as one
 row, by a join that Spark splits. Only places of repeats are gathered per document, and only
 documents whose repeats hold min_words are cut into units again.
@@ -58,8 +58,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     repeats hold min_words."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text <> ''").select(
         "id", F.xxhash64("text").alias("mark"), described(F.col("text")).alias("units"))
-    places = rows.select("id", "mark", F.posexplode("units").alias("place", "unit")).filter("unit.digest IS NOT NULL").select(
-        F.col("unit.digest").alias("digest"), "id", "mark", "place", F.col("unit.words").alias("words"))
+    places = cut(rows.select("id", "mark", F.posexplode("units").alias("place", "unit")).filter("unit.digest IS NOT NULL").select(
+        F.col("unit.digest").alias("digest"), "id", "mark", "place", F.col("unit.words").alias("words")))
     several = places.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     shared = cut(places.join(several, "digest", "left_semi"))
     at = F.struct("id", "mark", "place")
