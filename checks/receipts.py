@@ -7,7 +7,6 @@ from checks.registry import at, query
 from spendspark.functions import sql
 from spendspark.operators import mutations, receipts, reports
 from spendspark.plans.fixtures import AS_OF
-from spendspark.session import cut
 
 VENDOR = r"nullif(trim(regexp_extract(text, '^\s*(\S[^\n]*)', 1)), '')"
 AMOUNT = r"""TRY_CAST(replace(coalesce(
@@ -124,25 +123,16 @@ def _(c):
 
 
 def numbered(c):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                                                     "l_returnflag")
-    return c.base("lineitem").select(
-        F.col("l_orderkey").cast("string").alias("receipt_key"), F.row_number().over(order).alias("n"),
+    # by the receipt's name, so that what groups by it needn't deal the blocks out again
+    order = Window.partitionBy("receipt_key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                                                      "l_returnflag")
+    return c.base("lineitem").withColumn("receipt_key", F.col("l_orderkey").cast("string")).select(
+        "receipt_key", F.row_number().over(order).alias("n"),
         F.col("l_quantity").cast("int").alias("qty"), F.floor("l_extendedprice").cast("string").alias("price"),
         F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"))
 
 
-_blocks = {}  # built once per application and folder: for their users OCR blocks are a stored table
-
-
 def blocks(c):
-    key = (c.spark.sparkContext.applicationId, c.folder)
-    if key not in _blocks:
-        _blocks[key] = built_blocks(c)
-    return _blocks[key]
-
-
-def built_blocks(c):
     def ref(prefix):
         return F.concat(F.lit(prefix), F.col("n").cast("string"))
 
@@ -166,7 +156,7 @@ def built_blocks(c):
         block(2, ref("v"), "KEY_VALUE_SET", entity="VALUE", relations=[relation("CHILD", ref("p"))]),
         block(3, ref("w"), "WORD", F.lit("Total")), block(4, ref("f"), "WORD", F.col("flag")),
         block(5, ref("p"), "WORD", F.concat(F.lit("R$ "), F.col("price"), F.lit(",50"))))
-    return cut(numbered(c).select("receipt_key", F.explode(parts).alias("b")).select("receipt_key", "b.*"))
+    return numbered(c).select("receipt_key", F.explode(parts).alias("b")).select("receipt_key", "b.*")
 
 
 NUMBERED = """numbered AS (SELECT CAST(l_orderkey AS VARCHAR) AS receipt_key, CAST(l_quantity AS INT) AS qty,

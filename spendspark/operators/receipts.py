@@ -33,66 +33,95 @@ def blocks_to_text(blocks: DataFrame) -> DataFrame:
         F.array_join(F.transform(ordered, lambda b: b["Text"]), "\n").alias("text"))
 
 
-def _relation(kind: str) -> Column:
+def _relation(block: Column, kind: str) -> Column:
     """Ids of the first relationship of that type, in order; null without one."""
-    return F.get(F.filter("Relationships", lambda r: r["Type"] == kind), F.lit(0))["Ids"]
+    return F.get(F.filter(block["Relationships"], lambda r: r["Type"] == kind), F.lit(0))["Ids"]
 
 
-def _in_words(entry: Column, word: str) -> Column:
-    """Words of one block by their number, joined by blanks. A block is one printed
-    field; all its words come from one file, which the upload limit bounds."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda w: w[word]), " ")
+# entries of a receipt per shelf, and the most shelves that a receipt has
+_SHELF, _SHELVES = 64, 512
+
+
+def _shelves(entries: Column) -> Column:
+    """Entries of one receipt dealt out by the hash of their Id. A lookup reads one shelf, so a
+    receipt of n blocks costs n * (n / shelves + shelves) steps and a common one, with one shelf, n * n."""
+    n = F.least(F.lit(_SHELVES), F.floor(F.sqrt(F.size(entries) / _SHELF)) + 1)
+    return let(n, lambda k: F.when(k == 1, F.array(entries)).otherwise(F.transform(
+        F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.filter(entries, lambda e: F.pmod(F.xxhash64(e["Id"]), k) == i))))
+
+
+def _with_id(shelves: Column, wanted: Column) -> Column:
+    """The entries that have this Id, none for a null one."""
+    shelf = F.get(shelves, F.pmod(F.xxhash64(wanted), F.size(shelves).cast("long")).cast("int"))
+    return F.filter(shelf, lambda e: e["Id"] == wanted)
+
+
+def _receipt_fields_of(blocks: DataFrame) -> DataFrame:
+    """One row per receipt: its key-value blocks with their own text, else their CHILD words joined
+    by blanks. All blocks of a receipt come from one file, which the upload limit bounds: they
+    meet in one row, dealt out once, and ids are looked up there."""
+    spelled = F.coalesce(F.col("Text"), F.lit("")) != ""
+    # an unnamed receipt has no words
+    word = F.when(spelled & F.col("receipt_key").isNotNull(), F.struct("Id", "Text"))
+    field = F.when(F.col("BlockType") == "KEY_VALUE_SET", F.struct("Id", "pos", "EntityTypes", "Relationships", "Text"))
+    whole = blocks.filter(spelled | (F.col("BlockType") == "KEY_VALUE_SET")).groupBy("receipt_key").agg(
+        F.collect_list(word).alias("words"), F.collect_list(field).alias("fields"))
+
+    def child_text(block: Column, shelves: Column) -> Column:
+        found = F.flatten(F.transform(_relation(block, "CHILD"), lambda i: F.array_sort(F.transform(_with_id(shelves, i), lambda w: w["Text"]))))
+        return F.coalesce(F.array_join(found, " "), F.lit(""))
+
+    def read(shelves: Column) -> Column:
+        return F.transform("fields", lambda b: F.struct(
+            b["Id"].alias("Id"), b["pos"].alias("pos"), b["EntityTypes"].alias("EntityTypes"), b["Relationships"].alias("Relationships"),
+            F.when(F.coalesce(b["Text"], F.lit("")) != "", b["Text"]).otherwise(child_text(b, shelves)).alias("block_text")))
+
+    return whole.filter(F.size("fields") > 0).select("receipt_key", let(_shelves(F.col("words")), read).alias("fields"))
 
 
 def block_texts(blocks: DataFrame) -> DataFrame:
     """Own text of each key-value block, else its CHILD words joined by blanks."""
-    # every key below holds the receipt, whose blocks come from one file of bounded size: dealt
-    # out by receipt once, no later join or aggregate shuffles again
-    blocks = blocks.repartition("receipt_key")
-    fields = blocks.filter(F.col("BlockType") == "KEY_VALUE_SET")
-    words = blocks.filter(F.coalesce(F.col("Text"), F.lit("")) != "").select(
-        F.col("receipt_key").alias("w_key"), F.col("Id").alias("w_id"), F.col("Text").alias("w_text"))
-    # one row per child id; a block without children keeps one row with a null id
-    children = fields.select(
-        "receipt_key", "Id", "pos", "EntityTypes", "Relationships", "Text",
-        F.posexplode_outer(F.when(F.coalesce(F.col("Text"), F.lit("")) == "", _relation("CHILD"))).alias(
-            "child_no", "child_id"))
-    named = children.join(
-        words, (F.col("receipt_key") == F.col("w_key")) & (F.col("child_id") == F.col("w_id")), "left")
-    carried = ["pos", "EntityTypes", "Relationships", "Text"]
-    spelled = named.groupBy("receipt_key", "Id").agg(
-        *[F.first(c).alias(c) for c in carried],
-        _in_words(F.when(F.col("w_text").isNotNull(), F.struct("child_no", "w_text")), "w_text").alias("child_text"))
-    return spelled.select(
-        "receipt_key", "Id", "pos", "EntityTypes", "Relationships",
-        F.coalesce(F.nullif("Text", F.lit("")), F.col("child_text")).alias("block_text"))
+    # outer only for the optimizer, which would else look the words up once more to find empty lists
+    return _receipt_fields_of(blocks).select("receipt_key", F.inline_outer("fields"))
+
+
+def _receipt_pairs(blocks: DataFrame) -> DataFrame:
+    """One row per receipt with its pairs ARRAY<STRUCT<key, pos, value>> in the order of the
+    keys: lower-case keys; the last of equal keys wins and keeps the place of the first."""
+    texts = _receipt_fields_of(blocks.filter(F.col("receipt_key").isNotNull()))
+
+    def pairs(shelves: Column) -> Column:
+        def value(block: Column) -> Column:
+            known = F.filter(F.transform(_relation(block, "VALUE"), lambda i: F.get(_with_id(shelves, i), F.lit(0))["block_text"]),
+                             lambda t: t.isNotNull())
+            return F.struct(F.lower(block["block_text"]).alias("key"), block["pos"].alias("pos"), F.array_join(known, " ").alias("value"))
+
+        keys = F.filter("fields", lambda b: F.array_contains(b["EntityTypes"], "KEY") & (b["block_text"] != ""))
+        return F.sort_array(F.filter(F.transform(keys, value), lambda p: p["value"] != ""))
+
+    def once(found: Column) -> Column:
+        other = lambda p, i: ~F.get(found, i)["key"].eqNullSafe(p["key"])
+        first = F.filter(found, lambda p, i: other(p, i - 1))
+        last = F.filter(found, lambda p, i: other(p, i + 1))
+        return F.zip_with(first, last, lambda a, z: F.struct(a["key"].alias("key"), a["pos"].alias("pos"), z["value"].alias("value")))
+
+    found = F.filter(F.array(let(let(_shelves(F.col("fields")), pairs), once)), lambda p: F.size(p) > 0)
+    # a filter on a generated column isn't moved down, where all lookups would be done twice
+    return texts.select("receipt_key", F.explode_outer(found).alias("pairs")).filter(F.col("pairs").isNotNull())
 
 
 def blocks_to_pairs(blocks: DataFrame) -> DataFrame:
     """Long form (receipt_key, pos, key, value): lower-case keys; the last of equal
-    keys wins and keeps the place of the first. The block texts, read once as keys and
-    once as values, come from one shuffle by receipt."""
-    texts = block_texts(blocks)
-    keys = texts.filter(F.array_contains("EntityTypes", "KEY") & (F.col("block_text") != ""))
-    wanted = keys.select(
-        "receipt_key", F.col("Id").alias("key_id"), F.col("pos").alias("key_pos"),
-        F.lower("block_text").alias("key"), F.posexplode(_relation("VALUE")).alias("value_no", "value_id"))
-    values = texts.select(F.col("receipt_key").alias("v_key"), F.col("Id").alias("v_id"),
-                          F.col("block_text").alias("v_text"))
-    found = wanted.join(values, (F.col("receipt_key") == F.col("v_key")) & (F.col("value_id") == F.col("v_id")))
-    pairs = found.groupBy("receipt_key", "key_id", "key_pos", "key").agg(
-        _in_words(F.struct("value_no", "v_text"), "v_text").alias("value"))
-    return pairs.filter(F.col("value") != "").groupBy("receipt_key", "key").agg(
-        F.min("key_pos").alias("pos"), F.max_by("value", "key_pos").alias("value"))
+    keys wins and keeps the place of the first."""
+    return _receipt_pairs(blocks).select("receipt_key", F.inline("pairs")).select("receipt_key", "key", "pos", "value")
 
 
 def blocks_to_kv(blocks: DataFrame) -> DataFrame:
     """One map per receipt with the keys in reading order, bounded like the text. For results
     without a map see pair_overrides."""
-    pairs = blocks_to_pairs(blocks)
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "key", "value")))
-    return pairs.groupBy("receipt_key").agg(
-        F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["key"], p["value"]))).alias("kv"))
+    ordered = F.sort_array(F.transform("pairs", lambda p: F.struct(p["pos"].alias("pos"), p["key"].alias("key"), p["value"].alias("value"))))
+    return _receipt_pairs(blocks).select("receipt_key", F.map_from_entries(
+        F.transform(ordered, lambda p: F.struct(p["key"], p["value"]))).alias("kv"))
 
 
 # --- fields from text, historic reading ------------------------------------------------------
@@ -211,13 +240,14 @@ def _last_reading(kv: Column, key_parts: list[str], read) -> Column:
     return F.try_element_at(readings, F.lit(-1))
 
 
-def total_from_kv(kv: Column) -> Column:
-    def read(value: Column) -> Column:
-        digits = F.regexp_replace(value, r"[^\d.,]", "")
-        # only the first comma becomes a point
-        return leading_number(F.regexp_replace(digits, r"^([^,]*),", "$1."))
+def _total(value: Column) -> Column:
+    digits = F.regexp_replace(value, r"[^\d.,]", "")
+    # only the first comma becomes a point
+    return let(F.regexp_replace(digits, r"^([^,]*),", "$1."), leading_number)
 
-    return _last_reading(kv, fixed.TOTAL_KEY_PARTS, read)
+
+def total_from_kv(kv: Column) -> Column:
+    return _last_reading(kv, fixed.TOTAL_KEY_PARTS, _total)
 
 
 def date_from_kv(kv: Column) -> Column:
@@ -383,10 +413,9 @@ def pair_overrides(pairs: DataFrame) -> DataFrame:
             hit = hit | F.col("key").contains(word)
         return hit
 
-    single = F.create_map(F.col("key"), F.col("value"))
     read = pairs.select("receipt_key", "pos",
-                        F.when(named(fixed.TOTAL_KEY_PARTS), total_from_kv(single)).alias("t"),
-                        F.when(named(fixed.DATE_KEY_PARTS), date_from_kv(single)).alias("d"))
+                        F.when(named(fixed.TOTAL_KEY_PARTS), _total(F.col("value"))).alias("t"),
+                        F.when(named(fixed.DATE_KEY_PARTS), date_from(F.col("value"))).alias("d"))
     return read.groupBy("receipt_key").agg(
         F.max_by("t", F.when(F.col("t").isNotNull(), F.col("pos"))).alias("total"),
         F.max_by("d", F.when(F.col("d").isNotNull(), F.col("pos"))).alias("date"))

@@ -127,3 +127,39 @@ def test_dates_with_times_and_zones(spark):
              "Jan 1, 2025 12:30 AM +0100": "2024-12-31", "20 Jan 2025 11:30 PM": "2025-01-20", "2025-01-20T": None, "": None}
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", receipts.date_from(F.col("t")).cast("string").alias("d"))
     assert {r["t"]: r["d"] for r in df.collect()} == texts
+
+
+def many_blocks(spark, n):
+    """A receipt of n lines with a key of two words, every tenth key once more, and its value."""
+    rows = []
+    for i in range(n):
+        rows += [(f"k{i}", "KEY_VALUE_SET", None, None, ["KEY"], [("VALUE", [f"v{i}", "gone"]), ("CHILD", [f"w{i}", "lost", "no"])]),
+                 (f"v{i}", "KEY_VALUE_SET", None, None, ["VALUE"], [("CHILD", [f"p{i}"])]),
+                 (f"w{i}", "WORD", f"Total {i - i % 10 if i % 10 == 9 else i}", None, None, None), (f"p{i}", "WORD", f"{i},50", None, None, None)]
+    return blocks(spark, [("no", "WORD", "No", None, None, None), *rows])
+
+
+def test_receipt_of_many_blocks(spark):
+    df = many_blocks(spark, 400)
+    expected = {}
+    for i in range(400):
+        expected[f"total {i - i % 10 if i % 10 == 9 else i} no"] = f"{i},50"
+    found = receipts.blocks_to_kv(df).select("kv", F.map_keys("kv").alias("keys")).first()
+    assert found["kv"] == expected and found["keys"] == list(expected)
+    assert {r["key"]: r["value"] for r in receipts.blocks_to_pairs(df).collect()} == expected
+    assert receipts.pair_overrides(receipts.blocks_to_pairs(df)).first()["total"] == 398.5  # key 399 has the place of key 390
+
+
+def test_blocks_are_dealt_out_once(spark):
+    df = many_blocks(spark, 3)
+    for found in (receipts.blocks_to_kv(df), receipts.pair_overrides(receipts.blocks_to_pairs(df))):
+        plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_receipts_without_a_name_or_pairs(spark):
+    nameless = blocks(spark, [("k1", "KEY_VALUE_SET", "Total", None, ["KEY"], [("VALUE", ["v1"])]), ("v1", "KEY_VALUE_SET", "1", None, ["VALUE"], None)])
+    df = nameless.withColumn("receipt_key", F.lit(None).cast("string")).union(
+        blocks(spark, [("k1", "KEY_VALUE_SET", "Total", None, ["KEY"], [("VALUE", ["gone"])]), ("w", "WORD", "Word", None, None, None)]))
+    assert receipts.blocks_to_kv(df).count() == 0 and receipts.blocks_to_pairs(df).count() == 0
+    assert sorted(r["block_text"] for r in receipts.block_texts(df).collect()) == ["1", "Total", "Total"]
