@@ -130,8 +130,10 @@ def with_terms(usable: DataFrame) -> tuple[PipelineModel, DataFrame]:
 
 
 def term_counts(rows: DataFrame, vocabulary: int) -> tuple[CountVectorizerModel, IDFModel, DataFrame]:
-    """The vocabulary, its document frequencies and the counts of the rows' terms."""
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=0.8).fit(rows)
+    """The vocabulary, its document frequencies and the counts of the rows' terms. The share of 80 % is
+    given as a number of rows: for a share MLlib keeps all terms in memory and on disk to count the rows."""
+    most = 0.8 * rows.count()
+    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=most if most >= 1 else 0.8).fit(rows)
     vectors = counted.transform(rows)
     return counted, IDF(inputCol="tf", outputCol="tf_idf").fit(vectors), vectors
 
@@ -165,8 +167,13 @@ def train_categorizer(
     given = samples.count()
     # read by the weights, the vocabulary, the idf, the forest and the test: tokenised once
     tokenised, _ = with_terms(usable)
-    split = cut(tokenised.transform(stratified_split(usable, key, label, seed=seed)))
-    train, test = split.filter("in_train"), split.filter("NOT in_train")
+    # what is read again: of training rows the class and the terms, of test rows the claim
+    drawn = tokenised.transform(stratified_split(usable, key, label, seed=seed))
+    held_out = ~F.col("in_train")
+    split = cut(drawn.select(
+        *[F.col(c) if c == label else F.when(held_out, F.col(c)).alias(c) for c in usable.columns],
+        F.when(F.col("in_train"), F.col("terms")).alias("terms"), "in_train"))
+    train, test = split.filter("in_train").select(label, "terms"), split.filter("NOT in_train")
     weights = class_weights(train, label)
     weighted = train.join(F.broadcast(weights), F.col(label) == F.col("w_label")).drop("w_label", "n")
     counted, idf, vectors = term_counts(weighted, vocabulary)

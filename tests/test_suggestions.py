@@ -166,3 +166,21 @@ def test_pages_from_ranges(spark, claims):
         assert [r["id"] for r in pages.page(1, n).collect()] == [r["id"] for r in rows.orderBy(*keys).collect()]
         assert pages.page(1, 20).columns == rows.columns
     assert views.RangedPages(rows.limit(0), views.sort_keys(), 4).page(3).count() == 0
+
+
+def test_training_keeps_what_is_read_again(spark, monkeypatch):
+    """Terms of training rows and claims of test rows are written, no other form of the texts; the
+    vocabulary's limit is a number of rows, for which MLlib needs no copy of the terms."""
+    written, fitted = [], []
+    cut, counts = ml.cut, ml.term_counts
+    monkeypatch.setattr(ml, "cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(ml, "term_counts", lambda rows, size: fitted.append(counts(rows, size)) or fitted[-1])
+    samples = spark.createDataFrame([(i, f"lunch number {i % 7}" if i % 2 else f"taxi ride {i % 5}", None, None, 10, "meals" if i % 2 else "travel")
+                                     for i in range(60)], "id long, title string, description string, vendor string, amount int, category string")
+    model, _report = ml.train_categorizer(samples, "2024-01-01", trees=2, depth=2)
+    kept = next(df for df in written if "terms" in df.columns)
+    assert not {"tokens", "words", "pairs"} & set(kept.columns)
+    assert kept.filter("in_train and (terms is null or title is not null)").count() == 0
+    assert kept.filter("not in_train and (terms is not null or title is null)").count() == 0
+    assert fitted[0][0].getMaxDF() == 0.8 * kept.filter("in_train").count()
+    assert model.test_samples == kept.filter("not in_train").count() > 0
