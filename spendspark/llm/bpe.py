@@ -3,7 +3,8 @@
 Method: the symbols of a word form a doubly linked list; a priority queue holds the merge
 rank of every adjacent pair. The lowest rank is merged first, leftmost on ties; an entry
 whose symbols have changed since it was pushed is stale and skipped. A word of n bytes costs
-O(n log n). Decoding concatenates the vocabulary's strings. A text is first cut at white space
+O(n log n). Short words that a worker hasn't met yet are merged many at once, in a table with a row per
+word: each round merges the leftmost pair of the lowest rank of every row. Decoding concatenates the vocabulary's strings. A text is first cut at white space
 into segments, a run of anything else with the space before it, that no word of the
 vocabulary's pattern crosses. Segments recur, so each worker keeps the ids of up to
 CACHE_SEGMENTS segments and CACHE_WORDS words, and then starts afresh.
@@ -19,7 +20,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,6 +33,10 @@ from spendspark.llm.frames import with_batches
 
 CACHE_SEGMENTS, CACHE_WORDS = 1 << 18, 1 << 17
 CACHED_LENGTH = 64  # longer segments are encoded anew each time
+AT_ONCE = 1 << 18  # characters of the texts whose new words are merged at once
+ROWS = 1 << 11  # of a table of words, which the processor's cache holds
+WIDTHS = (8, 16, 32, 64)  # of the tables, in bytes; longer words go one by one
+NONE = 1 << 30  # rank of a pair that isn't merged
 
 # Fixed value: the pattern that splits a text into words before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,11 +64,71 @@ class Segments(dict):
     def __missing__(self, segment: str) -> list[int]:
         ids = self.encode(segment)
         if len(segment) <= CACHED_LENGTH:
-            if len(self) >= self.most:
-                self.clear()
-            self[segment] = ids
+            self.keep({segment: ids})
         return ids
 
+    def keep(self, found: dict[str, list[int]]) -> None:
+        if len(self) + len(found) > self.most:
+            self.clear()
+        self.update(found)
+
+
+class PairTable:
+    """Ranks of many pairs at once, and the symbol that each rank gives."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]], byte_ids: list[int]):
+        pairs = np.array(list(merges), np.int64).reshape(-1, 2)
+        found = np.array(list(merges.values()), np.int64).reshape(-1, 2)
+        keys = (pairs[:, 0] << 32) + pairs[:, 1]
+        order = np.argsort(keys)
+        # a last key that no pair has
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.by_key = np.append(found[order, 0], NONE).astype(np.int32)
+        self.result = np.zeros(int(found[:, 0].max(initial=0)) + 1, np.int32)
+        self.result[found[:, 0]] = found[:, 1]
+        self.ids = np.array(byte_ids, np.int32)
+        left, right = np.repeat(self.ids, 256), np.tile(self.ids, 256)
+        self.of_bytes = self.ranks(left, right).reshape(256, 256)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; NONE where it isn't merged or has a symbol under 0."""
+        keys = (left.astype(np.int64) << 32) + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.by_key[at], np.int32(NONE))
+
+    def merge(self, words: list[bytes], width: int) -> list[list[int]]:
+        """Ids of words of 1 to width bytes."""
+        n, lengths = len(words), np.array([len(w) for w in words])
+        columns = np.arange(width + 1, dtype=np.int32)
+        inside = columns < lengths[:, None]
+        data = np.zeros((n, width + 1), np.int32)
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        symbols = np.where(inside, self.ids[data], np.int32(-1))
+        ranks = np.where(inside[:, 1:], self.of_bytes[data[:, :-1], data[:, 1:]], np.int32(NONE))
+        done, rows = symbols.copy(), np.arange(n)  # rows: those of symbols, which have pairs left
+        while True:
+            at = ranks.argmin(axis=1)
+            best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+            left = best < NONE
+            if not left.all():
+                done[rows[~left]] = symbols[~left]
+                symbols, ranks, rows, at, best = symbols[left], ranks[left], rows[left], at[left], best[left]
+            if not len(rows):
+                break
+            merged, line = self.result[best], np.arange(len(rows))
+            # all behind the pair moves up; the last column is always empty
+            behind = columns[:-1] >= at[:, None]
+            symbols[:, 1:-1] = np.where(behind[:, :-1], symbols[:, 2:], symbols[:, 1:-1])
+            symbols[:, -1] = -1
+            ranks[:, :-1] = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NONE
+            symbols[line, at] = merged
+            ranks[line, at] = self.ranks(merged, symbols[line, at + 1])
+            before = at > 0
+            ranks[line[before], at[before] - 1] = self.ranks(symbols[line[before], at[before] - 1], merged[before])
+        sizes = (done >= 0).sum(axis=1).tolist()
+        return [row[:size] for row, size in zip(done.tolist(), sizes, strict=True)]
+
 
 class Vocabulary:
     """Pairs to merge with rank and result, the id of each byte, the bytes of each id."""
@@ -91,6 +156,7 @@ class Vocabulary:
         self.decimals = [str(i) for i in range(size)]
         self.of_word = Segments(lambda word: self.merge(word.encode()), CACHE_WORDS)
         self.segments = Segments(self.encode_segment, CACHE_SEGMENTS)
+        self.table = PairTable(self.merges, self.byte_ids)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one word."""
@@ -118,17 +184,62 @@ class Vocabulary:
                     heapq.heappush(queue, (found[0], a, symbols[a], symbols[b], found[1]))
         return [s for s in symbols if s >= 0]
 
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """Ids of each of many words."""
+        encoded = [word.encode() for word in words]
+        out: list[list[int]] = [[]] * len(words)
+        by_width: dict[int, list[int]] = {width: [] for width in WIDTHS}
+        for i, data in enumerate(encoded):
+            width = next((w for w in WIDTHS if len(data) <= w), None)
+            if width and data:
+                by_width[width].append(i)
+            else:
+                out[i] = self.merge(data)
+        for width, places in by_width.items():
+            for start in range(0, len(places), ROWS):
+                own = places[start:start + ROWS]
+                for i, ids in zip(own, self.table.merge([encoded[i] for i in own], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def learn(self, cut: list[list[str]]) -> None:
+        """Puts the short segments of the texts cut into segments, and their words, into the caches."""
+        new = [s for s in set().union(*cut) if s not in self.segments and len(s) <= CACHED_LENGTH]
+        split = list(map(self.words.findall, new))
+        words = list(set(chain.from_iterable(split)).difference(self.of_word))
+        self.of_word.keep(dict(zip(words, self.merge_many(words), strict=True)))
+        of_word = self.of_word.__getitem__
+        self.segments.keep({segment: of_word(parts[0]) if len(parts) == 1 else list(chain.from_iterable(map(of_word, parts)))
+                            for segment, parts in zip(new, split, strict=True)})
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Ids of each text, in their order."""
+        group: list[str] = []
+        size = 0
+        for i, text in enumerate(texts):
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= AT_ONCE or i + 1 == len(texts):
+                cut = list(map(SEGMENTS.findall, group))
+                self.learn(cut)
+                for whole, segments in zip(group, cut, strict=True):
+                    yield self.encode(whole) if self.has_added(whole) else list(chain.from_iterable(map(self.segments.__getitem__, segments)))
+                group, size = [], 0
+
     def encode_segment(self, segment: str) -> list[int]:
         words = self.words.findall(segment)
         if len(words) == 1:
             return self.of_word[segment]  # both caches hold the same key and list
         return list(chain.from_iterable(map(self.of_word.__getitem__, words)))
 
+    def has_added(self, text: str) -> bool:
+        return any(token in text for token in self.added)
+
     def encode_plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.segments.__getitem__, SEGMENTS.findall(text))))
 
     def encode(self, text: str) -> list[int]:
-        if self.cut is None or not any(token in text for token in self.added):
+        if not self.has_added(text):
             return self.encode_plain(text)
         out: list[int] = []
         for part in self.cut.split(text):
@@ -189,8 +300,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str | N
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         vocabulary = on_worker(described)
         found: dict[str | None, list] = {name: [] for name in kinds}
-        for t in batch.column(text).to_pylist():
-            own = vocabulary.encode(t) if t else []
+        for own in vocabulary.encode_many(batch.column(text).to_pylist()):
             back = vocabulary.decode(own) if decoded or decoded_sha256 else ""
             for name, value in ((ids, own), (decoded, back), (n_ids, len(own))):
                 if name:

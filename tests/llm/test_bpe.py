@@ -46,3 +46,28 @@ def test_merges_lowest_rank_first_and_leftmost():
     vocabulary.merges = {(a, a): (1, 300), (a, b): (0, 301), (300, 301): (2, 302)}
     assert vocabulary.merge(b"aaab") == [302]
     assert vocabulary.merge(b"aaa") == [300, a]
+
+
+def test_new_words_are_merged_at_once(monkeypatch):
+    """The table of short words gives what the queue gives, word by word; only long words are left to the queue."""
+    vocabulary = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    random.seed(5)
+    words = ["".join(random.choice("abeinrst éß中😀1.") for _ in range(random.randrange(1, 70))) for _ in range(3000)]
+    words += ["a", "aaaa", "x" * 64, "x" * 65, " the", "", "é"]
+    monkeypatch.setattr(bpe, "ROWS", 500)
+    assert vocabulary.merge_many(words) == [vocabulary.merge(w.encode()) for w in words]
+
+    drawn = [t for t in texts() if t]
+    wanted = [vocabulary.encode(t) for t in drawn]
+    fresh = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    one_by_one = []
+    monkeypatch.setattr(fresh, "merge", lambda data, merge=fresh.merge: one_by_one.append(data) or merge(data))
+    monkeypatch.setattr(bpe, "AT_ONCE", 400)
+    fresh.of_word.most = fresh.segments.most = 1 << 20
+    assert list(fresh.encode_many([None, *drawn, None])) == [[], *wanted, []]
+    assert all(len(data) > max(bpe.WIDTHS) for data in one_by_one)
+    # caches that overflow within a group lose nothing
+    fresh.of_word.most = fresh.segments.most = 7
+    assert list(fresh.encode_many(drawn)) == wanted
+    empty = bpe.PairTable({}, list(range(256)))
+    assert empty.merge([b"ab", b"c"], 8) == [[97, 98], [99]]
