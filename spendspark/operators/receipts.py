@@ -23,14 +23,26 @@ def _java(pattern: str) -> str:
 # --- OCR blocks ---------------------------------------------------------------------------
 
 
-def blocks_to_text(blocks: DataFrame) -> DataFrame:
+def blocks_to_text(blocks: DataFrame, long: bool = False) -> DataFrame:
     """LINE blocks in order, joined by newlines: one row per receipt, of any length. What
     one group collects is the text of one file, which the upload limit that scan_receipts
-    enforces (10 MB) bounds."""
-    lines = blocks.filter(F.col("BlockType") == "LINE")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("Text", F.lit("")).alias("Text"))))
-    return lines.groupBy("receipt_key").agg(
-        F.array_join(F.transform(ordered, lambda b: b["Text"]), "\n").alias("text"))
+    enforces (10 MB) bounds.
+
+    long: for receipts beyond that limit. The lines of all receipts are dealt out in ranges of their
+    order, sorted and joined there, so that a group collects one text per range instead of its lines."""
+    lines = blocks.filter(F.col("BlockType") == "LINE").select("receipt_key", "pos", F.coalesce("Text", F.lit("")).alias("Text"))
+    keys = ["receipt_key"]
+    if long:
+        dealt = lines.repartitionByRange("receipt_key", "pos").sortWithinPartitions("receipt_key", "pos", "Text")
+        # numbers in the order of the lines: sorting by them costs one comparison a line, as the lines already are in order
+        lines = dealt.withColumns({"pos": F.monotonically_increasing_id(), "range": F.spark_partition_id()})
+        keys.append("range")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "Text")))
+    text = lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda b: b["Text"]), "\n").alias("text"))
+    if long:
+        ranges = F.sort_array(F.collect_list(F.struct("range", "text")))
+        text = text.groupBy("receipt_key").agg(F.array_join(F.transform(ranges, lambda r: r["text"]), "\n").alias("text"))
+    return text
 
 
 def _relation(block: Column, kind: str) -> Column:

@@ -163,3 +163,28 @@ def test_receipts_without_a_name_or_pairs(spark):
         blocks(spark, [("k1", "KEY_VALUE_SET", "Total", None, ["KEY"], [("VALUE", ["gone"])]), ("w", "WORD", "Word", None, None, None)]))
     assert receipts.blocks_to_kv(df).count() == 0 and receipts.blocks_to_pairs(df).count() == 0
     assert sorted(r["block_text"] for r in receipts.block_texts(df).collect()) == ["1", "Total", "Total"]
+
+
+def test_long_texts_are_joined_by_ranges(spark):
+    """The same text in both forms: places of several fields, ties, nulls, other blocks, a receipt without a name."""
+    rows = [(None if i % 7 == 0 else str(i % 3), (i * 37 % 500 // 2, i % 2), "LINE" if i % 11 else "WORD", None if i % 13 == 0 else f"Qty {i}\n" if i % 17 == 0
+             else f"Qty {i}") for i in range(2000)]
+    blocks = spark.createDataFrame(rows, "receipt_key string, pos struct<a:int,b:int>, BlockType string, Text string").repartition(5)
+    wanted = {r.receipt_key: r.text for r in receipts.blocks_to_text(blocks).collect()}
+    got = receipts.blocks_to_text(blocks, long=True)
+    assert {r.receipt_key: r.text for r in got.collect()} == wanted
+    assert len(wanted) == 4
+    # lines are dealt out by their place, so that no task has to hold a whole receipt's lines
+    assert "rangepartitioning(receipt_key" in got._jdf.queryExecution().toString().replace(" ", "")
+    assert receipts.blocks_to_text(blocks.limit(0), long=True).collect() == []
+
+
+def test_readers_meet_a_match_not_the_whole_text(spark):
+    """A date's readers use what was found many times; the receipt is searched once per pattern."""
+    df = spark.createDataFrame([("Shop\n20 Jan 2025\nTotal: 12,50\n  Pen   2  R$ 3,50\n",), ("",), (None,)], "text string")
+    parsed = df.select(receipts.date_of(F.col("text")).alias("date"), receipts._local_items(F.col("text")).alias("items"))
+    shown = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("regexp_extract(text#") == 3 and shown.count("regexp_extract_all(text#") == 1
+    rows = parsed.collect()
+    assert [str(r.date) for r in rows] == ["2025-01-20", "None", "None"]
+    assert [r["items"] and [tuple(i) for i in r["items"]] for r in rows] == [[("Pen", 2, 3.5)], [], None]
