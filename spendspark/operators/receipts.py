@@ -144,10 +144,15 @@ def vendor_of(text: Column) -> Column:
     return F.get(F.filter(F.transform(F.split(text, "\n"), trim_all), lambda line: line != ""), F.lit(0))
 
 
+def _found(match: Column, read: Callable[[Column], Column] = lambda m: m) -> Column:
+    """read(match) with the match computed once; null, without reading, for an empty one."""
+    return let(match, lambda m: F.when(m != "", read(m)))
+
+
 def amount_of(text: Column) -> Column:
     """First pattern that matches anywhere; comma read as decimal point."""
-    found = F.array(*[F.regexp_extract(text, _java(p), 1) for p in fixed.AMOUNT_PATTERNS])
-    return F.translate(F.get(F.filter(found, lambda m: m != ""), F.lit(0)), ",", ".").try_cast("double")
+    found = F.coalesce(*[_found(F.regexp_extract(text, _java(p), 1)) for p in fixed.AMOUNT_PATTERNS])
+    return F.translate(found, ",", ".").try_cast("double")
 
 
 def _composed(year: Column, month: Column, day: Column) -> Column:
@@ -236,7 +241,8 @@ def date_from(text: Column) -> Column:
 def date_of(text: Column) -> Column:
     """Each pattern's first match in turn; one that is no date gives way to the next."""
     readers = [_numeric_date, _numeric_date, _worded_date]
-    return F.coalesce(*[read(F.regexp_extract(text, _java(p), 1)) for p, read in zip(fixed.DATE_PATTERNS, readers)])
+    # the readers use their text many times: the whole receipt is searched once per pattern
+    return F.coalesce(*[_found(F.regexp_extract(text, _java(p), 1), read) for p, read in zip(fixed.DATE_PATTERNS, readers)])
 
 
 def _last_reading(kv: Column, key_parts: list[str], read) -> Column:
@@ -287,24 +293,27 @@ def _local_amount(text: Column) -> Column:
         return F.regexp_extract(text, rf"(?im)^[ \t]*{word}[ \t]*:?[ \t\u00a0]*" + _PRICE + r"[ \t\r]*$", 1)
 
     any_price = F.regexp_extract(text, r"(?m)R?\$[ \t\u00a0]*(\d[\d.,]*\d)[ \t\r]*$", 1)
-    found = F.array(*[on_line(w) for w in ("total", "amount", "valor", "subtotal")], any_price)
-    return price_of(F.get(F.filter(found, lambda m: m != ""), F.lit(0)))
+    # a pattern is only searched when those before it aren't found
+    return price_of(F.coalesce(*[_found(m) for m in (*[on_line(w) for w in ("total", "amount", "valor", "subtotal")], any_price)]))
 
 
 def _local_date(text: Column) -> Column:
     iso = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
     day_first = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4}|\d{2})\b"
     def dated(pattern: str, read) -> Column:
-        found = let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", F.split(m, r"[/\-.]")))
-        return let(found, lambda p: read(*[F.get(p, F.lit(i)).cast("int") for i in range(3)]))
+        return _found(F.regexp_extract(text, pattern, 0), lambda m: let(
+            F.split(m, r"[/\-.]"), lambda p: read(*[F.get(p, F.lit(i)).cast("int") for i in range(3)])))
 
     return F.coalesce(dated(iso, _composed), dated(day_first, lambda d, m, y: _composed(y, m, d)))
 
 
 def _local_items(text: Column) -> Column:
-    columns = [F.regexp_extract_all(text, F.lit(_ITEM), F.lit(g)) for g in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*columns), lambda i: F.struct(
-        i["0"].alias("name"), i["1"].try_cast("int").alias("qty"), price_of(i["2"]).alias("price")))
+    # the text is searched once; each match, which begins and ends with its line, is then taken apart
+    def item(match: Column) -> Column:
+        name, qty, price = [F.regexp_extract(match, _ITEM, g) for g in (1, 2, 3)]
+        return F.struct(name.alias("name"), qty.try_cast("int").alias("qty"), price_of(price).alias("price"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0)), item)
 
 
 _NO_ITEMS = "array<struct<name:string,qty:int,price:double>>"
