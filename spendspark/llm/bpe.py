@@ -36,6 +36,7 @@ CACHED_LENGTH = 64  # longer segments are encoded anew each time
 AT_ONCE = 1 << 18  # characters of the texts whose new words are merged at once
 ROWS = 1 << 11  # of a table of words, which the processor's cache holds
 WIDTHS = (8, 16, 32, 64)  # of the tables, in bytes; longer words go one by one
+LATIN_END = "\u0250"  # behind the Latin letters
 NONE = 1 << 30  # rank of a pair that isn't merged
 
 # Fixed value: the pattern that splits a text into words before the merges.
@@ -202,10 +203,16 @@ class Vocabulary:
                     out[i] = ids
         return out
 
+    def split(self, segment: str) -> list[str]:
+        """Words of a segment. One of Latin letters alone is a word, which is seen without the pattern."""
+        if segment[segment[0] == " ":].isalpha() and max(segment) < LATIN_END:
+            return [segment]
+        return self.words.findall(segment)
+
     def learn(self, cut: list[list[str]]) -> None:
         """Puts the short segments of the texts cut into segments, and their words, into the caches."""
         new = [s for s in set().union(*cut) if s not in self.segments and len(s) <= CACHED_LENGTH]
-        split = list(map(self.words.findall, new))
+        split = list(map(self.split, new))
         words = list(set(chain.from_iterable(split)).difference(self.of_word))
         self.of_word.keep(dict(zip(words, self.merge_many(words), strict=True)))
         of_word = self.of_word.__getitem__

@@ -71,3 +71,10 @@ def test_new_words_are_merged_at_once(monkeypatch):
     assert list(fresh.encode_many(drawn)) == wanted
     empty = bpe.PairTable({}, list(range(256)))
     assert empty.merge([b"ab", b"c"], 8) == [[97, 98], [99]]
+
+
+def test_words_of_latin_letters_need_no_pattern():
+    vocabulary = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    segments = [s for t in texts() if t for s in bpe.SEGMENTS.findall(t)]
+    segments += [a + chr(c) + b for c in range(0x260) for a in ("", " ", "x", " x", "'") for b in ("", "s", "1")]
+    assert all(vocabulary.split(s) == vocabulary.words.findall(s) for s in segments)
