@@ -114,7 +114,8 @@ class ActionStream:
         fresh = cut(unseen.withColumn("late", late))
         on_time = fresh.filter("not late").drop("late")
         touched = on_time.select(F.col("expense_id").alias("touched_id")).distinct()
-        before = cut(self.state.read(batch, buckets).join(touched, F.col("id") == F.col("touched_id"), "left_semi"))
+        wanted = touched.select(F.col("touched_id").alias("id"))
+        before = cut(self.state.read(batch, buckets, wanted).join(touched, F.col("id") == F.col("touched_id"), "left_semi"))
         result = apply_actions(before, on_time, self.users, **self.options)
         for name in self.OUTPUTS:
             rows = getattr(result, name)

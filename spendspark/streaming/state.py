@@ -10,6 +10,10 @@ bucket keeps its last two snapshots and the tail behind the older one: so batch
 off again, even after the snapshot that includes it was written. All else is removed, so a
 bucket has two snapshot folders and at most 2 * every tail folders, however many batches ran.
 
+A snapshot has one row per key. Of its rows only those are shuffled whose keys may occur in the tail:
+a table of MARK_WORDS words of 64 bits, one bit per hash of a key, tells them from the others and is small
+enough for a broadcast at any size. When it is full, more rows are shuffled than needed, none less.
+
 A folder counts once Spark has put _SUCCESS into it; a job lost half way leaves a folder that
 no reader takes, and repeating the batch replaces it.
 """
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GONE, BATCH, BUCKET = "gone", "batch", "bucket"
+WORD, BITS, MARKED = "mark word", "mark bits", "marked"
+MARK_WORDS = 1 << 20
 
 
 class Folders:
@@ -90,27 +96,60 @@ class VersionedTable:
         """The folders that hold the state before a batch, of the given buckets or of all."""
         return self._paths(before, before, buckets)
 
-    def _newest(self, paths: list[str]) -> DataFrame:
+    def _mark(self) -> tuple[Column, Column]:
+        """The word of the marks that a row's key has its bit in, and that bit."""
+        spot = F.pmod(F.xxhash64(*self.keys), F.lit(64 * MARK_WORDS))
+        return F.shiftright(spot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))
+
+    def _with_marks(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows with a column that is true wherever their key is among the given ones, and false for most others."""
+        word, bit = self._mark()
+        marks = keys.groupBy(word.alias(WORD)).agg(F.bit_or(bit).alias(BITS))
+        met = rows.join(F.broadcast(marks), word == F.col(WORD), "left")
+        return met.withColumn(MARKED, F.coalesce(F.col(BITS).bitwiseAND(bit) != 0, F.lit(False))).drop(WORD, BITS)
+
+    def _last(self, rows: DataFrame, *within: str) -> DataFrame:
+        """The newest row of every key, or of every key within something."""
+        newest = rows.groupBy(*within, *self.keys).agg(F.max_by(F.struct(*self.layout.fieldNames()), BATCH).alias("newest"))
+        return newest.select(*within, "newest.*")
+
+    def _newest(self, paths: list[str], keys: DataFrame | None = None) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], self.layout)
-        rows = self.spark.read.schema(self.layout).parquet(*paths)
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.layout.fieldNames()), BATCH).alias("newest")).select("newest.*")
 
-    def read(self, before: int | None = None, buckets: Iterable[str] | None = None) -> DataFrame:
-        """The rows as they are, or were before a batch, of all buckets or of some."""
-        return self._newest(self.paths(before, buckets)).filter(~F.col(GONE)).select(*self.kind.fieldNames())
+        def rows(some: list[str]) -> DataFrame:
+            return self.spark.read.schema(self.layout).parquet(*some)
+
+        if keys is not None:
+            return self._last(self._with_marks(rows(paths), keys).filter(MARKED).drop(MARKED))
+        bases = [p for p in paths if p.startswith(f"{self.folder}/snapshot/")]
+        later = [p for p in paths if p.startswith(f"{self.folder}/tail/")]
+        if not later:
+            return rows(bases)
+        if not bases:
+            return self._last(rows(later))
+        base = self._with_marks(rows(bases), rows(later).select(*self.keys))
+        changed = base.filter(MARKED).drop(MARKED).unionByName(rows(later))
+        return base.filter(~F.col(MARKED)).drop(MARKED).unionByName(self._last(changed))
+
+    def read(self, before: int | None = None, buckets: Iterable[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The rows as they are, or were before a batch, of all buckets or of some. keys: a table of the keys, of
+        the types they have here; rows of most others are left out then, before they are shuffled."""
+        return self._newest(self.paths(before, buckets), keys).filter(~F.col(GONE)).select(*self.kind.fieldNames())
 
     # --- changes ---------------------------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, name: str) -> None:
-        # rows of a bucket meet in one task, so a bucket is one file
+    def _write(self, rows: DataFrame, name: str, repeats: bool = False) -> None:
+        # rows of a bucket meet in one task, so a bucket is one file, and rows that repeat a key are found there
         dealt = rows.select(*self.layout.fieldNames()).withColumn(BUCKET, self.bucket).repartition(BUCKET)
+        if repeats:
+            dealt = self._last(dealt, BUCKET)
         dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.folder}/{name}")
 
     def begin(self, rows: DataFrame) -> None:
-        """Writes the first snapshot, unless there is one."""
+        """Writes the first snapshot, unless there is one: one row of every key."""
         if not self.started():
-            self._write(rows.withColumns({GONE: F.lit(False), BATCH: F.lit(-1).cast("long")}), "snapshot/upto=0")
+            self._write(rows.withColumns({GONE: F.lit(False), BATCH: F.lit(-1).cast("long")}), "snapshot/upto=0", repeats=True)
 
     def put(self, rows: DataFrame, batch: int, gone: DataFrame | None = None) -> None:
         """New versions of rows, and rows that are gone from now on. Repeating the batch replaces them."""

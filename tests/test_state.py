@@ -164,3 +164,45 @@ def test_latest_table_keeps_few_folders(spark, folder, few_tasks):
     assert {(r["day"], r["client"]): r["n"] for r in t.read().collect()} == told
     # three days, and no more folders than two snapshots and two rounds of batches of each
     assert len(folders(folder)) <= 3 * (2 + 2 * 3)
+
+
+def test_a_snapshot_alone_is_read_without_a_shuffle(spark, folder, few_tasks):
+    t = table(spark, folder)
+    t.begin(rows(spark, [(i, 0) for i in range(50)]))
+    read = t.read()
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert held(read) == dict.fromkeys(range(50), 0)
+
+
+def test_only_rows_that_may_have_changed_meet(spark, folder, few_tasks):
+    t, met = table(spark, folder), []
+    t.begin(rows(spark, [(i, 0) for i in range(1000)]))
+    t.put(rows(spark, [(1, 1), (2000, 1)]), 0, gone=rows(spark, [(7, 0)]))
+    last = t._last
+    t._last = lambda found, *within: met.append(found.count()) or last(found, *within)
+    assert held(t.read()) == {i: 0 for i in range(1000) if i != 7} | {1: 1, 2000: 1}
+    keys = spark.createDataFrame([(1,), (3,), (7,), (5000,)], "id long")
+    assert {k: v for k, v in held(t.read(keys=keys)).items() if k in (1, 3, 7, 5000)} == {1: 1, 3: 0}
+    # the rows of 1 and 7 in the snapshot and three in the tail; by keys, the rows of 1, 3 and 7 in both
+    assert all(n <= 10 for n in met)
+
+
+def test_marks_that_are_full_leave_nothing_out(spark, folder, few_tasks, monkeypatch):
+    from spendspark.streaming import state
+
+    monkeypatch.setattr(state, "MARK_WORDS", 1)
+    t = table(spark, folder)
+    t.begin(rows(spark, [(i, 0) for i in range(500)]))
+    t.put(rows(spark, [(i, 1) for i in range(0, 400, 2)]), 0, gone=rows(spark, [(1, 0)]))
+    told = {i: int(i < 400 and i % 2 == 0) for i in range(500) if i != 1}
+    assert held(t.read()) == told
+    t.compact(1)
+    assert held(t.read()) == told
+
+
+def test_the_first_snapshot_has_one_row_of_a_key(spark, folder, few_tasks):
+    t = table(spark, folder)
+    t.begin(rows(spark, [(1, 5), (1, 5), (None, 3), (None, 3), (2, 1)]))
+    assert sorted(map(tuple, t.read().collect()), key=str) == [(1, 5), (2, 1), (None, 3)]
+    t.put(rows(spark, [(None, 4)]), 0)
+    assert sorted(map(tuple, t.read().collect()), key=str) == [(1, 5), (2, 1), (None, 4)]
