@@ -3,8 +3,9 @@
 Method: the symbols of a word form a doubly linked list; a priority queue holds the merge
 rank of every adjacent pair. The lowest rank is merged first, leftmost on ties; an entry
 whose symbols have changed since it was pushed is stale and skipped. A word of n bytes costs
-O(n log n). Short words that a worker hasn't met yet are merged many at once, in a table with a row per
-word: each round merges the leftmost pair of the lowest rank of every row. Decoding concatenates the vocabulary's strings. A text is first cut at white space
+O(n log n). Short words that a worker hasn't met yet are merged many at once, in a table with a column per
+word: each round merges the leftmost pair of the lowest rank of every word, whose symbols form a linked list too. Decoding
+concatenates the vocabulary's strings. A text is first cut at white space
 into segments, a run of anything else with the space before it, that no word of the
 vocabulary's pattern crosses. Segments recur, so each worker keeps the ids of up to
 CACHE_SEGMENTS segments and CACHE_WORDS words, and then starts afresh.
@@ -36,8 +37,10 @@ CACHED_LENGTH = 64  # longer segments are encoded anew each time
 AT_ONCE = 1 << 18  # characters of the texts whose new words are merged at once
 ROWS = 1 << 11  # of a table of words, which the processor's cache holds
 WIDTHS = (8, 16, 32, 64)  # of the tables, in bytes; longer words go one by one
-LATIN_END = "\u0250"  # behind the Latin letters
+WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)]
+LATIN_END = 0x250  # behind the Latin letters
 NONE = 1 << 30  # rank of a pair that isn't merged
+PLACE_BITS = 6  # of a pair's place in a word of the widest table
 
 # Fixed value: the pattern that splits a text into words before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +49,17 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+LATIN_WORD = re.compile(f" ?[{''.join(c for c in map(chr, range(LATIN_END)) if c.isalpha())}]+")
+RUN = re.compile(f"[{SPACE}][{SPACE}]")
+
+
+def segments_of(text: str) -> list[str]:
+    """The text cut where no word crosses. A text without runs of white space, and without the mark that is put in
+    for the cuts, is cut before each space and around each line break."""
+    if "\0" in text or RUN.search(text):
+        return SEGMENTS.findall(text)
+    return [s for s in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if s]
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in the vocabulary's strings:
@@ -97,38 +111,49 @@ class PairTable:
         at = np.searchsorted(self.keys, keys)
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.by_key[at], np.int32(NONE))
 
+    def keys_of(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of each pair as one number, so that the least of a word is the leftmost pair of the lowest rank."""
+        ranks = self.ranks(left, right)
+        return np.where(ranks < NONE, (ranks << PLACE_BITS) + place, NONE).astype(np.int32)
+
     def merge(self, words: list[bytes], width: int) -> list[list[int]]:
-        """Ids of words of 1 to width bytes."""
+        """Ids of words of 1 to width bytes. A word is a column; the last line is the end of every word, which has no symbol."""
         n, lengths = len(words), np.array([len(w) for w in words])
-        columns = np.arange(width + 1, dtype=np.int32)
-        inside = columns < lengths[:, None]
-        data = np.zeros((n, width + 1), np.int32)
+        inside = np.arange(width + 1) < lengths[:, None]
+        data = np.zeros((n, width + 1), np.uint8)
         data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        data, inside = np.ascontiguousarray(data.T), inside.T
         symbols = np.where(inside, self.ids[data], np.int32(-1))
-        ranks = np.where(inside[:, 1:], self.of_bytes[data[:, :-1], data[:, 1:]], np.int32(NONE))
-        done, rows = symbols.copy(), np.arange(n)  # rows: those of symbols, which have pairs left
+        pair = self.of_bytes[data[:-1], data[1:]]
+        keys = np.full((width + 1, n), NONE, np.int32)
+        keys[:-1] = np.where(inside[1:] & (pair < NONE), (pair << PLACE_BITS) + np.arange(width, dtype=np.int32)[:, None], NONE)
+        # lines are joined to a list: what stands behind and before each place, the end for none
+        at, end = np.arange((width + 1) * n).reshape(width + 1, n), width * n + np.arange(n)
+        after = np.where(inside, at + n, end)
+        after[:-1] = np.where(inside[1:], after[:-1], end)
+        before = at - n
+        before[0] = end
+        symbols, after, before, flat = symbols.ravel(), after.ravel(), before.ravel(), keys.ravel()
         while True:
-            at = ranks.argmin(axis=1)
-            best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
-            left = best < NONE
-            if not left.all():
-                done[rows[~left]] = symbols[~left]
-                symbols, ranks, rows, at, best = symbols[left], ranks[left], rows[left], at[left], best[left]
+            least = keys.min(axis=0)
+            rows = np.flatnonzero(least < NONE)
             if not len(rows):
                 break
-            merged, line = self.result[best], np.arange(len(rows))
-            # all behind the pair moves up; the last column is always empty
-            behind = columns[:-1] >= at[:, None]
-            symbols[:, 1:-1] = np.where(behind[:, :-1], symbols[:, 2:], symbols[:, 1:-1])
-            symbols[:, -1] = -1
-            ranks[:, :-1] = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
-            ranks[:, -1] = NONE
-            symbols[line, at] = merged
-            ranks[line, at] = self.ranks(merged, symbols[line, at + 1])
-            before = at > 0
-            ranks[line[before], at[before] - 1] = self.ranks(symbols[line[before], at[before] - 1], merged[before])
-        sizes = (done >= 0).sum(axis=1).tolist()
-        return [row[:size] for row, size in zip(done.tolist(), sizes, strict=True)]
+            least = least[rows]
+            place, merged = least & ((1 << PLACE_BITS) - 1), self.result[least >> PLACE_BITS]
+            first = place * n + rows
+            second, previous = after[first], before[first]
+            behind = after[second]
+            symbols[first], symbols[second], flat[second] = merged, -1, NONE
+            after[first], before[behind] = behind, first
+            new = self.keys_of(np.concatenate([merged, symbols[previous]]), np.concatenate([symbols[behind], merged]),
+                               np.concatenate([place, previous // n]))
+            flat[first], flat[previous] = new[:len(rows)], new[len(rows):]
+        done = symbols.reshape(width + 1, n).T
+        left = done >= 0
+        ends = np.cumsum(left.sum(axis=1)).tolist()
+        ids = done[left].tolist()
+        return [ids[start:stop] for start, stop in zip([0, *ends], ends, strict=False)]
 
 
 class Vocabulary:
@@ -191,9 +216,8 @@ class Vocabulary:
         out: list[list[int]] = [[]] * len(words)
         by_width: dict[int, list[int]] = {width: [] for width in WIDTHS}
         for i, data in enumerate(encoded):
-            width = next((w for w in WIDTHS if len(data) <= w), None)
-            if width and data:
-                by_width[width].append(i)
+            if 0 < len(data) <= WIDTHS[-1]:
+                by_width[WIDTH_OF[len(data)]].append(i)
             else:
                 out[i] = self.merge(data)
         for width, places in by_width.items():
@@ -205,9 +229,7 @@ class Vocabulary:
 
     def split(self, segment: str) -> list[str]:
         """Words of a segment. One of Latin letters alone is a word, which is seen without the pattern."""
-        if segment[segment[0] == " ":].isalpha() and max(segment) < LATIN_END:
-            return [segment]
-        return self.words.findall(segment)
+        return [segment] if LATIN_WORD.fullmatch(segment) else self.words.findall(segment)
 
     def learn(self, cut: list[list[str]]) -> None:
         """Puts the short segments of the texts cut into segments, and their words, into the caches."""
@@ -227,7 +249,7 @@ class Vocabulary:
             group.append(text or "")
             size += len(group[-1])
             if size >= AT_ONCE or i + 1 == len(texts):
-                cut = list(map(SEGMENTS.findall, group))
+                cut = list(map(segments_of, group))
                 self.learn(cut)
                 for whole, segments in zip(group, cut, strict=True):
                     yield self.encode(whole) if self.has_added(whole) else list(chain.from_iterable(map(self.segments.__getitem__, segments)))
@@ -243,7 +265,7 @@ class Vocabulary:
         return any(token in text for token in self.added)
 
     def encode_plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.segments.__getitem__, SEGMENTS.findall(text))))
+        return list(chain.from_iterable(map(self.segments.__getitem__, segments_of(text))))
 
     def encode(self, text: str) -> list[int]:
         if not self.has_added(text):

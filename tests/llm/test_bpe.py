@@ -78,3 +78,22 @@ def test_words_of_latin_letters_need_no_pattern():
     segments = [s for t in texts() if t for s in bpe.SEGMENTS.findall(t)]
     segments += [a + chr(c) + b for c in range(0x260) for a in ("", " ", "x", " x", "'") for b in ("", "s", "1")]
     assert all(vocabulary.split(s) == vocabulary.words.findall(s) for s in segments)
+
+
+def test_texts_cut_by_splitting_give_the_words_of_the_pattern():
+    """Cuts at single spaces and line breaks cross no word; runs of white space and texts with the mark go by the pattern."""
+    vocabulary = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    random.seed(6)
+    drawn = ["".join(random.choice(["a", "B", "é", "中", "1", ".", "'s", " ", " ", "\n", "\t", "\u3000", end]) for _ in range(random.randrange(0, 30)))
+             for end in ("x", "\0", "  ") for _ in range(1500)]
+    for text in drawn:
+        parts = bpe.segments_of(text)
+        assert "".join(parts) == text
+        assert [w for s in parts for w in vocabulary.words.findall(s)] == vocabulary.words.findall(text)
+
+
+def test_a_word_is_merged_without_moving_its_symbols():
+    """A round looks at the words that still have pairs; places are kept, so ties go to the left in words of the full width."""
+    vocabulary = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    words = [b"a" * n for n in range(1, 65)] + [b"ab" * 32, b" the" * 16, b"x"]
+    assert vocabulary.table.merge(words, 64) == [vocabulary.merge(w) for w in words]
