@@ -113,15 +113,13 @@ class VersionedTable:
         newest = rows.groupBy(*within, *self.keys).agg(F.max_by(F.struct(*self.layout.fieldNames()), BATCH).alias("newest"))
         return newest.select(*within, "newest.*")
 
-    def _newest(self, paths: list[str], keys: DataFrame | None = None) -> DataFrame:
+    def _newest(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], self.layout)
 
         def rows(some: list[str]) -> DataFrame:
             return self.spark.read.schema(self.layout).parquet(*some)
 
-        if keys is not None:
-            return self._last(self._with_marks(rows(paths), keys).filter(MARKED).drop(MARKED))
         bases = [p for p in paths if p.startswith(f"{self.folder}/snapshot/")]
         later = [p for p in paths if p.startswith(f"{self.folder}/tail/")]
         if not later:
@@ -134,8 +132,9 @@ class VersionedTable:
 
     def read(self, before: int | None = None, buckets: Iterable[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
         """The rows as they are, or were before a batch, of all buckets or of some. keys: a table of the keys, of
-        the types they have here; rows of most others are left out then, before they are shuffled."""
-        return self._newest(self.paths(before, buckets), keys).filter(~F.col(GONE)).select(*self.kind.fieldNames())
+        the types they have here; most others are left out then, without a shuffle of the snapshot."""
+        newest = self._newest(self.paths(before, buckets)).filter(~F.col(GONE)).select(*self.kind.fieldNames())
+        return newest if keys is None else self._with_marks(newest, keys).filter(MARKED).drop(MARKED)
 
     # --- changes ---------------------------------------------------------------------------------
 
