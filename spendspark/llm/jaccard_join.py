@@ -17,7 +17,9 @@ would make the square of their number. Stars come first: every member against th
 first and last. Components of the links found so far then show which pairs are decided; only
 pairs of different components go on, by further stars while more than PAIRS_PER_ENTRY pairs
 per entry are left and a round decides a tenth of them (STAR_ROUNDS at most), and then every one of them that passes the length
-and place bounds. So no link between components is lost. Groups of heavy shingles are split
+and place bounds. Of these, pairs whose sketches rule a link out are not counted: a sketch holds the parity of
+the number of shingles at each of SKETCH bits, so two sets differ by at least as many shingles as their
+sketches by bits. So no link between components is lost. Groups of heavy shingles are split
 into parts of about PART members.
 
 Bounds: the heavy list has at most HEAVY entries; the map of sets that occur in pairs, which saves
@@ -55,6 +57,7 @@ STEPS = 16
 PART = 10_000
 FRAGMENT_BITS = 2  # of the hash; the heavy shingles are one more fragment, the last
 MARKS = 1 << 26
+SKETCH = 1 << 10  # bits: tells sets of up to about 3000 shingles apart
 COUNTED = 2_000_000  # shingles that a task holds while it counts
 PAIRS_PER_ENTRY = 10
 STAR_ROUNDS = 8
@@ -70,6 +73,12 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(total + np.uint64(len(shingles))).view(np.int64)[0])
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles at each bit, as 64-bit words."""
+    counts = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sets_in(batch: pa.RecordBatch, text: str, n: int) -> list[np.ndarray]:
     words, _, _, edges, _ = batch_words(batch.column(text), INSIDE)
     return shingle_sets(words, edges, n)
@@ -103,10 +112,10 @@ class Heavy:
 
 
 def sets_and_counts(docs: DataFrame, doc_id: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """A row per document (doc_id, size of its set, node); and counts of the shingles that
+    """A row per document (doc_id, size of its set, node, sketch); and counts of the shingles that
     occur in several sets of a task, which is where frequent ones show."""
     fields = [T.StructField("is_doc", T.BooleanType()), T.StructField("doc_id", docs.schema[doc_id].dataType),
-              T.StructField("size", T.LongType()), NODE]
+              T.StructField("size", T.LongType()), NODE, T.StructField("sketch", T.ArrayType(T.LongType(), False))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[np.ndarray] = []
@@ -118,13 +127,13 @@ def sets_and_counts(docs: DataFrame, doc_id: str, text: str, n: int) -> tuple[Da
             often = counts > 1
             k = int(often.sum())
             return {"is_doc": np.zeros(k, bool), "doc_id": pa.nulls(k, arrow_id), "size": counts[often],
-                    "node": values[often].view(np.int64)}
+                    "node": values[often].view(np.int64), "sketch": pa.nulls(k, pa.list_(pa.int64()))}
 
         for batch in batches:
             sets = sets_in(batch, text, n)
             nodes = [node_of(s) if len(s) else None for s in sets]
             yield {"is_doc": np.ones(len(sets), bool), "doc_id": batch.column(doc_id), "size": [len(s) for s in sets],
-                   "node": nodes}
+                   "node": nodes, "sketch": [sketch_of(s) if len(s) else None for s in sets]}
             for node, found in zip(nodes, sets, strict=True):
                 if node is not None and node not in seen:
                     seen.add(node)
@@ -370,6 +379,15 @@ def star_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     return ordered_pairs(met, "own", "centre")
 
 
+def could_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their sketches: the difference of the sets is at least as large as that of the sketches."""
+    own, other = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
+    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    apart = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
+    both = F.col("size_a").cast("long") + F.col("size_b")
+    return pairs.join(own, "a").join(other, "b").filter((100 + percent) * (both - apart) >= 2 * percent * both).select(*pairs.columns)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows as cut does. Then the driver collects its garbage, upon which Spark
     deletes the shuffle files of the steps that are done; else they lie on the executors'
@@ -389,12 +407,16 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heavy = context.broadcast(most_frequent(counts, HEAVY))
     groups = settle(grouped(prefixes(docs, text, n, percent, heavy)))
 
+    sketches = sets.filter("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
     pairs = settle(first_stars(groups, percent))
     tried = pairs
     links = linked(pairs, docs, text, n, percent, heavy).select("a", "b")
     before = None
     for turn in range(STAR_ROUNDS + 1):
-        open_entries = settle(undecided(groups, components(links)))
+        # a star per component says as much as all links so far
+        roots = components(links)
+        links = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        open_entries = settle(undecided(groups, roots))
         n_entries, n_pairs = left_over(open_entries)
         if not n_pairs:
             break
@@ -402,7 +424,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         last = n_pairs <= PAIRS_PER_ENTRY * n_entries or slow or turn == STAR_ROUNDS
         before = n_pairs
         pairs = cross_pairs(open_entries, percent) if last else star_pairs(open_entries, percent, turn)
-        pairs = settle(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "size_a", "b", "size_b"))
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "size_a", "b", "size_b")
+        pairs = settle(could_link(pairs, sketches, percent) if last else pairs)
         links = links.union(linked(pairs, docs, text, n, percent, heavy).select("a", "b"))
         tried = tried.union(pairs)
         if last:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,20 @@ def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 3), (9, 8), (8, 9), (10, 9), (2, 3)], "a long, b long")
     assert {(r.node, r.root) for r in components(links).collect()} == {(3, 2), (4, 2), (5, 2), (9, 8), (10, 8)}
     assert components(links.limit(0)).collect() == []
+
+
+def test_sketches_rule_out_no_link(spark):
+    """Sets that differ in more and more shingles: no pair that links is left out, unrelated sets are."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for size in (1, 7, 60, 400, 5000):
+        base = draw(size)
+        sets = [np.concatenate([base[k:], draw(k)]) for k in range(0, size // 3 + 1, max(1, size // 40))] + [draw(size + 1), draw(size + 2)]
+        sketches = spark.createDataFrame([(i, jaccard_join.sketch_of(s).tolist()) for i, s in enumerate(sets)], "node long, sketch array<long>")
+        every = [(i, len(sets[i]), j, len(sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+        pairs = spark.createDataFrame(every, "a long, size_a int, b long, size_b int")
+        left = {(r["a"], r["b"]) for r in jaccard_join.could_link(pairs, sketches, 75).collect()}
+        common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, _, j, _ in every}
+        assert {(i, j) for i, n, j, m in every if 100 * common[i, j] >= 75 * (n + m - common[i, j])} <= left
+        if 60 <= size <= 400:
+            assert not any(j >= len(sets) - 2 for _, j in left)
