@@ -5,8 +5,8 @@ Two texts link when 100 * |common shingles| >= PERCENT * |all shingles of both|.
 Method: all shingles stand in one global order: by hash, except that the HEAVY most frequent
 ones come last, ordered by frequency. Cuts in that order are the fragments; every set falls
 into one segment per fragment. The overlap of a pair is counted fragment by fragment, and
-the partial counts are summed per pair. The first fragment goes first: only pairs that can still
-link send the others.
+the partial counts are summed per pair. Of many pairs (more than an eighth of the texts) the first fragment goes
+first: only pairs that can still link send the others.
 
 Which pairs are counted: similar sets share a shingle among their first n - ceil(t n) + 1 in
 the order (their prefix), and the place of the first such shingle bounds their overlap. Each
@@ -15,9 +15,9 @@ distinct set sends its prefix only, equal sets being one node from the start.
 Not all pairs of a group of sets with a common prefix shingle are counted, as copies of copies
 would make the square of their number. Stars come first: every member against the group's
 first and last. Components of the links found so far then show which pairs are decided; only
-pairs of different components go on, by further stars while more than PAIRS_PER_ENTRY pairs
+pairs of different components go on, by further stars of CENTRES members a group while more than PAIRS_PER_ENTRY pairs
 per entry are left and a round decides a tenth of them (STAR_ROUNDS at most), and then every one of them that passes the length
-and place bounds. Of these, pairs whose sketches rule a link out are not counted: a sketch holds the parity of
+and place bounds. Of these, pairs whose sketches rule a link out make no row: a sketch holds the parity of
 the number of shingles at each of SKETCH bits, so two sets differ by at least as many shingles as their
 sketches by bits. So no link between components is lost. Groups of heavy shingles are split
 into parts of about PART members.
@@ -58,9 +58,11 @@ PART = 10_000
 FRAGMENT_BITS = 2  # of the hash; the heavy shingles are one more fragment, the last
 MARKS = 1 << 26
 SKETCH = 1 << 10  # bits: tells sets of up to about 3000 shingles apart
+FEW = 1 << 18  # pairs whose names the driver takes as they are, 4 MB
 COUNTED = 2_000_000  # shingles that a task holds while it counts
-PAIRS_PER_ENTRY = 10
+PAIRS_PER_ENTRY = 100  # a pair costs a comparison of two entries, rows only if their sketches leave a link open
 STAR_ROUNDS = 8
+CENTRES = 4  # of a group, in a star round
 STAR_GAIN = 0.1  # share of the pairs left that a star round must decide for another one to follow
 
 INSIDE = byte_table("not_space")
@@ -221,11 +223,11 @@ def ordered_pairs(found: DataFrame, a: str, b: str) -> DataFrame:
     first = F.col(f"{a}.node") < F.col(f"{b}.node")
     pick = lambda field, yes, no: F.when(first, F.col(f"{yes}.{field}")).otherwise(F.col(f"{no}.{field}"))
     return found.select(pick("node", a, b).alias("a"), pick("size", a, b).alias("size_a"),
-                        pick("node", b, a).alias("b"), pick("size", b, a).alias("size_b")).distinct()
+                        pick("node", b, a).alias("b"), pick("size", b, a).alias("size_b"))
 
 
-def entry() -> Column:
-    return F.struct("node", "size", "place")
+def entry(*more: str) -> Column:
+    return F.struct("node", "size", "place", *more)
 
 
 def grouped(entries: DataFrame) -> DataFrame:
@@ -238,21 +240,27 @@ def grouped(entries: DataFrame) -> DataFrame:
 
 
 def first_stars(groups: DataFrame, percent: int) -> DataFrame:
-    own = groups.select("shingle", "part", entry().alias("own"), "first", "last")
-    stars = [ordered_pairs(own.filter((F.col("own.node") != F.col(f"{end}.node")) & may_link(percent, "own", end)), "own", end)
-             for end in ("first", "last")]
-    # the parts of a split group: their first entries against the first of all
-    parts = groups.filter("part > 0").groupBy("shingle", "part").agg(F.min("first").alias("own"))
-    first = parts.groupBy("shingle").agg(F.min("own").alias("first"))
-    stars.append(ordered_pairs(parts.join(first, "shingle").filter(
-        (F.col("own.node") != F.col("first.node")) & may_link(percent, "own", "first")), "own", "first"))
-    return stars[0].union(stars[1]).union(stars[2]).distinct()
-
-
-def marks_of(pairs: DataFrame) -> bytes:
+    own = groups.select(entry().alias("own"), F.explode(F.array("first", "last")).alias("end"))
+    stars = ordered_pairs(own.filter((F.col("own.node") != F.col("end.node")) & may_link(percent, "own", "end")), "own", "end")
+    split = groups.filter("part > 0")
+    if split.count():
+        # the parts of a split group: their first entries against the first of all
+        parts = split.groupBy("shingle", "part").agg(F.min("first").alias("own"))
+        first = parts.groupBy("shingle").agg(F.min("own").alias("first"))
+        stars = stars.union(ordered_pairs(parts.join(first, "shingle").filter(
+            (F.col("own.node") != F.col("first.node")) & may_link(percent, "own", "first")), "own", "first"))
+    return stars.distinct()
+
+
+def marks_of(pairs: DataFrame, n_pairs: int) -> bytes:
     """One bit per set that occurs in a pair, by the low bits of its name: MARKS bits in all."""
     bit = F.col("node").bitwiseAND(F.lit(MARKS - 1))
-    rows = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy(
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    if n_pairs <= FEW:
+        bits = np.zeros(MARKS, bool)
+        bits[nodes.select(bit.alias("bit")).toArrow().column("bit").to_numpy()] = True
+        return np.packbits(bits, bitorder="little").tobytes()
+    rows = nodes.groupBy(
         F.shiftright(bit, 15).cast("int").alias("block")).agg(
         F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()
     out = np.zeros((MARKS >> 15, 4096), np.uint8)
@@ -320,25 +328,31 @@ def meeting(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return met.withColumns({"partial": partial, "counted_a": length("own"), "counted_b": length("others")})
 
 
-def linked(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int, heavy) -> DataFrame:
-    """The pairs that link, with the overlap summed over the fragments. The first fragment is counted
+def linked(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int, heavy, at_once: int) -> DataFrame:
+    """The pairs that link, by the overlap summed over the fragments. Of more than at_once pairs, the first fragment is counted
     alone: a pair that would miss the bound if all its other shingles were common goes no further."""
     def enough(overlap: Column) -> Column:
         return (100 + percent) * overlap >= percent * (F.col("size_a") + F.col("size_b"))
 
     spark = docs.sparkSession
     number = cuts_so_far(spark)
-    sets_of_pairs = spark.sparkContext.broadcast(marks_of(pairs))
+    n_pairs = pairs.count()
+    sets_of_pairs = spark.sparkContext.broadcast(marks_of(pairs, n_pairs))
     parts = cut(segments(docs, text, n, heavy, sets_of_pairs))
     overlap = F.aggregate("partial", F.lit(0), lambda total, x: total + x)
+    if n_pairs <= at_once:
+        found = settle(meeting(pairs, parts).withColumn("overlap", overlap).filter(enough(F.col("overlap"))).select("a", "b"))
+        remove_cuts(spark, number, number + 1)
+        sets_of_pairs.destroy()
+        return found
     rest = F.least(F.col("size_a") - F.col("counted_a"), F.col("size_b") - F.col("counted_b"))
     fields = ["a", "b", "size_a", "size_b", "overlap"]
     first = meeting(pairs, parts.filter("fragment = 0")).withColumn("overlap", overlap)
     alive = settle(first.filter(enough(F.col("overlap") + rest)).select(*fields))
-    sets_alive = spark.sparkContext.broadcast(marks_of(alive))
+    sets_alive = spark.sparkContext.broadcast(marks_of(alive, n_pairs))
     others = meeting(alive.drop("overlap"), only_marked(parts.filter("fragment > 0"), sets_alive)).withColumn("overlap", overlap)
     total = alive.union(others.select(*fields)).groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    found = settle(total.filter(enough(F.col("overlap"))))
+    found = settle(total.filter(enough(F.col("overlap"))).select("a", "b"))
     # neither the segments nor the marks are read again
     remove_cuts(spark, number, number + 1)
     sets_of_pairs.destroy()
@@ -346,46 +360,58 @@ def linked(pairs: DataFrame, docs: DataFrame, text: str, n: int, percent: int, h
     return found
 
 
-def undecided(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries of shingles whose sets are in several components, with their component."""
+def undecided(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Entries of shingles whose sets are in several components, with their component, the number of their group's
+    entries and the sketch of their set."""
     labelled = groups.select("shingle", "node", "size", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return labelled.join(split.select("shingle"), "shingle")
+    split = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+    return labelled.join(split.filter("low < high").select("shingle", "members"), "shingle").join(sketches, "node")
 
 
 def left_over(entries: DataFrame) -> tuple[int, int]:
     """Entries, and pairs of entries of different components in one group."""
-    per_root = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per_group = per_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    row = per_group.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    per_root = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("members").alias("members"))
+    row = per_root.agg(F.sum("n"), F.sum(F.col("n") * (F.col("members") - F.col("n")) / 2)).first()
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def sketches_allow(percent: int, sketch_a: str, sketch_b: str, size_a: str, size_b: str) -> Column:
+    """Whether two sets may link by their sketches: the sets differ by at least as many shingles as the sketches by bits."""
+    bits = F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    apart = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
+    both = F.col(size_a).cast("long") + F.col(size_b)
+    return (100 + percent) * (both - apart) >= 2 * percent * both
+
+
+def could_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their sketches."""
+    own, other = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
+    return pairs.join(own, "a").join(other, "b").filter(
+        sketches_allow(percent, "sketch_a", "sketch_b", "size_a", "size_b")).select(*pairs.columns)
+
+
+def entries_allow(percent: int, a: str, b: str) -> Column:
+    """What the bounds and the sketches of entries a and b say."""
+    return may_link(percent, a, b) & sketches_allow(percent, f"{a}.sketch", f"{b}.sketch", f"{a}.size", f"{b}.size")
+
+
 def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    sides = [entries.select("shingle", F.col("root").alias(f"root_{s}"), entry().alias(s)) for s in ("x", "y")]
+    sides = [entries.select("shingle", F.col("root").alias(f"root_{s}"), entry("sketch").alias(s)) for s in ("x", "y")]
     met = sides[0].join(sides[1], "shingle").filter(
-        (F.col("x.node") < F.col("y.node")) & (F.col("root_x") != F.col("root_y")) & may_link(percent, "x", "y"))
-    return ordered_pairs(met, "x", "y")
+        (F.col("x.node") < F.col("y.node")) & (F.col("root_x") != F.col("root_y")) & entries_allow(percent, "x", "y"))
+    return ordered_pairs(met, "x", "y").distinct()
 
 
 def star_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every entry against one of its group, another one in each turn. Each group draws for itself: sets that
+    """Every entry against CENTRES of its group, others in each turn. Each group draws for itself: sets that
     meet in many groups meet many centres, so a large group of loosely similar sets soon hangs together."""
-    own = entries.select("shingle", "root", entry().alias("own"))
-    drawn = F.struct(F.xxhash64("own.node", "shingle", F.lit(turn)).alias("draw"), "own", "root")
-    centre = own.groupBy("shingle").agg(F.min(drawn).alias("c")).select(
+    own = entries.select("shingle", "root", entry("sketch").alias("own"))
+    drawn = [F.min(F.struct(F.xxhash64("own.node", "shingle", F.lit(turn * CENTRES + k)).alias("draw"), "own", "root")) for k in range(CENTRES)]
+    picked = F.array_distinct(F.transform(F.array(*drawn), lambda c: F.struct(c["own"].alias("own"), c["root"].alias("root"))))
+    centre = own.groupBy("shingle").agg(picked.alias("picked")).select("shingle", F.explode("picked").alias("c")).select(
         "shingle", F.col("c.own").alias("centre"), F.col("c.root").alias("centre_root"))
-    met = own.join(centre, "shingle").filter((F.col("root") != F.col("centre_root")) & may_link(percent, "own", "centre"))
-    return ordered_pairs(met, "own", "centre")
-
-
-def could_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs that may link by their sketches: the difference of the sets is at least as large as that of the sketches."""
-    own, other = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
-    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-    apart = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
-    both = F.col("size_a").cast("long") + F.col("size_b")
-    return pairs.join(own, "a").join(other, "b").filter((100 + percent) * (both - apart) >= 2 * percent * both).select(*pairs.columns)
+    met = own.join(centre, "shingle").filter((F.col("root") != F.col("centre_root")) & entries_allow(percent, "own", "centre"))
+    return ordered_pairs(met, "own", "centre").distinct()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -408,15 +434,17 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     groups = settle(grouped(prefixes(docs, text, n, percent, heavy)))
 
     sketches = sets.filter("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
-    pairs = settle(first_stars(groups, percent))
+    pairs = settle(could_link(first_stars(groups, percent), sketches, percent))
     tried = pairs
-    links = linked(pairs, docs, text, n, percent, heavy).select("a", "b")
+    # so many pairs send about as much as an eighth of the sets
+    at_once = sets.count() // 8
+    links = linked(pairs, docs, text, n, percent, heavy, at_once)
     before = None
     for turn in range(STAR_ROUNDS + 1):
         # a star per component says as much as all links so far
         roots = components(links)
         links = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        open_entries = settle(undecided(groups, roots))
+        open_entries = settle(undecided(groups, roots, sketches))
         n_entries, n_pairs = left_over(open_entries)
         if not n_pairs:
             break
@@ -425,8 +453,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         before = n_pairs
         pairs = cross_pairs(open_entries, percent) if last else star_pairs(open_entries, percent, turn)
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "size_a", "b", "size_b")
-        pairs = settle(could_link(pairs, sketches, percent) if last else pairs)
-        links = links.union(linked(pairs, docs, text, n, percent, heavy).select("a", "b"))
+        pairs = settle(pairs)
+        links = links.union(linked(pairs, docs, text, n, percent, heavy, at_once))
         tried = tried.union(pairs)
         if last:
             break

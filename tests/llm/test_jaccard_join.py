@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spendspark.llm import components as components_of
 from spendspark.llm import jaccard_join
 from spendspark.llm.components import components
 
@@ -119,6 +120,61 @@ def test_components(spark):
     assert components(links.limit(0)).collect() == []
 
 
+def found_by_search(links):
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {(x, find(x)) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("chunk", [40, 1 << 16])
+def test_components_of_chunks(spark, monkeypatch, chunk):
+    """Chains, circles and a hub over links that make many chunks, or one."""
+    monkeypatch.setattr(components_of, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    names = rng.permutation(np.arange(-300, 300)).tolist()
+    links = [*zip(names[:200], names[1:201], strict=True), *((names[300], x) for x in names[301:400]), (names[0], names[200])]
+    links += [(names[i], names[j]) for i, j in rng.integers(400, 600, (120, 2)).tolist()]
+    rng.shuffle(links)
+    links = [(int(a), int(b)) for a, b in links]
+    got = [tuple(r) for r in components(spark.createDataFrame(links, "a long, b long").repartition(6)).select("node", "root").collect()]
+    assert len(got) == len(set(got)) and set(got) == found_by_search(links)
+
+
+def test_few_links_take_few_jobs(spark):
+    """Links of one chunk are counted and written once: alternating stars took a shuffle after another for a chain."""
+    spark.sparkContext.setJobGroup("few links", "few links")
+    try:
+        links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert components(links).count() == 60
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 6
+
+
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_pairs_count_alike_in_turn_and_at_once(spark, at_once):
+    rows = [(i, t) for i, t in sample() if t and i is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, _ = jaccard_join.sets_and_counts(docs, "doc_id", "text", 5)
+    node = {r["doc_id"]: r for r in sets.collect()}
+    own = {i: shingles(t) for i, t in rows}
+    every = [(i, j) for i in range(0, 100, 3) for j in range(i + 1, 100, 2) if node[i]["node"] != node[j]["node"]]
+    pairs = spark.createDataFrame([(node[i]["node"], node[i]["size"], node[j]["node"], node[j]["size"]) for i, j in every],
+                                  "a long, size_a int, b long, size_b int").distinct()
+    heavy = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    got = {tuple(r) for r in jaccard_join.linked(pairs, docs, "text", 5, 75, heavy, at_once).collect()}
+    assert got == {(node[i]["node"], node[j]["node"]) for i, j in every if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j])}
+
+
 def test_sketches_rule_out_no_link(spark):
     """Sets that differ in more and more shingles: no pair that links is left out, unrelated sets are."""
     rng = np.random.default_rng(3)
