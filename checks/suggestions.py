@@ -251,7 +251,7 @@ def _(c):
 @query("train_categorizer")
 def _(c):
     """Report on the held-out fifth of the labelled documents."""
-    _model, report = ml.train_categorizer(labelled(c), AS_OF, key="doc_id", labels=["0", "1"], trees=20, depth=8)
+    _model, report = ml.train_categorizer(labelled(c), AS_OF, key="doc_id", labels=["0", "1"])
     return report
 
 

@@ -146,12 +146,13 @@ def idf_table(counted: CountVectorizerModel, idf: IDFModel, spark: SparkSession)
 
 def train_categorizer(
     samples: DataFrame, as_of, *, key: str = "id", label: str = "category", labels: list[str] | None = None,
-    trees: int = 100, depth: int = 12, vocabulary: int = 1000, seed: int = 42,
+    trees: int = 100, depth: int = 30, vocabulary: int = 1000, seed: int = 42,
 ) -> tuple[Categorizer, DataFrame]:
     """(categorizer, classification report on the held-out fifth).
 
     TF-IDF over words and word pairs (at most `vocabulary` terms, in at least two and
-    at most 80 % of the texts), random forest with balanced class weights. Classes are
+    at most 80 % of the texts), random forest with balanced class weights. Trees grow until
+    their leaves are of one class; 30 levels are the most that MLlib numbers. Classes are
     `labels`, the nine categories by default; other rows are left out.
     """
     allowed = labels or fixed.CATEGORIES
@@ -185,9 +186,10 @@ def train_categorizer(
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
     ]).fit(vectors)
     ready = rest.transform(vectors).select("features", "label_index", "weight")
+    # deep trees: every row keeps its nodes, else each level sends all trees to the tasks and walks them from the root
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label_index", featuresCol="features",
-        weightCol="weight").fit(ready)
+        weightCol="weight", cacheNodeIds=True).fit(ready)
     model = PipelineModel(stages=[*tokenised.stages, counted, *rest.stages[:2], forest])
 
     indexed = list(rest.stages[2].labels)

@@ -184,3 +184,19 @@ def test_training_keeps_what_is_read_again(spark, monkeypatch):
     assert kept.filter("not in_train and (terms is not null or title is null)").count() == 0
     assert fitted[0][0].getMaxDF() == 0.8 * kept.filter("in_train").count()
     assert model.test_samples == kept.filter("not in_train").count() > 0
+
+
+def test_the_query_trains_whole_trees(spark, monkeypatch):
+    """Forty words of two classes: a tree parts one word a level, so twelve levels leave most rows mixed."""
+    from checks import registry, suggestions
+
+    rows = [(i, f"word{i % 40}", None, None, 0, str(i % 40 % 2)) for i in range(400)]
+    samples = spark.createDataFrame(rows, "doc_id long, title string, description string, vendor string, amount int, category string")
+    trained, train = [], ml.train_categorizer
+    monkeypatch.setattr(suggestions, "labelled", lambda c: samples)
+    monkeypatch.setattr(ml, "train_categorizer", lambda *a, **b: trained.append(train(*a, **b)) or trained[-1])
+    report = {r["class"]: r["f1"] for r in registry.QUERIES["train_categorizer"](spark, "/root/testdata/sf0.001").collect()}
+    trees = trained[0][0].model.stages[-1].trees
+    assert len(trees) == 100 and all(t.depth > 12 for t in trees) and max(t.depth for t in trees) <= 30
+    assert report["accuracy"] == 1.0
+    assert ml.score_categorizer(trained[0][0], samples).filter("base_category = category").count() == 400
