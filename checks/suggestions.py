@@ -244,7 +244,7 @@ def _(c):
     """Document frequency and idf of all terms of the training texts that pass the limits."""
     usable = ml.expense_features(labelled(c))
     _, terms = ml.with_terms(ml.stratified_split(usable, "doc_id", "category").filter("in_train"))
-    counted, idf, _ = ml.term_counts(cut(terms.select("terms")), 1 << 20)
+    counted, idf, _ = ml.term_counts(cut(terms.select("terms")), None)
     return ml.idf_table(counted, idf, c.spark).withColumn("idf", F.round("idf", 9))
 
 

@@ -129,17 +129,34 @@ def with_terms(usable: DataFrame) -> tuple[PipelineModel, DataFrame]:
     return model, model.transform(usable)
 
 
-def term_counts(rows: DataFrame, vocabulary: int) -> tuple[CountVectorizerModel, IDFModel, DataFrame]:
-    """The vocabulary, its document frequencies and the counts of the rows' terms. The share of 80 % is
+def term_counts(rows: DataFrame, vocabulary: int | None) -> tuple[CountVectorizerModel | DataFrame, IDFModel | Column, DataFrame]:
+    """The vocabulary, its document frequencies and the counts of the rows' terms: the `vocabulary` most
+    frequent terms for a model, or with None all that pass the limits, in tables. The share of 80 % is
     given as a number of rows: for a share MLlib keeps all terms in memory and on disk to count the rows."""
-    most = 0.8 * rows.count()
+    n = rows.count()
+    if vocabulary is None:
+        return all_term_counts(rows, n)
+    most = 0.8 * n
     counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=most if most >= 1 else 0.8).fit(rows)
     vectors = counted.transform(rows)
     return counted, IDF(inputCol="tf", outputCol="tf_idf").fit(vectors), vectors
 
 
-def idf_table(counted: CountVectorizerModel, idf: IDFModel, spark: SparkSession) -> DataFrame:
+def all_term_counts(rows: DataFrame, n: int) -> tuple[DataFrame, Column, DataFrame]:
+    """What term_counts gives, for any number of terms: none is brought to the driver. term and
+    document_frequency, the idf as MLlib has it, and the counts as row_number, term, tf."""
+    found = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"))
+    counted = found.filter((F.col("document_frequency") >= 2) & (5 * F.col("document_frequency") <= 4 * n))
+    numbered = rows.select("terms", F.monotonically_increasing_id().alias("row_number"))  # before a row becomes several
+    long = numbered.select("row_number", F.explode("terms").alias("term"))
+    counts = long.groupBy("row_number", "term").agg(F.count(F.lit(1)).alias("tf")).join(counted.select("term"), "term")
+    return counted, F.log((n + 1.0) / (F.col("document_frequency") + 1.0)), counts.select("row_number", "term", "tf")
+
+
+def idf_table(counted: CountVectorizerModel | DataFrame, idf: IDFModel | Column, spark: SparkSession) -> DataFrame:
     """term, document_frequency and smoothed idf plus one, one row per term of the vocabulary."""
+    if isinstance(counted, DataFrame):
+        return counted.withColumn("idf", idf + 1.0)
     rows = zip(counted.vocabulary, [int(n) for n in idf.docFreq], [float(x) + 1.0 for x in idf.idf.toArray()], strict=True)
     return spark.createDataFrame(list(rows), "term string, document_frequency long, idf double")
 

@@ -200,3 +200,32 @@ def test_the_query_trains_whole_trees(spark, monkeypatch):
     assert len(trees) == 100 and all(t.depth > 12 for t in trees) and max(t.depth for t in trees) <= 30
     assert report["accuracy"] == 1.0
     assert ml.score_categorizer(trained[0][0], samples).filter("base_category = category").count() == 400
+
+
+def test_all_terms_are_counted(spark, monkeypatch):
+    """Without a size no term is dropped and no vocabulary brought to the driver; values are those of MLlib's models."""
+    texts = [["a", "a", "b"], ["b", "c", "a"], ["d", "a"], ["d", "e", "a"], [], *[[f"t{i}", f"t{i + 1}", "c"] for i in range(20)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "terms array<string>")
+    counted, idf, _ = ml.term_counts(rows, 1000)
+    expected = {r["term"]: (r["document_frequency"], pytest.approx(r["idf"])) for r in ml.idf_table(counted, idf, spark).collect()}
+    monkeypatch.setattr(ml, "CountVectorizer", None)
+    counted, idf, counts = ml.term_counts(rows, None)
+    found = ml.idf_table(counted, idf, spark)
+    assert {r["term"]: (r["document_frequency"], r["idf"]) for r in found.collect()} == expected and len(expected) == 22
+    assert found.columns == ["term", "document_frequency", "idf"]
+    assert sorted(r["tf"] for r in counts.filter("term = 'a'").collect()) == [1, 1, 1, 2]
+    often = spark.createDataFrame([(["x", "y"] if i < 4 else ["x"],) for i in range(5)], "terms array<string>")
+    assert [r["term"] for r in ml.term_counts(often, None)[0].collect()] == ["y"]
+    assert ml.idf_table(*ml.term_counts(rows.limit(0), None)[:2], spark).count() == 0
+
+
+def test_the_idf_query_keeps_more_terms_than_a_vocabulary_of_two_to_the_twenty(spark, monkeypatch):
+    """Four of ten texts have 600,000 words and the pairs between them; of the eight in training, two at least."""
+    from checks import registry, suggestions
+
+    words = "concat_ws(' ', transform(sequence(1, 600000), i -> concat('w', i)))"
+    samples = spark.range(10).selectExpr("id AS doc_id", f"CASE WHEN id < 4 THEN {words} ELSE 'short' END AS title", "string(null) AS description",
+                                         "string(null) AS vendor", "0 AS amount", "'1' AS category")
+    monkeypatch.setattr(suggestions, "labelled", lambda c: samples)
+    table = registry.QUERIES["train_idf"](spark, "/root/testdata/sf0.001")
+    assert table.filter("term LIKE 'w%'").count() == 2 * 600000 - 1
