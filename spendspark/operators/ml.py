@@ -202,7 +202,9 @@ def train_categorizer(
         Normalizer(inputCol="scaled", outputCol="features", p=2.0),
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
     ]).fit(vectors)
-    ready = rest.transform(vectors).select("features", "label_index", "weight")
+    # a task sends the sums of all open nodes however few its rows are: 16,384 rows a task, fewer while cores are idle
+    tasks = max(min(samples.sparkSession.sparkContext.defaultParallelism, total // 1024), total // 16384, 1)
+    ready = rest.transform(vectors).select("features", "label_index", "weight").coalesce(tasks)
     # deep trees: every row keeps its nodes, else each level sends all trees to the tasks and walks them from the root
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label_index", featuresCol="features",
